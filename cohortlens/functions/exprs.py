@@ -162,23 +162,21 @@ def round_exact(c: Column | str, places: int) -> Column:
     above) for a tie.  Here the rounding error of ``x * 10^places`` is recovered exactly
     (the product is split into two halves that multiply without error) and decides ties.
     """
-    x = col(c)
-    scale = float(10 ** places)
+    if not isinstance(c, str):
+        return F.get(F.transform(F.array(c.cast("double")), lambda x: _rounded(x, places)), F.lit(0))
+    return _rounded(F.col(c), places)
+
+
+def _rounded(x: Column, places: int) -> Column:
+    scale = F.lit(float(10 ** places))
     big = x * F.lit(134217729.0)
     hi = big - (big - x)
-    lo = x - hi
-    p = x * F.lit(scale)
-    err = (hi * F.lit(scale) - p) + lo * F.lit(scale)
+    p = x * scale
+    err = (hi * scale - p) + (x - hi) * scale
     low = F.floor(p).cast("double")
     frac = p - low
-    tie = (
-        F.when(err > 0, low + 1.0)
-        .when(err < 0, low)
-        .when(low % 2 == 0, low)
-        .otherwise(low + 1.0)
-    )
-    whole = F.when(frac > 0.5, low + 1.0).when(frac < 0.5, low).otherwise(tie)
-    return whole / F.lit(scale)
+    up = (frac > 0.5) | ((frac == 0.5) & ((err > 0) | ((err == 0) & (low % 2 == 1))))
+    return (low + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / scale
 
 
 def half_even_div(n: Column | str, by: int) -> Column:

@@ -7,12 +7,13 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import constants as K
 from . import exprs as X
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(texts: pd.Series) -> pd.Series:
     """Character references to characters.  There is no built-in expression for it."""
     return texts.map(html.unescape, na_action="ignore")

@@ -196,14 +196,17 @@ def render_note(position: Column | str = "patient_pos") -> Column:
     return F.coalesce(F.nullif(F.col("clinical_note"), F.lit("")), text)
 
 
+def _starting(items: Column, lead: str) -> Column:
+    return F.filter(items, lambda x: F.lower(x).startswith(lead))
+
+
 def listed_biomarkers(c: Column | str) -> Column:
     """Markers of a ``Molecular testing shows …`` sentence; a later mention wins."""
     body = _found(c, r"(?i)Molecular testing shows\s+([^.]*)\.")
     items = F.split(body, r"\s*,\s*")
     entries = []
     for marker in K.LISTED_BIOMARKERS:
-        lead = marker.lower() + " "
-        hit = F.filter(items, lambda x, lead=lead: F.lower(x).startswith(lead))
+        hit = _starting(items, marker.lower() + " ")
         value = F.try_element_at(hit, F.lit(-1))
         entries.append((marker, X.strip(F.substring(value, len(marker) + 1, 1 << 30))))
     return _map_of(entries, "string")

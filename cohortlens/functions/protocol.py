@@ -81,14 +81,17 @@ def _listed(hits: list[Column]) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+def _any_match(texts: Column, pattern: str) -> Column:
+    return F.exists(texts, lambda s: s.rlike(pattern))
+
+
 def allowed_stages(c: Column | str) -> Column:
     """Stages named in ``STAGE …`` segments; advanced or metastatic disease adds IV."""
     up = F.upper(X.text_or_empty(c))
     segments = F.regexp_extract_all(up, F.lit(K.STAGE_SEGMENT), F.lit(0))
     hits = []
     for stage in K.STAGES:
-        pattern = rf"\b{stage}(?:A|B|C)?\b"
-        cond = F.exists(segments, lambda s, p=pattern: s.rlike(p))
+        cond = _any_match(segments, rf"\b{stage}(?:A|B|C)?\b")
         if stage == "IV":
             cond = cond | up.contains("ADVANCED") | up.contains("METASTATIC")
         hits.append(F.when(cond, F.lit(stage)))

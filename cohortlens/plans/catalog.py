@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_matching
+from . import queries_loop, queries_matching
 
 QUERIES = {}
-for module in (queries_matching,):
+for module in (queries_matching, queries_loop):
     QUERIES.update(module.QUERIES)

@@ -233,3 +233,197 @@ judged AS (
 
 def with_roles(*parts: str) -> str:
     return "WITH " + ",\n".join([PATIENTS, TRIALS, PAIRS, *parts]) + "\n"
+
+
+# --- notes and facts ------------------------------------------------------------------------
+
+_ONC = ("regexp_matches(lower(coalesce(diagnosis, '')), 'cancer|carcinoma|leukemia|lymphoma|"
+        "melanoma|myeloma|neoplasm|sarcoma|tumor')")
+
+NOTES = f"""notes AS (
+  SELECT patient_id, patient_pos, concat_ws(' ',
+    CASE WHEN onc AND even THEN 'Oncology referral note' WHEN onc THEN 'Tumor board intake'
+      WHEN even THEN 'Clinical referral note' ELSE 'Clinical intake' END || ': ' || patient_id
+      || ' is a ' || CASE WHEN age IS NULL OR sex IS NULL THEN 'Adult patient'
+        ELSE age || '-year-old ' || sex END || ' ' || CASE WHEN diagnosis IS NULL
+        THEN 'with diagnosis not clearly documented' ELSE 'with ' || diagnosis END || '.',
+    CASE WHEN stage IS NOT NULL THEN 'Stage is recorded as ' || stage || '.'
+      WHEN onc THEN 'No formal stage is documented.' END,
+    CASE WHEN ecog IS NULL THEN 'ECOG performance status is not documented.'
+      ELSE 'ECOG performance status is ' || ecog || '.' END,
+    CASE WHEN cardinality(biomarkers) > 0 THEN 'Molecular testing shows ' || array_to_string(
+        list_transform(map_entries(biomarkers), lambda e: e.key || ' ' || e.value), ', ') || '.'
+      WHEN onc THEN 'Molecular testing results are not available in the note.' END,
+    CASE WHEN len(prior_treatments) > 0
+      THEN 'Prior therapy includes ' || array_to_string(prior_treatments, ', ') || '.'
+      WHEN onc THEN 'No prior systemic therapy is listed in the referral.' END,
+    CASE WHEN cardinality(flags) = 0 THEN 'No explicit exclusion comorbidities are addressed.'
+      ELSE array_to_string(list_transform(map_entries(flags), lambda e: CASE WHEN e.value
+        THEN 'The note reports ' || replace(e.key, '_', ' ') || '.'
+        ELSE 'No ' || replace(e.key, '_', ' ') || ' is reported.' END), ' ') END,
+    CASE WHEN state IS NOT NULL THEN 'The patient receives care in ' || state || '.' END,
+    'The note is a synthetic record created for software testing, not a real patient chart.'
+    ) AS note
+  FROM (SELECT *, {_ONC} AS onc, patient_pos % 2 = 0 AS even FROM patients))"""
+
+
+def _hit(pattern: str, c: str = "note", group: int = 1) -> str:
+    return f"nullif(regexp_extract({c}, '{pattern}', {group}), '')"
+
+
+def negated(c: str, phrase: str) -> str:
+    return (f"(regexp_matches({c}, '\\b(no|not|without|absent|absence of|lacks?|lack of)\\b"
+            f"[^.]{{0,80}}{phrase}') OR regexp_matches({c}, '{phrase}[^.]{{0,80}}"
+            f"\\b(absent|negative|not present|is absent)\\b'))")
+
+
+CANONICAL_FLAGS = ["active_interstitial_lung_disease", "active_autoimmune_disease",
+                   "uncontrolled_cardiac_disease", "active_uncontrolled_infection",
+                   "organ_transplant"]
+_MARKER = "(positive|negative|mutated|wild type|V600E|exon 19|L858R|amplified)"
+_FLAG_COLUMNS = ",\n    ".join(
+    f"CASE WHEN contains(low, '{f.replace('_', ' ')}') THEN "
+    f"NOT {negated('low', f.replace('_', ' '))} END AS f_{f}" for f in CANONICAL_FLAGS)
+
+FACTS = f"""facts AS (
+  SELECT patient_id, note, {_hit('(?i)\\b(\\d{1,3})-year-old\\b')}::INT AS age,
+    CASE WHEN regexp_matches(low, '\\b(male|man|boy)\\b') THEN 'male'
+      WHEN regexp_matches(low, '\\b(female|woman|girl)\\b') THEN 'female' END AS sex,
+    coalesce({_hit('(?i)with ([^.]+?)\\. Stage')}, {_hit('(?i)with ([^.]+?)\\. ECOG')},
+      {_hit('(?i)with ([^.]+?)\\. Molecular')}, {_hit('(?i)diagnosis of ([^.]+?)\\.')})
+      AS diagnosis,
+    upper({_hit('(?i)stage (?:is recorded as )?(iv|iii|ii|i|4|3|2|1)\\b')}) AS stage,
+    {_hit('(?i)\\bECOG performance status is\\s*([0-5])\\b')}::INT AS ecog,
+    {_hit('(?i)\\bEGFR\\b[^.]*?' + _MARKER)} AS b_egfr,
+    {_hit('(?i)\\bALK\\b[^.]*?' + _MARKER)} AS b_alk,
+    {_hit('(?i)\\bHER2\\b[^.]*?' + _MARKER)} AS b_her2,
+    CASE WHEN contains(low, 'platinum') THEN NOT {negated('low', 'platinum')}
+      WHEN contains(low, 'no prior systemic therapy')
+        OR contains(low, 'prior systemic therapy is not listed') THEN false END AS platinum,
+    {_FLAG_COLUMNS},
+    {_hit('receives care in ([A-Z]{2})\\b')} AS state
+  FROM (SELECT *, lower(note) AS low FROM notes))"""
+
+# Events read as answers of the customer with the same number.
+ANSWERS = """answers AS (
+  SELECT 'P' || lpad(user_id::VARCHAR, 12, '0') AS patient_id, ts, event_id,
+    CASE event_type
+      WHEN 'click' THEN 'ECOG performance status is ' || (event_id % 6) || '.'
+      WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'Now stage IV disease.'
+        ELSE 'It is stage 3.' END
+      WHEN 'error' THEN 'There is no organ transplant history.'
+      WHEN 'signup' THEN 'Had prior platinum in ' || (2000 + event_id % 24) || '.'
+      ELSE 'An active autoimmune disease was found.' END AS answer
+  FROM events)"""
+
+
+def _latest(value: str, name: str) -> str:
+    return (f"arg_max({value}, (ts, event_id)) FILTER (({value}) IS NOT NULL) AS {name}")
+
+
+_LOW = "lower(answer)"
+STATED = f"""stated AS (
+  SELECT patient_id,
+    {_latest("nullif(regexp_extract(" + _LOW + ", '\\becog(?: performance status)?\\s*(?:is|=)?"
+             "\\s*([0-5])\\b', 1), '')::INT", 'a_ecog')},
+    {_latest("CASE WHEN contains(lower(answer), 'stage iii') OR contains(lower(answer), "
+             "'stage 3') THEN 'III' WHEN contains(lower(answer), 'stage iv') OR "
+             "contains(lower(answer), 'stage 4') THEN 'IV' END", 'a_stage')},
+    {_latest("CASE WHEN contains(lower(answer), 'prior platinum') OR contains(lower(answer), "
+             "'platinum chemotherapy') THEN NOT " + negated(_LOW, 'platinum') + " END",
+             'a_platinum')},
+    {", ".join(_latest("CASE WHEN contains(lower(answer), '" + f.replace('_', ' ')
+                       + "') THEN NOT " + negated(_LOW, f.replace('_', ' ')) + " END", 'a_' + f)
+               for f in CANONICAL_FLAGS)}
+  FROM answers GROUP BY patient_id)"""
+
+FACTS_BOTH = f"""facts_both AS (
+  SELECT 'initial' AS phase, * EXCLUDE (note, state) FROM facts
+  UNION ALL
+  SELECT 'final', patient_id, age, sex, diagnosis, coalesce(a_stage, stage),
+    coalesce(a_ecog, ecog), b_egfr, b_alk, b_her2, coalesce(a_platinum, platinum),
+    {", ".join(f"coalesce(a_{f}, f_{f})" for f in CANONICAL_FLAGS)}
+  FROM facts LEFT JOIN stated USING (patient_id))"""
+
+CRITERIA = """criteria AS (
+  SELECT trial_id, 0 AS criterion_pos, 'I-condition' AS part, 'inclusion' AS ctype,
+    'Patient diagnosis should match the trial condition.' AS criterion,
+    NULL::VARCHAR AS name, NULL::VARCHAR AS need FROM trials
+  UNION ALL SELECT trial_id, 1, 'I-age', 'inclusion',
+    'Patient age should be within trial bounds.', NULL, NULL
+    FROM trials WHERE min_age IS NOT NULL OR max_age IS NOT NULL
+  UNION ALL SELECT trial_id, 2, 'I-sex', 'inclusion',
+    'Patient recorded sex should match the trial sex criterion.', NULL, NULL
+    FROM trials WHERE sex <> 'all'
+  UNION ALL SELECT trial_id, 3, 'I-stage', 'inclusion',
+    'Patient disease stage should be allowed.', NULL, NULL
+    FROM trials WHERE len(allowed_stages) > 0
+  UNION ALL SELECT trial_id, 4, 'I-ecog', 'inclusion',
+    'Patient ECOG performance status should be at or below the maximum.', NULL, NULL
+    FROM trials WHERE max_ecog IS NOT NULL
+  UNION ALL SELECT trial_id, 10 + i, 'I-biomarker-' || lower(m[1]), 'inclusion',
+    'Patient biomarker ' || m[1] || ' should match ' || m[2] || '.', m[1], m[2]
+    FROM (SELECT trial_id, unnest(markers) AS m, generate_subscripts(markers, 1) AS i FROM trials)
+  UNION ALL SELECT trial_id, 20 + i, 'I-prior-' || replace(x, ' ', '-'), 'inclusion',
+    'Patient should have prior treatment: ' || x || '.', x, NULL
+    FROM (SELECT trial_id, unnest(priors) AS x, generate_subscripts(priors, 1) AS i FROM trials)
+  UNION ALL SELECT trial_id, 30 + i, 'E-' || replace(x, '_', '-'), 'exclusion',
+    'Exclude if patient has ' || replace(x, '_', ' ') || '.', x, NULL
+    FROM (SELECT trial_id, unnest(excluded_flags) AS x,
+      generate_subscripts(excluded_flags, 1) AS i FROM trials))"""
+
+_NT = """list_filter(regexp_extract_all({0}, '[a-z0-9]+'), lambda w: length(w) > 3 AND NOT
+  list_contains(['advanced','cancer','carcinoma','disease','locally','metastatic','patient',
+  'patients','recurrent','solid','stage','tumor','tumors'], w))"""
+_FLAG_VALUE = "CASE name " + " ".join(
+    f"WHEN '{f}' THEN f_{f}" for f in CANONICAL_FLAGS) + " END"
+_SEEN = "CASE name WHEN 'EGFR' THEN b_egfr WHEN 'ALK' THEN b_alk WHEN 'HER2' THEN b_her2 END"
+
+# Statuses of every criterion of every pair in both phases; ``rules`` is 'new' or 'old'.
+VERDICTS = f"""rows0 AS (
+  SELECT pr.patient_id, pr.trial_id, c.criterion_pos, c.part, c.ctype, c.name, c.need, f.phase,
+    f.* EXCLUDE (patient_id, phase), t.min_age, t.max_age, t.sex AS t_sex, t.allowed_stages,
+    t.max_ecog, t.conditions, {_norm('f.diagnosis')} AS dx, {_FLAG_VALUE} AS flag_on,
+    {_SEEN} AS seen
+  FROM pairs pr JOIN criteria c USING (trial_id) JOIN trials t USING (trial_id)
+  JOIN facts_both f USING (patient_id)),
+rows1 AS (
+  SELECT *, len(list_filter(conditions, lambda c: contains(dx, {_norm('c')})
+      OR contains({_norm('c')}, dx) OR len(list_intersect({_NT.format('dx')},
+        {_NT.format(_norm('c'))})) > 0)) > 0 AS dx_ok,
+    CASE lower(need) WHEN 'positive' THEN lower(seen) NOT IN ('negative', 'not detected',
+        'wild type') WHEN 'negative' THEN lower(seen) IN ('negative', 'not detected',
+        'wild type') ELSE contains(lower(seen), lower(need)) OR contains(lower(need),
+        lower(seen)) END AS marker_ok FROM rows0),
+verdicts AS (
+  SELECT patient_id, trial_id, phase, criterion_pos, part, ctype, rules,
+    CASE WHEN part = 'I-condition' THEN CASE WHEN diagnosis IS NULL THEN 'unknown'
+        WHEN dx_ok THEN 'satisfied' ELSE 'violated' END
+      WHEN part = 'I-age' THEN CASE WHEN age IS NULL THEN 'unknown'
+        WHEN age < min_age OR age > max_age THEN 'violated' ELSE 'satisfied' END
+      WHEN part = 'I-stage' AND rules = 'old' THEN
+        CASE WHEN age IS NULL THEN 'unknown' ELSE 'satisfied' END
+      WHEN part = 'I-stage' THEN CASE WHEN stage IS NULL THEN 'unknown'
+        WHEN list_contains(allowed_stages, stage) THEN 'satisfied' ELSE 'violated' END
+      WHEN part = 'I-ecog' THEN CASE WHEN ecog IS NULL THEN 'unknown'
+        WHEN ecog <= max_ecog THEN 'satisfied' ELSE 'violated' END
+      WHEN part = 'I-prior-platinum-chemotherapy' THEN CASE WHEN platinum IS NULL
+        THEN 'unknown' WHEN platinum THEN 'satisfied' ELSE 'violated' END
+      WHEN ctype = 'exclusion' THEN CASE WHEN flag_on IS NULL THEN 'unknown'
+        WHEN flag_on THEN 'violated' ELSE 'satisfied' END
+      WHEN rules = 'old' THEN 'unknown'
+      WHEN part = 'I-sex' THEN CASE WHEN sex IS NULL THEN 'unknown'
+        WHEN sex = t_sex THEN 'satisfied' ELSE 'violated' END
+      WHEN need IS NOT NULL THEN CASE WHEN seen IS NULL THEN 'unknown'
+        WHEN marker_ok THEN 'satisfied' ELSE 'violated' END
+      ELSE 'unknown' END AS status
+  FROM rows1, (VALUES ('new'), ('old')) AS r(rules))"""
+
+LOOP = [NOTES, FACTS, ANSWERS, STATED, FACTS_BOTH, CRITERIA, VERDICTS]
+
+ROLLED = """rolled AS (
+  SELECT patient_id, trial_id, phase, rules,
+    count(*) FILTER (status = 'satisfied')::INT AS satisfied,
+    CASE WHEN bool_or(status = 'violated') THEN 'ineligible'
+      WHEN bool_or(status = 'unknown') THEN 'uncertain' ELSE 'eligible' END AS eligibility
+  FROM verdicts GROUP BY ALL)"""

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\r\u000b\f"
 
 
+def reused(build):
+    """Keep the columns a builder makes, per Spark application and arguments.
+
+    A column is only a description, so it can stand in any number of plans; the large ones
+    take seconds to put together through the gateway and milliseconds to use again.
+    """
+    made = {}
+
+    @functools.wraps(build)
+    def get(*args, **kwargs):
+        context = SparkContext._active_spark_context
+        key = (context.applicationId, args, tuple(sorted(kwargs.items())))
+        if key not in made:
+            made[key] = build(*args, **kwargs)
+        return made[key]
+    return get
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

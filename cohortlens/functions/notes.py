@@ -114,8 +114,12 @@ def location_from_note(c: Column | str) -> Column:
 
 def extract_facts(notes: DataFrame, note: str = "note") -> DataFrame:
     """Facts a free note states.  One row in, one row out; no shuffle."""
-    return notes.select(
-        "patient_id",
+    return notes.select("patient_id", *_fact_columns(note))
+
+
+@X.reused
+def _fact_columns(note: str) -> list[Column]:
+    return [
         years_from_note(note).alias("age"),
         sex_from_note(note).alias("sex"),
         diagnosis_from_note(note).alias("diagnosis"),
@@ -126,7 +130,7 @@ def extract_facts(notes: DataFrame, note: str = "note") -> DataFrame:
         flags_from_note(note).alias("flags"),
         location_from_note(note).alias("location"),
         F.col(note).alias("source_note"),
-    )
+    ]
 
 
 def fact_summary() -> Column:
@@ -148,7 +152,8 @@ def is_oncology(c: Column | str) -> Column:
     return cond
 
 
-def render_note(position: Column | str = "patient_pos") -> Column:
+@X.reused
+def render_note(position: str = "patient_pos") -> Column:
     """Templated note of a structured patient; a note that exists is kept.
 
     Wording depends on whether the diagnosis is oncological and on an even or odd position.
@@ -236,13 +241,17 @@ def right_wins(left: Column, right: Column) -> Column:
 
 def overlay_note_facts(extraction: DataFrame, note: str = "note") -> DataFrame:
     """Given facts completed from the note; note-derived biomarkers and flags win."""
+    return extraction.select("patient_id", *_overlay_columns(note))
+
+
+@X.reused
+def _overlay_columns(note: str) -> list[Column]:
     n = F.col(note)
     pair = r"(?i)\b(\d{2,3})-year-old\s+(female|male)\b"
     dx = X.strip(_found(n, r"(?i)\bwith\s+([^.;]+?)(?:\.| Stage| No formal stage)"))
     stage = X.strip(_found(n, r"(?i)\bStage is recorded as\s+([A-Za-z0-9]+)"))
     ecog = _found(n, r"(?i)\bECOG performance status is\s+(\d+)").cast("int")
-    return extraction.select(
-        "patient_id",
+    return [
         F.coalesce("age", _found(n, pair, 1).cast("int")).alias("age"),
         F.coalesce(F.col("sex"), F.lower(_found(n, pair, 2))).alias("sex"),
         F.coalesce(F.nullif("diagnosis", F.lit("")), dx).alias("diagnosis"),
@@ -253,4 +262,4 @@ def overlay_note_facts(extraction: DataFrame, note: str = "note") -> DataFrame:
         .alias("prior_treatments"),
         right_wins(X.bool_map("flags"), reported_flags(n)).alias("flags"),
         F.lit(True).alias("local_validator_applied"),
-    )
+    ]

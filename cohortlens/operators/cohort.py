@@ -11,6 +11,7 @@ from ..functions.notes import is_oncology, render_note
 from .ranking import full_rank
 
 
+@X.reused
 def scenarios() -> Column:
     """Scenarios a trial row supports, in fixed order."""
     w = lambda c, *names: F.when(c, X.words(names)).otherwise(X.no_strings())

@@ -20,6 +20,7 @@ def _criterion(cond, suffix, kind, text, value) -> Column:
     return made if cond is None else F.when(cond, made)
 
 
+@X.reused
 def criteria_array() -> Column:
     """All criteria of a trial row, in their fixed order."""
     quoted = lambda c: F.to_json(F.array(c))

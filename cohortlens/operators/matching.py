@@ -39,44 +39,52 @@ def _entries(m: Column) -> Column:
         X.norm_key(e["value"]).alias("norm")))
 
 
-def prepare_patients(patients: DataFrame, generic=K.PAIR_GENERIC_WORDS) -> DataFrame:
-    """Patient columns with a ``p_`` prefix plus their comparison forms."""
+@X.reused
+def _patient_columns() -> list[Column]:
     dx = X.norm_key("diagnosis")
     missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in SCALAR_FIELDS]
     missing += [F.when(F.size(c) == 0, F.lit(c)) for c in LIST_FIELDS]
-    keep = [c for c in ("patient_pos",) if c in patients.columns]
-    return patients.select(
-        "patient_id", *keep,
+    return [
         *[F.col(c).alias("p_" + c) for c in ("age", "sex", "diagnosis", "stage", "ecog",
                                              "flags")],
         F.nullif(F.col("diagnosis"), F.lit("")).isNotNull().alias("p_has_dx"),
         dx.alias("p_dx"),
-        disease_tokens(dx, generic).alias("p_dx_tokens"),
+        disease_tokens(dx).alias("p_dx_tokens"),
         X.norm_key("sex").alias("p_sex_key"),
         X.norm_key("stage").alias("p_stage_key"),
         _entries(F.col("biomarkers")).alias("p_markers"),
         F.array_distinct(F.transform("prior_treatments", X.norm_key)).alias("p_priors"),
         F.array_compact(F.array(*missing)).alias("p_missing"),
-    )
+    ]
 
 
-def prepare_trials(trials: DataFrame, generic=K.PAIR_GENERIC_WORDS) -> DataFrame:
-    """Trial columns with a ``t_`` prefix plus their comparison forms."""
-    keep = [c for c in ("trial_pos",) if c in trials.columns]
-    return trials.select(
-        "trial_id", *keep,
+def prepare_patients(patients: DataFrame) -> DataFrame:
+    """Patient columns with a ``p_`` prefix plus their comparison forms."""
+    keep = [c for c in ("patient_pos",) if c in patients.columns]
+    return patients.select("patient_id", *keep, *_patient_columns())
+
+
+@X.reused
+def _trial_columns() -> list[Column]:
+    return [
         *[F.col(c).alias("t_" + c) for c in (
             "title", "min_age", "max_age", "sex", "allowed_stages", "max_ecog",
             "required_biomarkers", "excluded_flags", "required_patient_fields", "conditions")],
         F.transform("conditions", lambda c: F.struct(
             c.alias("raw"), X.norm_key(c).alias("norm"),
-            disease_tokens(X.norm_key(c), generic).alias("tokens"))).alias("t_terms"),
+            disease_tokens(X.norm_key(c)).alias("tokens"))).alias("t_terms"),
         X.norm_key("sex").alias("t_sex_key"),
         F.transform("allowed_stages", X.norm_key).alias("t_stage_keys"),
         _entries(F.col("required_biomarkers")).alias("t_markers"),
         F.transform("required_prior_treatments", lambda x: F.struct(
             x.alias("raw"), X.norm_key(x).alias("norm"))).alias("t_priors"),
-    )
+    ]
+
+
+def prepare_trials(trials: DataFrame) -> DataFrame:
+    """Trial columns with a ``t_`` prefix plus their comparison forms."""
+    keep = [c for c in ("trial_pos",) if c in trials.columns]
+    return trials.select("trial_id", *keep, *_trial_columns())
 
 
 def attach_records(pairs: DataFrame, patients: DataFrame, trials: DataFrame) -> DataFrame:
@@ -229,6 +237,7 @@ def exclusion_flag_rows() -> Column:
     return F.transform("t_excluded_flags", one)
 
 
+@X.reused
 def evidence_array() -> Column:
     """All checks of a pair, in their fixed order (a bag: repeats are kept)."""
     singles = F.array_compact(F.array(
@@ -241,6 +250,7 @@ def count_status(evidence: Column | str, status: str) -> Column:
     return F.size(F.filter(evidence, lambda e: e["status"] == status)).cast("int")
 
 
+@X.reused
 def evidence_score(evidence: Column | str, missing_weight: float = K.MISSING_WEIGHT) -> Column:
     """Share of points; the fold adds in evidence order so sums are reproducible."""
     points = F.aggregate(evidence, F.lit(0.0), lambda acc, e: acc + F.when(
@@ -259,19 +269,29 @@ def judge_pairs(pairs: DataFrame, patients: DataFrame, trials: DataFrame, *,
     judged = rows.select(
         "patient_id", "trial_id", *carried, *order, F.col("t_title").alias("trial_title"),
         evidence_array().alias("evidence"))
-    scored = judged.withColumn("_share", evidence_score(F.col("evidence"), missing_weight))
-    return scored.select(
-        *judged.columns,
-        count_status(F.col("evidence"), "matched").alias("matched"),
-        count_status(F.col("evidence"), "missing").alias("missing"),
-        count_status(F.col("evidence"), "conflict").alias("conflicts"),
+    scored = judged.withColumn("_share", evidence_score("evidence", missing_weight))
+    return scored.select(*judged.columns, *_measures())
+
+
+@X.reused
+def _measures() -> list[Column]:
+    return [
+        count_status("evidence", "matched").alias("matched"),
+        count_status("evidence", "missing").alias("missing"),
+        count_status("evidence", "conflict").alias("conflicts"),
         X.round_exact("_share", 3).alias("score"),
-    )
+    ]
 
 
 def decide(judged: DataFrame, *, recommend: float = K.RECOMMEND_AT,
            info: float = K.INFO_AT) -> DataFrame:
     """Decision and rationale from the counts and the score."""
+    decision, rationale = _decision_columns(recommend, info)
+    return judged.withColumn("decision", decision).withColumn("rationale", rationale)
+
+
+@X.reused
+def _decision_columns(recommend: float, info: float) -> tuple[Column, Column]:
     decision = (
         F.when(F.col("conflicts") > 0, "not_recommended")
         .when(F.col("missing") > 0,
@@ -290,7 +310,7 @@ def decide(judged: DataFrame, *, recommend: float = K.RECOMMEND_AT,
             F.lit("Not recommended because "), s("conflicts"), F.lit(" conflicts and "),
             s("missing"), F.lit(" missing items were found.")))
     )
-    return judged.withColumn("decision", decision).withColumn("rationale", rationale)
+    return decision, rationale
 
 
 def evidence_rows(judged: DataFrame) -> DataFrame:
@@ -336,16 +356,6 @@ def condition_links(patients: DataFrame, trials: DataFrame, gram: int = 4) -> Da
             .unionByName(inside(dx, cond, "dx", "cond")).distinct())
 
 
-def note_condition_matches(dx: Column, conditions: Column,
-                           generic=K.NOTE_GENERIC_WORDS) -> Column:
-    """The note evaluator's rule: containment, or a shared word of its own word list."""
-    d = X.norm_text(dx)
-    tokens = note_tokens(d, generic)
-    return F.exists(conditions, lambda c: F.contains(d, X.norm_text(c))
-                    | F.contains(X.norm_text(c), d)
-                    | F.arrays_overlap(tokens, note_tokens(X.norm_text(c), generic)))
-
-
 def note_marker_matches(observed: Column, required: Column) -> Column:
     """The note evaluator's looser biomarker rule."""
     o, r = X.norm_text(observed), X.norm_text(required)

@@ -74,6 +74,7 @@ def with_questions(judged: DataFrame) -> DataFrame:
     return judged.withColumn("questions", evidence_questions("evidence"))
 
 
+@X.reused
 def question_field(*, compat: bool = False) -> Column:
     """Field an unknown judgment is grouped under.
 
@@ -176,6 +177,13 @@ def answer_facts(answers: DataFrame, pos: Column | None = None) -> DataFrame:
     One aggregation of ``max_by`` per fact: partial results combine before the shuffle.
     """
     pos = F.col("ans_pos") if pos is None else pos
+    found, latest = _answer_columns()
+    return answers.select("patient_id", pos.alias("_pos"), *found).groupBy("patient_id").agg(
+        *latest)
+
+
+@X.reused
+def _answer_columns() -> tuple[list[Column], list[Column]]:
     low = F.lower("answer")
     ecog = F.nullif(F.regexp_extract(
         low, r"\becog(?: performance status)?\s*(?:is|=)?\s*([0-5])\b", 1), F.lit("")
@@ -189,11 +197,9 @@ def answer_facts(answers: DataFrame, pos: Column | None = None) -> DataFrame:
     for flag in K.CANONICAL_FLAGS:
         phrase = flag.replace("_", " ")
         found[flag] = F.when(has(phrase), ~N.negated(low, phrase))
-    rows = answers.select("patient_id", pos.alias("_pos"),
-                          *[c.alias("a_" + n) for n, c in found.items()])
-    return rows.groupBy("patient_id").agg(*[
+    return [c.alias("a_" + n) for n, c in found.items()], [
         F.max_by("a_" + n, F.when(F.col("a_" + n).isNotNull(), F.col("_pos"))).alias("a_" + n)
-        for n in found])
+        for n in found]
 
 
 def apply_answers(facts: DataFrame, answers: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import evaluation as E
 from ..operators import note_matching as NM
 from ..operators import questions as Q
 from ..operators import rollup as U
+from ..session import broadcast_if_small
 from . import roles
 from . import roles_sql as S
 from .registry import Registry
@@ -44,11 +45,11 @@ def answers(spark, sf_dir):
         .alias("patient_id"), text.alias("answer"), F.struct("ts", "event_id").alias("ans_pos"))
 
 
-def pair_criteria(spark, sf_dir):
+def pair_criteria(spark, sf_dir, *, compat=False):
+    """Criteria of every pair, prepared once per trial before they meet the pairs."""
     crit = C.typed(C.derive_criteria(roles.trials(spark, sf_dir)))
-    return roles.pair_columns(spark, sf_dir).join(crit, "trial_id").select(
-        *PAIR, "criterion_pos", "criterion_id", "criterion_type", "criterion",
-        "structured_value")
+    prepared = NM.prepare_criteria(crit.drop("structured_json"), compat=compat)
+    return roles.pair_columns(spark, sf_dir).join(broadcast_if_small(prepared), "trial_id")
 
 
 def judgments(spark, sf_dir, *, compat=False, phases=("initial", "final")):
@@ -56,7 +57,7 @@ def judgments(spark, sf_dir, *, compat=False, phases=("initial", "final")):
     by_phase = {"initial": lambda: f, "final": lambda: Q.apply_answers(f, answers(spark, sf_dir))}
     all_facts = reduce(lambda a, b: a.unionByName(b),
                        [by_phase[p]().withColumn("phase", F.lit(p)) for p in phases])
-    return NM.judge_criteria(all_facts, pair_criteria(spark, sf_dir), compat=compat)
+    return NM.judge_criteria(all_facts, pair_criteria(spark, sf_dir, compat=compat))
 
 
 def part():

@@ -46,6 +46,11 @@ def _smap(*pairs):
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(*_patient_columns())
+
+
+@X.reused
+def _patient_columns():
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     none_s = F.create_map().cast("map<string,string>")
     none_b = F.create_map().cast("map<string,boolean>")
@@ -54,7 +59,7 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.lit(None).cast("string")), (n % 5 + 1).cast("int"))
     state = F.element_at(X.words(["CA", "NY", "TX", "WA", "MA", "IL", "FL"]),
                          (n % 7 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select(
+    return [
         k.alias("patient_pos"), _pid("c_custkey").alias("patient_id"),
         F.when(k % 17 != 0, k % 95).cast("int").alias("age"),
         F.when(k % 3 == 0, "female").when(k % 3 == 1, "Male").when(k % 5 != 0, "female")
@@ -82,10 +87,17 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("clinical_note"),
         F.lower("c_mktsegment").alias("scenario"),
         F.lit(None).cast("string").alias("target_trial_id"),
-    )
+    ]
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, need = _trial_columns()
+    return table(spark, sf_dir, "part").select(*base).withColumn(
+        "required_patient_fields", need)
+
+
+@X.reused
+def _trial_columns():
     k = F.col("p_partkey")
     no, none_s = X.no_strings(), F.create_map().cast("map<string,string>")
     cond = no
@@ -103,7 +115,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.when(k % 5 == 0, X.words(["organ_transplant"])).when(
         k % 5 == 1, X.words(["uncontrolled_cardiac_disease", "active_autoimmune_disease"])
     ).when(k % 5 == 2, X.words(["active_interstitial_lung_disease"])).otherwise(no)
-    base = table(spark, sf_dir, "part").select(
+    base = [
         k.alias("trial_pos"), _tid("p_partkey").alias("trial_id"),
         F.concat_ws(" ", "p_name", "p_brand").alias("title"),
         F.concat(F.lit("PHASE"), (k % 3 + 1).cast("string")).alias("phase"),
@@ -119,13 +131,13 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 400).cast("int").alias("enrollment"),
         F.concat(F.lit("https://registry.example/"), _tid("p_partkey")).alias("source_url"),
         F.lit(None).cast("string").alias("eligibility_criteria"),
-        no.alias("inclusion_criteria"), no.alias("exclusion_criteria"))
+        no.alias("inclusion_criteria"), no.alias("exclusion_criteria")]
     need = F.array_compact(F.array(
         F.lit("diagnosis"), F.when(F.size("allowed_stages") > 0, F.lit("stage")),
         F.when(F.col("max_ecog").isNotNull(), F.lit("ecog")),
         F.when(F.size("required_biomarkers") > 0, F.lit("biomarkers")),
         F.when(F.size("required_prior_treatments") > 0, F.lit("prior_treatments"))))
-    return base.withColumn("required_patient_fields", need)
+    return base, need
 
 
 def ordered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

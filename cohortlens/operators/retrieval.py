@@ -80,12 +80,15 @@ def index_tokens(sections: DataFrame) -> DataFrame:
     return sections.withColumn("tokens", tokenize(F.concat_ws(" ", *head, "section", "text")))
 
 
-def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_postings(chunks: DataFrame, *, store: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(postings, stats)`` of chunks with ``trial_id, trial_pos, chunk_pos, tokens``.
 
     ``postings``: (token, trial_id, trial_pos, tf, chunks) with counts summed per trial.
     ``stats``: (token, df, max_tf, idf) with the document frequency over chunks.  Both are
     aggregations with partial results, so a token in every chunk is pre-added per task.
+
+    The postings are read several times by a retrieval, so they are stored once; texts are
+    not tokenized again.
     """
     terms = chunks.select("trial_id", "trial_pos", "chunk_pos",
                           F.explode("tokens").alias("token"))
@@ -93,13 +96,15 @@ def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count(F.lit(1)).alias("tf"))
     postings = per_chunk.groupBy("token", "trial_id", "trial_pos").agg(
         F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("chunks"))
+    if store:
+        postings = written(postings, "postings")
     n_chunks = chunks.agg(F.count(F.lit(1))).scalar()
     df = postings.groupBy("token").agg(
         F.sum("chunks").alias("df"), F.max("tf").alias("max_tf"))
     idf = F.log(1 + (n_chunks + 1) / (F.col("df") + 1))
     stats = df.select(
         "token", "df", "max_tf", F.round(idf * SCALE).cast("bigint").alias("idf"))
-    return postings, stats
+    return postings, written(stats, "token-stats") if store else stats
 
 
 def query_terms(queries: DataFrame, stats: DataFrame, text: str = "text") -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_loop, queries_matching
+from . import queries_loop, queries_matching, queries_text
 
 QUERIES = {}
-for module in (queries_matching, queries_loop):
+for module in (queries_matching, queries_loop, queries_text):
     QUERIES.update(module.QUERIES)

@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import audit as A
+from ..operators import criteria as C
+from ..operators import evaluation as E
 from ..operators import matching as M
+from ..operators import questions as AQ
 from ..operators import ranking as R
+from ..operators import responses as RS
+from ..operators import rollup as U
+from ..sources import sinks
+from . import queries_loop as QL
 from . import roles
 from . import roles_sql as Q
 from .registry import Registry
@@ -49,3 +57,262 @@ def evidence_profile(spark, sf_dir):
         "criterion", "status", "detail").agg(
         F.count(F.lit(1)).alias("n"), F.min("patient_id").alias("first_patient"),
         F.max("trial_id").alias("last_trial"))
+
+
+# --- report rows ----------------------------------------------------------------------------------
+
+def decided_with_trials(spark, sf_dir):
+    t = roles.trials(spark, sf_dir)
+    decided = M.decide(M.judge_pairs(roles.pairs(spark, sf_dir), roles.patients(spark, sf_dir), t))
+    return decided, t
+
+
+def report_rows(spark, sf_dir):
+    return U.report_recommendations(*decided_with_trials(spark, sf_dir))
+
+
+_REPORT = _JUDGED + f""",
+open AS (SELECT trial_id, (sex = 'all')::INT + (len(allowed_stages) = 0)::INT
+    + (max_ecog IS NULL)::INT + (len(markers) = 0)::INT AS na FROM trials),
+labelled AS (SELECT j.*, na, CASE WHEN conflicts > 0 THEN 'ineligible' WHEN missing > 0
+    THEN 'uncertain' WHEN matched > 0 THEN 'eligible' ELSE 'uncertain' END AS eligibility
+  FROM judged j JOIN open USING (trial_id)),
+banded AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE eligibility
+    WHEN 'eligible' THEN 0.75::DOUBLE + 0.25::DOUBLE * score
+    WHEN 'uncertain' THEN 0.45::DOUBLE + 0.25::DOUBLE * score
+      - least(0.2::DOUBLE, missing::DOUBLE * 0.03::DOUBLE)
+    ELSE 0.1::DOUBLE + 0.2::DOUBLE * score END)) AS band FROM labelled),
+report AS (SELECT *, {Q.round_exact('band', 3)} AS recommendation_score FROM banded)
+"""
+
+
+@QUERIES.add("rollup_policies", "AGG-04 AGG-06 AGG-07 AGG-08", _REPORT + """
+SELECT eligibility AS by_ignore, CASE WHEN conflicts > 0 THEN 'ineligible' WHEN missing > 0
+    THEN 'uncertain' WHEN matched + na > 0 THEN 'eligible' ELSE 'uncertain' END AS by_accept,
+  CASE WHEN conflicts > 0 OR na > 0 THEN 'ineligible' WHEN missing > 0 THEN 'uncertain'
+    ELSE 'eligible' END AS by_reject, count(*) AS n,
+  sum(na)::BIGINT AS not_applicable, min(patient_id || trial_id) AS first_pair
+FROM report GROUP BY ALL""")
+def rollup_policies(spark, sf_dir):
+    rows = report_rows(spark, sf_dir)
+    by = {n: U.roll_up_array("criterion_results", **p).alias("by_" + n)
+          for n, p in (("ignore", {}), ("accept", {"na_policy": "accept"}),
+                       ("reject", {"na_policy": "reject", "empty": "eligible"}))}
+    labelled = rows.select("patient_id", "trial_id", "not_applicable", *by.values())
+    return labelled.groupBy("by_ignore", "by_accept", "by_reject").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("not_applicable").cast("bigint")
+        .alias("not_applicable"),
+        F.min(F.concat("patient_id", "trial_id")).alias("first_pair"))
+
+
+@QUERIES.add("report_ranking", "AGG-05 AGG-17 RNK-02 AGG-09", _REPORT + """
+SELECT patient_id, trial_id, eligibility, recommendation_score, retrieval_score,
+  row_number() OVER (PARTITION BY patient_id ORDER BY CASE eligibility WHEN 'eligible' THEN 3
+    WHEN 'uncertain' THEN 2 ELSE 1 END DESC, recommendation_score DESC, retrieval_score DESC,
+    retrieval_pos) AS rank FROM report""")
+def report_ranking(spark, sf_dir):
+    return R.rank_report(report_rows(spark, sf_dir)).select(
+        "patient_id", "trial_id", "eligibility", "recommendation_score", "retrieval_score",
+        F.col("rank").cast("bigint").alias("rank"))
+
+
+_BUCKETS = _REPORT + """,
+buckets AS (SELECT *, row_number() OVER (PARTITION BY patient_id, eligibility
+    ORDER BY matched DESC, retrieval_pos) AS bucket_rank FROM report)
+"""
+
+
+def buckets(spark, sf_dir):
+    return R.bucket_ranks(report_rows(spark, sf_dir), pos="retrieval_pos")
+
+
+@QUERIES.add("bucket_partition", "RNK-03 RNK-04", _BUCKETS + """
+SELECT patient_id, trial_id, eligibility, bucket_rank FROM buckets""")
+def bucket_partition(spark, sf_dir):
+    return buckets(spark, sf_dir).select("patient_id", "trial_id", "eligibility",
+                                         F.col("bucket_rank").cast("bigint").alias("bucket_rank"))
+
+
+@QUERIES.add("patient_summaries", "AGG-10", _BUCKETS + """,
+per AS (SELECT patient_id,
+    string_agg(trial_id, ', ' ORDER BY bucket_rank) FILTER (eligibility = 'eligible') AS e,
+    string_agg(trial_id, ', ' ORDER BY bucket_rank) FILTER (eligibility = 'uncertain') AS u,
+    count(*) FILTER (eligibility = 'ineligible') AS x FROM buckets GROUP BY patient_id)
+SELECT patient_id, CASE WHEN e IS NOT NULL
+    THEN 'Recommended eligible trial ids after final matching: ' || e || '.'
+  WHEN u IS NOT NULL THEN 'No eligible trial was identified; uncertain trials needing more '
+    || 'information: ' || u || '.'
+  ELSE 'No eligible or uncertain trial was identified; excluded trial count: ' || x || '.' END
+  AS patient_level_summary FROM per""")
+def patient_summaries(spark, sf_dir):
+    return U.patient_summary(buckets(spark, sf_dir)).select("patient_id", "patient_level_summary")
+
+
+@QUERIES.add("report_questions", "QST-01 QST-02", _JUDGED + """,
+asked AS (SELECT DISTINCT patient_id, trial_id, CASE
+    WHEN criterion = 'field:diagnosis' THEN 'What is the confirmed diagnosis?'
+    WHEN criterion = 'field:stage' THEN 'What is the current disease stage?'
+    WHEN criterion = 'field:ecog' THEN 'What is the current ECOG performance status?'
+    WHEN criterion = 'field:age' THEN 'What is the patient''s age?'
+    WHEN criterion = 'field:sex' THEN 'What sex is recorded for trial eligibility purposes?'
+    WHEN criterion = 'field:prior_treatments'
+      THEN 'Which prior systemic treatments has the patient received?'
+    WHEN criterion LIKE 'field:%' THEN 'What is the patient''s ' || substr(criterion, 7) || '?'
+    WHEN criterion LIKE 'biomarker:%'
+      THEN 'What is the patient''s ' || substr(criterion, 11) || ' biomarker result?'
+    ELSE 'Does the patient have ' || replace(substr(criterion, 6), '_', ' ') || '?' END AS q,
+    'What is the patient''s ' || replace(substr(criterion, 7), '_', ' ') || '?' AS q2, criterion
+  FROM ev WHERE status = 'missing'),
+all_q AS (SELECT patient_id, trial_id, q FROM asked
+  UNION SELECT patient_id, trial_id, q2 FROM asked WHERE criterion LIKE 'field:%')
+SELECT q AS question, count(*) AS pairs, min(patient_id || trial_id) AS first_pair
+FROM all_q GROUP BY q""")
+def report_questions(spark, sf_dir):
+    rows = report_rows(spark, sf_dir).select("patient_id", "trial_id", F.explode(
+        AQ.report_questions("evidence", "criterion_results")).alias("question"))
+    return rows.groupBy("question").agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.min(F.concat("patient_id", "trial_id")).alias("first_pair"))
+
+
+# --- retrieved candidates against expectations -----------------------------------------------------
+
+def top_candidates(spark, sf_dir, k=5):
+    """The k parts a customer ordered most of."""
+    return R.top_n(roles.pairs(spark, sf_dir), ["patient_id"], [
+        F.col("retrieval_score").desc(), F.col("retrieval_pos")], k, "retrieval_rank")
+
+
+_FOUND = """,
+found AS (SELECT * FROM (SELECT patient_id, trial_id, row_number() OVER (PARTITION BY patient_id
+    ORDER BY retrieval_score DESC, retrieval_pos) AS rk FROM pairs) WHERE rk <= 5)
+"""
+
+
+@QUERIES.add("recall_at_k", "EVL-08 RET-08 JON-02 JON-17", _JUDGED + _FOUND + f""",
+targets AS (SELECT patient_id, min(trial_id) AS trial_id FROM pairs GROUP BY patient_id),
+expected AS (SELECT patient_id, trial_id, 'recommend' AS kind FROM judged
+    WHERE decision = 'recommend'
+  UNION ALL SELECT patient_id, trial_id, 'potential' FROM judged
+    WHERE decision <> 'not_recommended'
+  UNION ALL SELECT patient_id, trial_id, 'target' FROM targets),
+c AS (SELECT kind, count(rk) AS hits, count(*) AS expected FROM expected
+  LEFT JOIN found USING (patient_id, trial_id) GROUP BY kind)
+SELECT kind, hits, expected, {Q.round_exact('hits / expected', 3)} AS recall FROM c""")
+def recall_at_k(spark, sf_dir):
+    decided, _ = decided_with_trials(spark, sf_dir)
+    targets = roles.pairs(spark, sf_dir).groupBy("patient_id").agg(
+        F.min("trial_id").alias("trial_id"))
+    return E.recall_at_k(top_candidates(spark, sf_dir), E.expected_pairs(decided, targets))
+
+
+@QUERIES.add("label_file_rows", "SNK-03 RET-08", _JUDGED + _FOUND + """
+SELECT patient_id AS "PATIENT_ID", trial_id AS "TRIAL_ID", CASE decision
+    WHEN 'recommend' THEN 'eligible' WHEN 'needs_more_info' THEN 'uncertain'
+    ELSE 'ineligible' END AS "ELIGIBILITY", decision AS "INTERNAL_BASELINE_LABEL",
+  score::VARCHAR AS "BASELINE_SCORE", rk::VARCHAR AS "RANK"
+FROM found JOIN judged USING (patient_id, trial_id)""")
+def label_file_rows(spark, sf_dir):
+    decided, _ = decided_with_trials(spark, sf_dir)
+    return sinks.candidate_label_rows(top_candidates(spark, sf_dir), decided)
+
+
+# --- rule-based labels, and their agreement with the note-based ones --------------------------------
+
+def baseline(spark, sf_dir):
+    judged = judged_pairs(spark, sf_dir)
+    return RS.baseline_labels(judged, C.derive_criteria(roles.trials(spark, sf_dir)))
+
+
+_BASE = Q.with_roles(*Q.LOOP, Q.EVIDENCE) + """,
+evs AS (SELECT patient_id, trial_id, criterion, arg_max(status, k) AS status FROM ev
+  GROUP BY ALL),
+wanted AS (SELECT p.patient_id, c.trial_id, c.part, CASE
+    WHEN part = 'I-condition' THEN ['condition', 'field:diagnosis']
+    WHEN need IS NOT NULL THEN ['biomarker:' || name]
+    WHEN part LIKE 'I-prior-%' THEN ['prior_treatment:' || name, 'field:prior_treatments']
+    WHEN ctype = 'exclusion' THEN ['flag:' || name]
+    ELSE [substr(part, 3), 'field:' || substr(part, 3)] END AS keys
+  FROM criteria c JOIN pairs p USING (trial_id)),
+looked AS (SELECT w.patient_id, w.trial_id, w.part, coalesce(a.status, b.status) AS st
+  FROM wanted w LEFT JOIN evs a ON a.patient_id = w.patient_id AND a.trial_id = w.trial_id
+    AND a.criterion = w.keys[1]
+  LEFT JOIN evs b ON b.patient_id = w.patient_id AND b.trial_id = w.trial_id
+    AND b.criterion = w.keys[2]),
+base AS (SELECT patient_id, trial_id, part, CASE st WHEN 'matched' THEN 'satisfied'
+    WHEN 'conflict' THEN 'violated' ELSE 'unknown' END AS status FROM looked),
+base_label AS (SELECT patient_id, trial_id, CASE WHEN bool_or(status = 'violated')
+    THEN 'ineligible' WHEN bool_or(status = 'unknown') THEN 'uncertain' ELSE 'eligible' END
+    AS eligibility, count(*) AS n FROM base GROUP BY ALL)
+"""
+
+
+@QUERIES.add("baseline_labels", "LBL-11 JON-04 AGG-06 RNK-06", _BASE + """
+SELECT b.patient_id || '__' || b.trial_id AS pair_id, eligibility, n::INT AS criteria,
+  count(*) FILTER (status = 'unknown')::INT AS unknown
+FROM base b JOIN base_label USING (patient_id, trial_id) GROUP BY ALL""")
+def baseline_labels(spark, sf_dir):
+    return baseline(spark, sf_dir).select(
+        "pair_id", "eligibility", F.size("criterion_results").cast("int").alias("criteria"),
+        M.count_status("criterion_results", "unknown").alias("unknown"))
+
+
+@QUERIES.add("agreement_by_scenario", "EVL-10 JON-02", _BASE + f""",
+note AS (SELECT patient_id, trial_id, part, status FROM verdicts
+  WHERE phase = 'initial' AND rules = 'new'),
+note_label AS (SELECT patient_id, trial_id, CASE WHEN bool_or(status = 'violated')
+    THEN 'ineligible' WHEN bool_or(status = 'unknown') THEN 'uncertain'
+    WHEN bool_or(status = 'satisfied') THEN 'eligible' ELSE 'uncertain' END AS eligibility
+  FROM note GROUP BY ALL),
+crit AS (SELECT patient_id, trial_id, count(*) AS compared,
+    count(*) FILTER (a.status = b.status) AS agreed
+  FROM base a JOIN note b USING (patient_id, trial_id, part) GROUP BY ALL),
+s AS (SELECT scenario, count(*) AS pair_count,
+    count(*) FILTER (a.eligibility = b.eligibility) AS agreed,
+    sum(compared)::BIGINT AS criterion_compared, sum(crit.agreed)::BIGINT AS criterion_agreed
+  FROM base_label a JOIN note_label b USING (patient_id, trial_id)
+  JOIN crit USING (patient_id, trial_id) JOIN patients USING (patient_id) GROUP BY scenario)
+SELECT *, {Q.round_exact('agreed / pair_count', 3)} AS eligibility_agreement,
+  {Q.round_exact('criterion_agreed / criterion_compared', 3)} AS criterion_status_agreement,
+  pair_count - agreed AS disagreement_count FROM s""")
+def agreement_by_scenario(spark, sf_dir):
+    left = baseline(spark, sf_dir).withColumn("rationale", U.label_rationale(
+        "eligibility", "criterion_results"))
+    rows = QL.judgments(spark, sf_dir, phases=("initial",)).groupBy("patient_id", "trial_id").agg(
+        F.array_sort(F.collect_list(F.struct("criterion_pos", "criterion_id", "status")))
+        .alias("criterion_results"))
+    right = rows.select(
+        F.concat("patient_id", F.lit("__"), "trial_id").alias("pair_id"), "criterion_results",
+        U.roll_up_array("criterion_results").alias("eligibility"), F.lit("").alias("rationale"))
+    pairs = roles.pair_columns(spark, sf_dir).join(
+        roles.patients(spark, sf_dir).select("patient_id", "scenario"), "patient_id").withColumn(
+        "pair_id", F.concat("patient_id", F.lit("__"), "trial_id"))
+    return E.agreement(pairs, left, right)["by_scenario"].withColumn(
+        "criterion_compared", F.col("criterion_compared").cast("bigint")).withColumn(
+        "criterion_agreed", F.col("criterion_agreed").cast("bigint"))
+
+
+@QUERIES.add("consistency_warnings", "VAL-04", _BASE + """,
+given AS (SELECT patient_id, trial_id, CASE flag WHEN 'A' THEN 'eligible' WHEN 'N' THEN 'uncertain'
+    ELSE 'ineligible' END AS eligibility FROM pairs),
+st AS (SELECT patient_id, trial_id, list_sort(list(DISTINCT status)) AS s FROM base GROUP BY ALL)
+SELECT eligibility || ' with criterion statuses [''' || array_to_string(s, ''', ''') || ''']'
+    AS warning, count(*) AS n, min(patient_id || trial_id) AS first_pair
+FROM given JOIN st USING (patient_id, trial_id)
+WHERE (eligibility = 'eligible' AND (list_contains(s, 'violated') OR list_contains(s, 'unknown')))
+  OR (eligibility = 'uncertain' AND (list_contains(s, 'violated')
+    OR NOT list_contains(s, 'unknown')))
+  OR (eligibility = 'ineligible' AND NOT list_contains(s, 'violated')) GROUP BY 1""")
+def consistency_warnings(spark, sf_dir):
+    given = roles.ordered_parts(spark, sf_dir).select(
+        F.concat(F.lit("P"), F.lpad(F.col("o_custkey").cast("string"), 12, "0"), F.lit("__T"),
+                 F.lpad(F.col("l_partkey").cast("string"), 12, "0")).alias("pair_id"),
+        F.when(F.col("flag") == "A", "eligible").when(F.col("flag") == "N", "uncertain")
+        .otherwise("ineligible").alias("given"))
+    rows = baseline(spark, sf_dir).join(given, "pair_id").select(
+        "patient_id", "trial_id", F.col("given").alias("eligibility"),
+        F.array_distinct(F.transform("criterion_results", lambda c: c["status"]))
+        .alias("statuses"))
+    return A.consistency_warnings(rows).groupBy("warning").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.concat("patient_id", "trial_id")).alias("first_pair"))

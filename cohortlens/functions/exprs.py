@@ -217,6 +217,16 @@ def f1(hit: Column | str, predicted: Column | str, gold: Column | str, places: i
         round_exact(F.try_divide(2.0 * col(hit).cast("double"), d), places))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_object(v: Column) -> Column:
+    """Whether a VARIANT is a JSON object (looks at its top level only)."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def pick(arr: Column, pred) -> Column:
     """First element of ``arr`` that satisfies ``pred``, else NULL."""
     return F.get(F.filter(arr, pred), F.lit(0))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import exprs as X
+from ..functions.jsontext import strict_json
 from .evaluation import flatten_trials
 from .matching import list_text
 from .ranking import keep_last
@@ -349,7 +350,7 @@ def scan_secrets(df: DataFrame, text: str, key: str,
 
 def json_line_errors(lines: DataFrame, key: str, text: str = "value") -> DataFrame:
     """Lines that do not parse or are not objects: ``(key, error)``; blank lines pass."""
-    v = F.try_parse_json(F.nullif(X.strip(text), F.lit("")))
+    v = strict_json(text)
     rows = lines.filter(X.strip(text) != "").select(key, v.alias("v"))
     return rows.select(key, F.when(F.col("v").isNull(), "invalid JSON").when(
         ~F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), "row is not an object")
@@ -382,7 +383,7 @@ def workspace_errors(files: DataFrame) -> DataFrame:
     docs = base.filter(F.endswith(low, F.lit(".json"))).select(
         "path", F.lit(0).alias("line"), F.col("text").alias("value"))
     rules.append(json_line_errors(lines, "path").select("path", "error"))
-    bad = docs.filter(F.try_parse_json("value").isNull())
+    bad = docs.filter(strict_json("value").isNull())
     rules.append(bad.select("path", F.lit("invalid JSON").alias("error")))
     both = lines.unionByName(docs)
     keys = scan_keys(both, "value", key="path", value_pattern=None)

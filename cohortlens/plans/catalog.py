@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_loop, queries_matching, queries_text
+from . import queries_loop, queries_matching, queries_responses, queries_text
 
 QUERIES = {}
-for module in (queries_matching, queries_loop, queries_text):
+for module in (queries_matching, queries_loop, queries_text, queries_responses):
     QUERIES.update(module.QUERIES)

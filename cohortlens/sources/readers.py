@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from .. import schemas as S
 from ..functions import exprs as X
+from ..functions.jsontext import strict_json
 from ..operators.normalize import normalize_patients, normalize_trials
 from ..operators.ranking import keep_last
 from ..operators.registry import normalize_studies, select_studies
@@ -131,7 +132,7 @@ def decode_bytes(c):
 
 def unwrap_response(text):
     """Text of a captured answer, inside or without a JSON envelope."""
-    v = F.try_parse_json(text)
+    v = strict_json(text)
     keys = ("$.answerText", "$.answer", "$.content", "$.text", "$.answerArtifact.text",
             "$.answerArtifact.markdown")
     found = [F.when(F.schema_of_variant(F.try_variant_get(v, k, "variant")) == "STRING",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_loop, queries_matching, queries_responses, queries_text
+from . import queries_loop, queries_matching, queries_quality, queries_responses, queries_text
 
 QUERIES = {}
-for module in (queries_matching, queries_loop, queries_text, queries_responses):
+for module in (queries_matching, queries_loop, queries_text, queries_responses,
+               queries_quality):
     QUERIES.update(module.QUERIES)

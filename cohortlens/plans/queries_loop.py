@@ -27,6 +27,10 @@ def facts(spark, sf_dir):
 
 
 def answers(spark, sf_dir):
+    return answer_rows(roles.table(spark, sf_dir, "events"))
+
+
+def answer_rows(events):
     """Events read as answers of the customer with the same number."""
     e = F.col("event_id")
     kind = F.col("event_type")
@@ -40,7 +44,7 @@ def answers(spark, sf_dir):
             F.lit("Had prior platinum in "), (e % 24 + 2000).cast("string"), F.lit(".")))
         .otherwise("An active autoimmune disease was found.")
     )
-    return roles.table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("P"), F.lpad(F.col("user_id").cast("string"), 12, "0"))
         .alias("patient_id"), text.alias("answer"), F.struct("ts", "event_id").alias("ans_pos"))
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import exprs as X
 from ..functions.jsontext import strict_json
-from .evaluation import flatten_trials
 from .matching import list_text
 from .ranking import keep_last
 
@@ -42,95 +41,121 @@ def bag_mismatch(expected: DataFrame, actual: DataFrame, key: Sequence[str], ite
     return both.filter(~F.col("_e").eqNullSafe(F.col("_a"))).select(*key).distinct()
 
 
+def _record_errors(extra: bool) -> Column:
+    """Errors of one nested prediction (``o``) against its expected trials (``want``).
+
+    Everything a record must hold is in its own row, so all rules are array expressions of
+    that row and a table of predictions is read once.
+    """
+    o, text = F.col("o"), X.text_or_empty
+    final = o["final_assessment_after_answers"]["evaluated_trials"]
+    initial = o["initial_assessment"]["evaluated_trials"]
+    lit = lambda cond, message: F.array_compact(F.array(
+        F.when(cond, F.lit(message))))
+
+    def ids(rows):
+        return F.coalesce(F.transform(rows, lambda t: text(t["trial_id"])), X.no_strings())
+
+    def each(rows, *rules):
+        """Errors of every row of a nested list; a rule is (condition, message) of the row."""
+        made = F.transform(rows, lambda r: F.array_compact(F.array(*[
+            F.when(cond(r), message(r)) for cond, message in rules])))
+        return F.coalesce(F.flatten(made), X.no_strings())
+
+    def note(suffix, *names):
+        return lambda r: F.concat(F.concat_ws("/", *[text(r[n]) for n in names or ("trial_id",)]),
+                                  F.lit(suffix))
+
+    def outside(value, allowed):
+        return ~F.coalesce(value.isin(allowed), F.lit(False))
+
+    def not_label(label):
+        return lambda r: ~r["eligibility"].eqNullSafe(F.lit(label))
+    expected = F.array_sort(F.transform("want", lambda w: w["trial_id"]))
+
+    def wrong_criteria(t):
+        own = X.pick(F.col("want"), lambda w: w["trial_id"] == t["trial_id"])
+        have = F.array_sort(F.array_distinct(F.coalesce(F.transform(
+            t["criterion_results"], lambda c: text(c["criterion_id"])), X.no_strings())))
+        return have != F.coalesce(own["criteria"], X.no_strings())
+
+    def criterion_errors(t):
+        made = F.transform(t["criterion_results"], lambda c: F.array_compact(F.array(
+            F.when(outside(c["status"], K.CRITERION_STATUS), F.concat(
+                text(t["trial_id"]), F.lit("/"), text(c["criterion_id"]),
+                F.lit(": invalid criterion status"))),
+            F.when(c["reason"].isNull(), F.concat(
+                text(t["trial_id"]), F.lit("/"), text(c["criterion_id"]),
+                F.lit(": missing reason"))))))
+        return F.coalesce(F.flatten(made), X.no_strings())
+
+    def final_label(r):
+        same = F.filter(final, lambda t: t["trial_id"] == r["trial_id"])
+        return F.try_element_at(same, F.lit(-1))["eligibility"]
+    rec, unc, exc = (o[n] for n in ("recommended_trials", "uncertain_but_actionable_trials",
+                                    "excluded_trials"))
+    asked = F.coalesce(F.transform(o["follow_up_questions"], lambda q: text(q["question_id"])),
+                       X.no_strings())
+    parts = [
+        F.array_compact(F.array(*[F.when(o[n].isNull(), F.lit(f"missing final_output.{n}"))
+                                  for n in K.FINAL_SECTIONS])),
+        lit(X.blank_to_null(o["medical_disclaimer"]).isNull(), "missing medical disclaimer"),
+        lit(F.array_sort(ids(final)) != expected,
+            "final evaluated trials do not match candidate trials"),
+        lit(F.array_sort(ids(initial)) != expected,
+            "initial evaluated trials do not match candidate trials"),
+        each(final,
+             (lambda t: outside(t["eligibility"], K.ELIGIBILITY), note(": invalid eligibility")),
+             (lambda t: text(t["explanation"]) == "", note(": missing explanation")),
+             (wrong_criteria, note(": criterion id set mismatch"))),
+        F.coalesce(F.flatten(F.transform(final, criterion_errors)), X.no_strings()),
+        each(rec, (not_label("eligible"), note(": recommended row is not marked eligible")),
+             (lambda r: ~final_label(r).eqNullSafe(F.lit("eligible")),
+              note(": non-eligible final row in recommended_trials"))),
+        each(unc, (not_label("uncertain"), note(": uncertain row is not marked uncertain"))),
+        each(exc, (not_label("ineligible"), note(": excluded row is not marked ineligible"))),
+        lit(F.array_sort(F.concat(ids(rec), ids(unc), ids(exc))) != expected,
+            "recommended/uncertain/excluded partition does not cover candidates"),
+        each(o["simulated_patient_answers"],
+             (lambda a: (text(a["question_id"]) != "")
+              & ~F.array_contains(asked, text(a["question_id"])),
+              note(": answer references missing question", "question_id"))),
+    ]
+    if extra:
+        parts += [
+            each(F.col("candidate_trials"), (
+                lambda t: (text(t["trial_title"]) == "")
+                | (F.coalesce(F.size(t["criteria_to_assess"]), F.lit(0)) <= 0),
+                note(": incomplete candidate trial payload"))),
+            each(rec, (lambda r: text(r["recommendation_reason"]) == "",
+                       note(": missing recommendation reason"))),
+            each(exc, (lambda r: text(r["exclusion_reason"]) == "",
+                       note(": missing exclusion reason"))),
+        ]
+    return F.concat(*parts)
+
+
+def _audited(predictions: DataFrame, gold: DataFrame, extra: bool) -> DataFrame:
+    want = F.transform("candidate_trials", lambda t: F.struct(
+        t["trial_id"].alias("trial_id"), F.array_sort(F.array_distinct(F.transform(
+            t["criteria_to_assess"], lambda c: c["criterion_id"]))).alias("criteria")))
+    g = gold.select("patient_id", want.alias("want"))
+    rows = predictions.select("patient_id", "candidate_trials", F.col("final_output").alias("o"))
+    return rows.join(g, "patient_id").select(
+        "patient_id", F.explode(_record_errors(extra)).alias("error"))
+
+
 def contract_errors(predictions: DataFrame, gold: DataFrame) -> DataFrame:
-    """All ways a nested prediction breaks its contract, as ``(patient_id, error)``."""
-    p = predictions.join(gold.select("patient_id"), "patient_id", "left_semi")
-    g = gold.join(predictions.select("patient_id"), "patient_id", "left_semi")
-    out = "final_output."
-    rules = []
-    for section in K.FINAL_SECTIONS:
-        rules.append(_err(p.filter(F.col(out + section).isNull()),
-                          f"missing final_output.{section}"))
-    rules.append(_err(p.filter(X.blank_to_null(out + "medical_disclaimer").isNull()),
-                      "missing medical disclaimer"))
-    cand = g.select("patient_id", F.explode("candidate_trials").alias("t"))
-    want = cand.select("patient_id", "t.trial_id")
-
-    def listed(section):
-        return p.select("patient_id", F.explode_outer(
-            F.col(out + section + ".evaluated_trials")).alias("t")).filter("t is not null")
-
-    def ids(df):
-        return df.select("patient_id", X.text_or_empty("t.trial_id").alias("trial_id"))
-    final, initial = (listed(x) for x in ("final_assessment_after_answers", "initial_assessment"))
-    rules.append(_err(bag_mismatch(want, ids(final), ["patient_id"], "trial_id"),
-                      "final evaluated trials do not match candidate trials"))
-    rules.append(_err(bag_mismatch(want, ids(initial), ["patient_id"], "trial_id"),
-                      "initial evaluated trials do not match candidate trials"))
-    tid = X.text_or_empty("t.trial_id")
-    bad_label = ~F.coalesce(F.col("t.eligibility").isin(K.ELIGIBILITY), F.lit(False))
-    rules.append(_err(final.filter(bad_label), tid, ": invalid eligibility"))
-    rules.append(_err(final.filter(F.coalesce("t.explanation", F.lit("")) == ""), tid,
-                      ": missing explanation"))
-    crit = final.select("patient_id", tid.alias("trial_id"),
-                        F.explode("t.criterion_results").alias("c"))
-    crit = crit.select(*PAIR, X.text_or_empty("c.criterion_id").alias("criterion_id"),
-                       F.col("c.status").alias("status"), F.col("c.reason").alias("reason"))
-    want_c = cand.select("patient_id", "t.trial_id", F.explode("t.criteria_to_assess").alias("c")
-                         ).select(*PAIR, "c.criterion_id").distinct()
-    seen = final.select("patient_id", tid.alias("trial_id")).distinct()
-    wrong = bag_mismatch(want_c.join(seen, PAIR, "left_semi"),
-                         crit.select(*PAIR, "criterion_id").distinct(), PAIR, "criterion_id")
-    rules.append(_err(wrong, F.col("trial_id"), ": criterion id set mismatch"))
-    where = F.concat(F.col("trial_id"), F.lit("/"), F.col("criterion_id"))
-    rules.append(_err(crit.filter(~F.coalesce(F.col("status").isin(K.CRITERION_STATUS),
-                                              F.lit(False))),
-                      where, ": invalid criterion status"))
-    rules.append(_err(crit.filter(F.col("reason").isNull()), where, ": missing reason"))
-
-    def bucket(section):
-        return p.select("patient_id", F.explode(F.col(out + section)).alias("t"))
-    rec, unc, exc = (bucket(s) for s in ("recommended_trials", "uncertain_but_actionable_trials",
-                                         "excluded_trials"))
-    differs = lambda v: ~F.col("t.eligibility").eqNullSafe(F.lit(v))
-    rules.append(_err(rec.filter(differs("eligible")), tid,
-                      ": recommended row is not marked eligible"))
-    final_label = flatten_trials(p, "final_assessment_after_answers").select(
-        *PAIR, F.col("eligibility").alias("_final"))
-    rec_final = rec.select("patient_id", tid.alias("trial_id")).join(final_label, PAIR, "left")
-    rules.append(_err(rec_final.filter(~F.col("_final").eqNullSafe(F.lit("eligible"))),
-                      F.col("trial_id"), ": non-eligible final row in recommended_trials"))
-    rules.append(_err(unc.filter(differs("uncertain")), tid,
-                      ": uncertain row is not marked uncertain"))
-    rules.append(_err(exc.filter(differs("ineligible")), tid,
-                      ": excluded row is not marked ineligible"))
-    cover = ids(rec).unionByName(ids(unc)).unionByName(ids(exc))
-    rules.append(_err(bag_mismatch(want, cover, ["patient_id"], "trial_id"),
-                      "recommended/uncertain/excluded partition does not cover candidates"))
-    asked = p.select("patient_id", F.explode(out + "follow_up_questions").alias("q")).select(
-        "patient_id", X.text_or_empty("q.question_id").alias("question_id"))
-    told = p.select("patient_id", F.explode(out + "simulated_patient_answers").alias("a")).select(
-        "patient_id", X.text_or_empty("a.question_id").alias("question_id"))
-    loose = told.filter("question_id <> ''").join(asked, ["patient_id", "question_id"],
-                                                  "left_anti")
-    rules.append(_err(loose, F.col("question_id"), ": answer references missing question"))
-    return _all(rules)
+    """All ways a nested prediction breaks its contract, as ``(patient_id, error)``.
+
+    One join on the patient, then everything in the row.
+    """
+    return _audited(predictions, gold, False)
 
 
 def finalized_errors(predictions: DataFrame, expected: DataFrame) -> DataFrame:
     """The finalized record's contract: the shared rules plus payloads and reasons."""
-    rules = [contract_errors(predictions, expected)]
-    cand = predictions.select("patient_id", F.explode("candidate_trials").alias("t"))
-    tid = X.text_or_empty("t.trial_id")
-    thin = (F.coalesce("t.trial_title", F.lit("")) == "") | (
-        F.coalesce(F.size("t.criteria_to_assess"), F.lit(0)) <= 0)
-    rules.append(_err(cand.filter(thin), tid, ": incomplete candidate trial payload"))
-    for section, text in (("recommended_trials", "recommendation_reason"),
-                          ("excluded_trials", "exclusion_reason")):
-        rows = predictions.select("patient_id", F.explode(f"final_output.{section}").alias("t"))
-        rules.append(_err(rows.filter(F.coalesce(F.col("t." + text), F.lit("")) == ""), tid,
-                          f": missing {text.replace('_', ' ')}"))
-    return _all(rules)
+    return _audited(predictions, expected, True)
 
 
 def batch_label_errors(labels: DataFrame, expected_trials: DataFrame,

@@ -18,6 +18,8 @@ from .ranking import keep_first, top_n
 
 SCALE = 10 ** 9
 CHAMPIONS = 64
+# pruning pays once the plain join would emit this many times the index itself
+PLAIN_FACTOR = 8
 
 
 def tokenize(c: Column | str, stop_words=K.STOP_WORDS) -> Column:
@@ -90,20 +92,24 @@ def build_postings(chunks: DataFrame, *, store: bool = True) -> tuple[DataFrame,
     The postings are read several times by a retrieval, so they are stored once; texts are
     not tokenized again.
     """
-    terms = chunks.select("trial_id", "trial_pos", "chunk_pos",
-                          F.explode("tokens").alias("token"))
-    per_chunk = terms.groupBy("token", "trial_id", "trial_pos", "chunk_pos").agg(
-        F.count(F.lit(1)).alias("tf"))
-    postings = per_chunk.groupBy("token", "trial_id", "trial_pos").agg(
-        F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("chunks"))
+    # sorted in its row, a chunk shows where each distinct token starts, so one aggregation
+    # counts both the occurrences and the chunks
+    ordered = chunks.select("trial_id", "trial_pos", F.array_sort("tokens").alias("s"))
+    marked = F.transform("s", lambda t, i: F.struct(
+        t.alias("token"), F.when(F.get("s", i - 1).eqNullSafe(t), F.lit(0)).otherwise(F.lit(1))
+        .alias("starts")))
+    terms = ordered.select("trial_id", "trial_pos", F.explode(marked).alias("m"))
+    postings = terms.groupBy(F.col("m.token").alias("token"), "trial_id", "trial_pos").agg(
+        F.count(F.lit(1)).alias("tf"), F.sum("m.starts").alias("chunks"))
     if store:
         postings = written(postings, "postings")
     n_chunks = chunks.agg(F.count(F.lit(1))).scalar()
     df = postings.groupBy("token").agg(
-        F.sum("chunks").alias("df"), F.max("tf").alias("max_tf"))
+        F.sum("chunks").alias("df"), F.max("tf").alias("max_tf"),
+        F.count(F.lit(1)).alias("n_trials"))
     idf = F.log(1 + (n_chunks + 1) / (F.col("df") + 1))
     stats = df.select(
-        "token", "df", "max_tf", F.round(idf * SCALE).cast("bigint").alias("idf"))
+        "token", "df", "max_tf", "n_trials", F.round(idf * SCALE).cast("bigint").alias("idf"))
     return postings, written(stats, "token-stats") if store else stats
 
 
@@ -113,7 +119,7 @@ def query_terms(queries: DataFrame, stats: DataFrame, text: str = "text") -> Dat
          .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf")))
     return q.join(stats, "token").select(
         "query_id", "token", (F.col("qtf") * F.col("idf")).alias("weight"),
-        (F.col("qtf") * F.col("idf") * F.col("max_tf")).alias("bound"), "max_tf")
+        (F.col("qtf") * F.col("idf") * F.col("max_tf")).alias("bound"), "max_tf", "n_trials")
 
 
 def _score(hits: DataFrame) -> DataFrame:
@@ -136,32 +142,35 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int, *,
-             prune: bool = True, champions: int = CHAMPIONS) -> DataFrame:
+             prune: bool | None = None, champions: int = CHAMPIONS) -> DataFrame:
     """Exact top ``k`` trials per query; ties by input order.
 
-    Without pruning every posting of every query token is joined, and a token found in a
-    third of the trials is emitted for each query that holds it.  With ``prune`` the result
-    is the same but only strong postings are emitted:
+    The plain way joins every posting of every query token and adds up.  What it emits is
+    known beforehand from the token counts; while that stays within a few times the index it
+    is the cheaper way.  With many queries a token found in a third of the trials would be
+    emitted for each of them, and only strong postings are joined instead:
 
-    1. each token's ``champions`` highest counts give seed pairs, and the k-th best full
-       score among a query's seeds is a floor for its k-th best score overall;
+    1. each token's ``champions`` highest counts, added up per query and trial, give partial
+       scores; the k-th best of them is a floor for the query's k-th best score;
     2. a trial whose every count stays below ``floor / sum(bounds)`` of that token's maximum
        cannot reach the floor, so a pair is kept only if one posting reaches that share;
     3. the kept pairs get their full scores by an equi-join on (token, trial).
 
-    A query with fewer than k seeds has floor 0 and keeps every posting.
+    Both give the same rows.  A query with fewer than k seeds has floor 0 and keeps every
+    posting.  ``prune`` decides for the caller when given.
     """
-    terms = query_terms(queries, stats)
+    terms = written(query_terms(queries, stats), "query-terms")
+    if prune is None:
+        emitted = terms.agg(F.sum("n_trials")).first()[0] or 0
+        prune = emitted > PLAIN_FACTOR * postings.count()
     if not prune:
         return _best(_score(broadcast_if_small(terms).join(postings, "token")), k)
-    terms = written(terms, "query-terms")
     strongest = top_n(postings, ["token"], [F.col("tf").desc(), F.col("trial_pos")], champions,
                       "_c").drop("_c")
-    seeds = (terms.select("query_id", "token").join(strongest, "token")
-             .select("query_id", "trial_id").distinct())
-    seed_scores = top_n(_complete(seeds, terms, postings), ["query_id"],
-                        [F.col("fixed_score").desc()], k, "_r")
-    floor = seed_scores.filter(F.col("_r") == k).select(
+    seeds = _score(terms.join(strongest, "token"))
+    ranked = top_n(seeds, ["query_id"], [F.col("fixed_score").desc(), F.col("trial_pos")], k,
+                   "_r")
+    floor = ranked.filter(F.col("_r") == k).select(
         "query_id", F.col("fixed_score").alias("floor"))
     total = terms.groupBy("query_id").agg(F.sum("bound").alias("total"))
     limits = total.join(floor, "query_id", "left").select(

@@ -67,30 +67,30 @@ def usage_of(raw: Column | str) -> Column:
     Aliases are resolved, negative and non-integer values are dropped, and a missing total is
     the sum of its parts.
     """
-    v = X.col(raw)
+    return X.let(X.col(raw), _usage)
 
+
+def _usage(v: Column) -> Column:
     def whole(*paths):
-        def one(path):
-            kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-            n = F.try_variant_get(v, path, "bigint")
-            return F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL"), n)
         # the first present alias is the value, also when it is then refused
-        present = F.coalesce(*[F.when(F.try_variant_get(v, p, "variant").isNotNull(), F.lit(i))
-                               for i, p in enumerate(paths)])
-        picked = None
-        for i, p in enumerate(paths):
-            hit = F.when(present == i, one(p))
-            picked = hit if picked is None else picked.when(present == i, one(p))
-        return F.when(picked >= 0, picked)
-    prompt = whole("$.prompt_tokens", "$.input_tokens")
-    completion = whole("$.completion_tokens", "$.output_tokens")
-    total = F.coalesce(whole("$.total_tokens"), prompt + completion)
-    entries = [("prompt_tokens", prompt), ("completion_tokens", completion),
-               ("total_tokens", total),
-               ("cached_tokens", whole("$.prompt_tokens_details.cached_tokens")),
-               ("reasoning_tokens", whole("$.completion_tokens_details.reasoning_tokens"))]
-    full = F.create_map(*[x for k, c in entries for x in (F.lit(k), c)])
-    return F.map_filter(full, lambda k, n: n.isNotNull())
+        found = F.coalesce(*[F.try_variant_get(v, p, "variant") for p in paths])
+        return X.let(found, lambda x: F.when(
+            F.schema_of_variant(x).isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+            & (F.try_variant_get(x, "$", "bigint") >= 0), F.try_variant_get(x, "$", "bigint")))
+    parts = F.struct(
+        whole("$.prompt_tokens", "$.input_tokens").alias("prompt"),
+        whole("$.completion_tokens", "$.output_tokens").alias("completion"),
+        whole("$.total_tokens").alias("total"),
+        whole("$.prompt_tokens_details.cached_tokens").alias("cached"),
+        whole("$.completion_tokens_details.reasoning_tokens").alias("reasoning"))
+
+    def named(p):
+        entries = [("prompt_tokens", p["prompt"]), ("completion_tokens", p["completion"]),
+                   ("total_tokens", F.coalesce(p["total"], p["prompt"] + p["completion"])),
+                   ("cached_tokens", p["cached"]), ("reasoning_tokens", p["reasoning"])]
+        full = F.create_map(*[x for k, c in entries for x in (F.lit(k), c)])
+        return F.map_filter(full, lambda k, n: n.isNotNull())
+    return X.let(parts, named)
 
 
 def usage_rollup(calls: DataFrame, by: Sequence[str] = ("agent",)) -> DataFrame:

@@ -124,7 +124,7 @@ def overlay_rows(spark, sf_dir):
 # --- event-based run reports ------------------------------------------------------------------------
 
 def calls(spark, sf_dir):
-    """Events read as model calls: the user is the patient, the type is the agent."""
+    """Events read as model calls: six in a row are one patient's run, the type is the agent."""
     k = props_k()
     usage = F.to_json(F.struct(
         F.when(F.col("event_id") % 2 == 0, k).alias("input_tokens"),
@@ -133,7 +133,7 @@ def calls(spark, sf_dir):
         F.when(F.col("event_id") % 5 == 0, F.lit(7)).alias("total_tokens"),
         F.struct((k % 3).alias("cached_tokens")).alias("prompt_tokens_details")))
     return roles.table(spark, sf_dir, "events").select(
-        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("patient_id"),
+        F.concat(F.lit("R"), F.floor(F.col("event_id") / 6).cast("string")).alias("patient_id"),
         F.col("event_type").alias("agent"), F.col("event_id").alias("call_pos"),
         (F.col("event_type") != "error").alias("ok"), (k % 4 != 0).alias("json_ok"),
         F.when(F.col("event_type") == "error", "500").otherwise("200").alias("http_status"),
@@ -143,7 +143,7 @@ def calls(spark, sf_dir):
         S.usage_of(F.try_parse_json(usage)).alias("token_usage"))
 
 
-_CALLS = """WITH c AS (SELECT *, (props->>'$.k')::INT AS k, 'U' || user_id AS patient_id,
+_CALLS = """WITH c AS (SELECT *, (props->>'$.k')::INT AS k, 'R' || event_id // 6 AS patient_id,
     event_type <> 'error' AS ok, round(value * 100)::BIGINT AS ms FROM events)
 """
 

@@ -113,46 +113,46 @@ def term_matches(dx: Column, tokens: Column, term: Column) -> Column:
             | F.arrays_overlap(tokens, term["tokens"]))
 
 
-def required_field_rows() -> Column:
+def required_field_rows(row=_row) -> Column:
     known = [*SCALAR_FIELDS, *LIST_FIELDS, "patient_id"]
     fields = F.filter("t_required_patient_fields", lambda f: F.array_contains("p_missing", f)
                       | ~f.isin(known))
-    return F.transform(fields, lambda f: _row(
+    return F.transform(fields, lambda f: row(
         F.concat(F.lit("field:"), f), "missing",
         _text("Required patient field '", f, "' is missing.")))
 
 
-def condition_row() -> Column:
+def condition_row(row=_row) -> Column:
     hit = X.pick(F.col("t_terms"),
                  lambda t: term_matches(F.col("p_dx"), F.col("p_dx_tokens"), t))
     dx = F.col("p_diagnosis")
     return F.when(F.size("t_terms") == 0, F.lit(None)).when(
-        ~F.col("p_has_dx"), _row("field:diagnosis", "missing", "Patient diagnosis is missing.")
-    ).when(hit.isNotNull(), _row("condition", "matched", _text(
+        ~F.col("p_has_dx"), row("field:diagnosis", "missing", "Patient diagnosis is missing.")
+    ).when(hit.isNotNull(), row("condition", "matched", _text(
         "Diagnosis '", dx, "' matches trial condition '", hit["raw"], "'."))
-    ).otherwise(_row("condition", "conflict", _text(
+    ).otherwise(row("condition", "conflict", _text(
         "Diagnosis '", dx, "' does not match trial conditions.")))
 
 
-def age_row() -> Column:
+def age_row(row=_row) -> Column:
     age, low, high = F.col("p_age"), F.col("t_min_age"), F.col("t_max_age")
     s = lambda c: c.cast("string")
     return F.when(low.isNull() & high.isNull(), F.lit(None)).when(
-        age.isNull(), _row("field:age", "missing", "Patient age is missing.")
-    ).when(age < low, _row("age", "conflict", _text(
+        age.isNull(), row("field:age", "missing", "Patient age is missing.")
+    ).when(age < low, row("age", "conflict", _text(
         "Age ", s(age), " is below minimum age ", s(low), "."))
-    ).when(age > high, _row("age", "conflict", _text(
+    ).when(age > high, row("age", "conflict", _text(
         "Age ", s(age), " is above maximum age ", s(high), "."))
-    ).otherwise(_row("age", "matched", _text("Age ", s(age), " is within bounds.")))
+    ).otherwise(row("age", "matched", _text("Age ", s(age), " is within bounds.")))
 
 
-def sex_row() -> Column:
+def sex_row(row=_row) -> Column:
     sex = F.col("p_sex")
     return F.when(F.col("t_sex_key").isin("all", "any", ""), F.lit(None)).when(
-        F.nullif(sex, F.lit("")).isNull(), _row("field:sex", "missing", "Patient sex is missing.")
+        F.nullif(sex, F.lit("")).isNull(), row("field:sex", "missing", "Patient sex is missing.")
     ).when(F.col("p_sex_key") == F.col("t_sex_key"),
-           _row("sex", "matched", _text("Sex '", sex, "' matches."))
-    ).otherwise(_row("sex", "conflict", _text(
+           row("sex", "matched", _text("Sex '", sex, "' matches."))
+    ).otherwise(row("sex", "conflict", _text(
         "Sex '", sex, "' does not match trial criterion '", F.col("t_sex"), "'.")))
 
 
@@ -162,25 +162,25 @@ def list_text(c: Column | str) -> Column:
         X.col(c), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
 
 
-def stage_row() -> Column:
+def stage_row(row=_row) -> Column:
     stage = F.col("p_stage")
     return F.when(F.size("t_allowed_stages") == 0, F.lit(None)).when(
         F.nullif(stage, F.lit("")).isNull(),
-        _row("field:stage", "missing", "Patient stage is missing.")
+        row("field:stage", "missing", "Patient stage is missing.")
     ).when(F.array_contains("t_stage_keys", F.col("p_stage_key")),
-           _row("stage", "matched", _text("Stage '", stage, "' is allowed."))
-    ).otherwise(_row("stage", "conflict", _text(
+           row("stage", "matched", _text("Stage '", stage, "' is allowed."))
+    ).otherwise(row("stage", "conflict", _text(
         "Stage '", stage, "' is not in allowed stages ", list_text("t_allowed_stages"), ".")))
 
 
-def ecog_row() -> Column:
+def ecog_row(row=_row) -> Column:
     ecog, limit = F.col("p_ecog"), F.col("t_max_ecog")
     s = lambda c: c.cast("string")
     return F.when(limit.isNull(), F.lit(None)).when(
-        ecog.isNull(), _row("field:ecog", "missing", "Patient ECOG is missing.")
-    ).when(ecog <= limit, _row("ecog", "matched", _text(
+        ecog.isNull(), row("field:ecog", "missing", "Patient ECOG is missing.")
+    ).when(ecog <= limit, row("ecog", "matched", _text(
         "ECOG ", s(ecog), " is at or below maximum ", s(limit), "."))
-    ).otherwise(_row("ecog", "conflict", _text(
+    ).otherwise(row("ecog", "conflict", _text(
         "ECOG ", s(ecog), " is above maximum ", s(limit), ".")))
 
 
@@ -194,56 +194,64 @@ def marker_matches(observed: Column, required: Column) -> Column:
     )
 
 
-def biomarker_rows() -> Column:
+def biomarker_rows(row=_row) -> Column:
     def one(need):
         # the last entry wins when two patient keys read the same
         have = F.try_element_at(
             F.filter("p_markers", lambda e: e["key"] == need["key"]), F.lit(-1))
         name = F.concat(F.lit("biomarker:"), need["name"])
-        return F.when(have["value"].isNull(), _row(name, "missing", _text(
+        return F.when(have["value"].isNull(), row(name, "missing", _text(
             "Required biomarker '", need["name"], "' is missing."))
-        ).when(marker_matches(have["norm"], need["norm"]), _row(name, "matched", _text(
+        ).when(marker_matches(have["norm"], need["norm"]), row(name, "matched", _text(
             need["name"], " value '", have["value"], "' matches '", need["value"], "'."))
-        ).otherwise(_row(name, "conflict", _text(
+        ).otherwise(row(name, "conflict", _text(
             need["name"], " value '", have["value"], "' does not match '", need["value"], "'.")))
     return F.transform("t_markers", one)
 
 
-def prior_treatment_rows() -> Column:
+def prior_treatment_rows(row=_row) -> Column:
     def one(need):
         seen = F.exists("p_priors", lambda x: F.contains(x, need["norm"])
                         | F.contains(need["norm"], x))
         name = F.concat(F.lit("prior_treatment:"), need["raw"])
-        return F.when(seen, _row(name, "matched", _text(
+        return F.when(seen, row(name, "matched", _text(
             "Prior treatment '", need["raw"], "' is documented."))
-        ).otherwise(_row(name, "conflict", _text(
+        ).otherwise(row(name, "conflict", _text(
             "Prior treatment '", need["raw"], "' is not documented.")))
     rows = F.transform("t_priors", one)
-    none = F.array(_row("field:prior_treatments", "missing",
+    none = F.array(row("field:prior_treatments", "missing",
                         "Prior treatment history is missing."))
     return F.when((F.size("t_priors") > 0) & (F.size("p_priors") == 0), none).otherwise(rows)
 
 
-def exclusion_flag_rows() -> Column:
+def exclusion_flag_rows(row=_row) -> Column:
     def one(flag):
         value = F.try_element_at("p_flags", flag)
         name = F.concat(F.lit("flag:"), flag)
-        return F.when(value.isNull(), _row(name, "missing", _text(
+        return F.when(value.isNull(), row(name, "missing", _text(
             "Exclusion flag '", flag, "' is unknown."))
-        ).when(value, _row(name, "conflict", _text(
+        ).when(value, row(name, "conflict", _text(
             "Patient has exclusion flag '", flag, "'."))
-        ).otherwise(_row(name, "matched", _text(
+        ).otherwise(row(name, "matched", _text(
             "Patient does not have exclusion flag '", flag, "'.")))
     return F.transform("t_excluded_flags", one)
 
 
+def _status_only(_criterion, status, _detail) -> Column:
+    return F.struct((status if isinstance(status, Column) else F.lit(status)).alias("status"))
+
+
 @X.reused
-def evidence_array() -> Column:
-    """All checks of a pair, in their fixed order (a bag: repeats are kept)."""
-    singles = F.array_compact(F.array(
-        condition_row(), age_row(), sex_row(), stage_row(), ecog_row()))
-    return F.concat(required_field_rows(), singles, biomarker_rows(), prior_treatment_rows(),
-                    exclusion_flag_rows())
+def evidence_array(detail: bool = True) -> Column:
+    """All checks of a pair, in their fixed order (a bag: repeats are kept).
+
+    Without ``detail`` a check is its status alone, which is all that scoring needs.
+    """
+    row = _row if detail else _status_only
+    singles = F.array_compact(F.array(*[
+        one(row) for one in (condition_row, age_row, sex_row, stage_row, ecog_row)]))
+    return F.concat(required_field_rows(row), singles, biomarker_rows(row),
+                    prior_treatment_rows(row), exclusion_flag_rows(row))
 
 
 def count_status(evidence: Column | str, status: str) -> Column:
@@ -261,16 +269,21 @@ def evidence_score(evidence: Column | str, missing_weight: float = K.MISSING_WEI
 
 
 def judge_pairs(pairs: DataFrame, patients: DataFrame, trials: DataFrame, *,
-                missing_weight: float = K.MISSING_WEIGHT) -> DataFrame:
-    """Evidence, counts and score of every given pair."""
+                missing_weight: float = K.MISSING_WEIGHT, detail: bool = True) -> DataFrame:
+    """Evidence, counts and score of every given pair.
+
+    ``detail=False`` leaves the evidence rows and their texts out: rank with it first, then
+    judge the few winners in full.
+    """
     rows = attach_records(pairs, patients, trials)
     carried = [c for c in pairs.columns if c not in ("patient_id", "trial_id")]
     order = [c for c in ("patient_pos", "trial_pos") if c in rows.columns and c not in carried]
     judged = rows.select(
         "patient_id", "trial_id", *carried, *order, F.col("t_title").alias("trial_title"),
-        evidence_array().alias("evidence"))
+        evidence_array(detail).alias("evidence"))
     scored = judged.withColumn("_share", evidence_score("evidence", missing_weight))
-    return scored.select(*judged.columns, *_measures())
+    kept = [c for c in judged.columns if detail or c != "evidence"]
+    return scored.select(*kept, *_measures())
 
 
 @X.reused

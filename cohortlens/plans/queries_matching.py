@@ -22,13 +22,14 @@ QUERIES = Registry()
 _JUDGED = Q.with_roles(Q.EVIDENCE, Q.JUDGED)
 
 
-def judged_pairs(spark, sf_dir):
+def judged_pairs(spark, sf_dir, *, detail=True):
     return M.judge_pairs(roles.pairs(spark, sf_dir), roles.patients(spark, sf_dir),
-                         roles.trials(spark, sf_dir))
+                         roles.trials(spark, sf_dir), detail=detail)
 
 
 def decided_pairs(spark, sf_dir):
-    return M.decide(judged_pairs(spark, sf_dir))
+    """Decisions without the evidence texts."""
+    return M.decide(judged_pairs(spark, sf_dir, detail=False))
 
 
 @QUERIES.add("match_topn", "JON-01 PRD-10 AGG-01 AGG-02 AGG-03 RNK-01 QST-01", _JUDGED + """
@@ -200,7 +201,7 @@ c AS (SELECT kind, count(rk) AS hits, count(*) AS expected FROM expected
   LEFT JOIN found USING (patient_id, trial_id) GROUP BY kind)
 SELECT kind, hits, expected, {Q.round_exact('hits / expected', 3)} AS recall FROM c""")
 def recall_at_k(spark, sf_dir):
-    decided, _ = decided_with_trials(spark, sf_dir)
+    decided = decided_pairs(spark, sf_dir)
     targets = roles.pairs(spark, sf_dir).groupBy("patient_id").agg(
         F.min("trial_id").alias("trial_id"))
     return E.recall_at_k(top_candidates(spark, sf_dir), E.expected_pairs(decided, targets))
@@ -213,7 +214,7 @@ SELECT patient_id AS "PATIENT_ID", trial_id AS "TRIAL_ID", CASE decision
   score::VARCHAR AS "BASELINE_SCORE", rk::VARCHAR AS "RANK"
 FROM found JOIN judged USING (patient_id, trial_id)""")
 def label_file_rows(spark, sf_dir):
-    decided, _ = decided_with_trials(spark, sf_dir)
+    decided = decided_pairs(spark, sf_dir)
     return sinks.candidate_label_rows(top_candidates(spark, sf_dir), decided)
 
 

@@ -132,7 +132,7 @@ def calls(spark, sf_dir):
         (k - 10).alias("output_tokens"),
         F.when(F.col("event_id") % 5 == 0, F.lit(7)).alias("total_tokens"),
         F.struct((k % 3).alias("cached_tokens")).alias("prompt_tokens_details")))
-    return roles.table(spark, sf_dir, "events").select(
+    return roles.texts(spark, sf_dir, "events").select(
         F.concat(F.lit("R"), F.floor(F.col("event_id") / 6).cast("string")).alias("patient_id"),
         F.col("event_type").alias("agent"), F.col("event_id").alias("call_pos"),
         (F.col("event_type") != "error").alias("ok"), (k % 4 != 0).alias("json_ok"),
@@ -207,7 +207,7 @@ def label_report(spark, sf_dir):
         F.concat(F.lit("T"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"))
         .alias("trial_id"), "flag", (F.col("l_partkey") % 7 == 0).alias("fallback"))
     decided = M.decide(M.judge_pairs(flags, roles.patients(spark, sf_dir),
-                                     roles.trials(spark, sf_dir)))
+                                     roles.trials(spark, sf_dir), detail=False))
     label = F.when(F.col("flag") == "A", F.col("decision")).when(
         F.col("flag") == "N", "recommend").otherwise("huh")
     rows = decided.select(label.alias("label"), "decision", "fallback")
@@ -406,7 +406,7 @@ def stream_scores(spark, sf_dir):
         pairs = batch.join(orders, batch["l_orderkey"] == orders["o_orderkey"]).select(
             roles._pid("o_custkey").alias("patient_id"),
             roles._tid("l_partkey").alias("trial_id")).distinct()
-        return M.decide(M.judge_pairs(pairs, patients, trials)).select(
+        return M.decide(M.judge_pairs(pairs, patients, trials, detail=False)).select(
             *PAIR, "score", "decision")
     sink = scratch_path(spark, "scores")
     SS.score_stream(arrivals, score, PAIR, sink, scratch_path(spark, "scores-log")

@@ -30,7 +30,7 @@ def _ascii(c: str) -> str:
 SELECT doc_id, length(t) AS chars, md5(t) AS text_md5 FROM (
   SELECT doc_id, {_ascii('text')} AS t FROM documents)""")
 def clean_documents(spark, sf_dir):
-    t = roles.table(spark, sf_dir, "documents").select(
+    t = roles.texts(spark, sf_dir, "documents").select(
         "doc_id", P.ascii_text("text").alias("t"))
     return t.select("doc_id", F.length("t").cast("bigint").alias("chars"),
                     F.md5("t").alias("text_md5"))
@@ -41,7 +41,7 @@ SELECT page_id, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT page_id, {_a
     "replace(replace(replace(replace(html, '&quot;', chr(34)), '&copy;', ''), '&middot;', ''), "
     "'&amp;', '&')")} AS t FROM pages)""")
 def html_clean(spark, sf_dir):
-    t = roles.table(spark, sf_dir, "pages").select("page_id", P.clean_text("html").alias("t"))
+    t = roles.texts(spark, sf_dir, "pages").select("page_id", P.clean_text("html").alias("t"))
     return t.select("page_id", F.length("t").cast("bigint").alias("chars"),
                     F.md5("t").alias("text_md5"))
 
@@ -52,7 +52,7 @@ SELECT doc_id, md5(substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), {_WS}), 1
   md5(CASE WHEN length(text) <= 500 THEN text ELSE substr(text, 1, 500) || '...' END) AS cut_md5,
   length(regexp_replace(text, '[^\\t\\n\\r -~]', '', 'g')) AS printable_chars FROM documents""")
 def text_excerpts(spark, sf_dir):
-    return roles.table(spark, sf_dir, "documents").select(
+    return roles.texts(spark, sf_dir, "documents").select(
         "doc_id", F.md5(X.excerpt("text", 200)).alias("excerpt_md5"),
         F.md5(X.cut("text", 500)).alias("cut_md5"),
         F.length(X.printable("text")).cast("bigint").alias("printable_chars"))
@@ -67,7 +67,7 @@ SELECT p_partkey, trim(regexp_replace(lower(p_name || ' #' || p_brand), '[^a-z0-
     WHEN '1' THEN 'i' ELSE '0' END AS stage,
   try_cast(replace(p_brand, 'Brand#1', '') AS INT) AS number FROM part""")
 def text_keys(spark, sf_dir):
-    return roles.table(spark, sf_dir, "part").select(
+    return roles.texts(spark, sf_dir, "part").select(
         "p_partkey", X.slug(F.concat("p_name", F.lit(" #"), "p_brand")).alias("slug"),
         X.norm_key(F.concat(F.lit("  "), "p_brand", F.lit("-X "))).alias("norm"),
         X.norm_flag(F.concat(F.lit("Exclude if patient has "), "p_name")).alias("flag"),
@@ -91,7 +91,7 @@ SELECT doc_id, count(k.doc_id) FILTER (section = 'I')::INT AS inclusion,
   md5(coalesce(string_agg(line, '|' ORDER BY pos) FILTER (section = 'E'), '')) AS exclusion_md5
 FROM documents LEFT JOIN (SELECT * FROM k WHERE rn <= 80) k USING (doc_id) GROUP BY doc_id""")
 def section_lines(spark, sf_dir):
-    rows = roles.table(spark, sf_dir, "documents").select("doc_id", P.section_lines(
+    rows = roles.texts(spark, sf_dir, "documents").select("doc_id", P.section_lines(
         "text", inclusion="and the", exclusion="of the").alias("s"))
     return rows.select(
         "doc_id", F.size("s.inclusion").alias("inclusion"),
@@ -147,7 +147,7 @@ def studies(spark, sf_dir):
                  F.when(k % 3 == 0, "Female").otherwise("ALL").alias("sex"),
                  criteria.alias("eligibilityCriteria")).alias("eligibilityModule"))
         .alias("protocolSection"))
-    return roles.table(spark, sf_dir, "part").select(
+    return roles.texts(spark, sf_dir, "part").select(
         k.alias("trial_pos"), study.cast(S.STUDY.replace("STRUCT<", "struct<")).alias("study"))
 
 
@@ -220,7 +220,7 @@ def trial_sections(spark, sf_dir):
 # --- retrieval: benchmark texts as queries over the lines of all documents -------------------------
 
 def line_chunks(spark, sf_dir):
-    lines = roles.table(spark, sf_dir, "documents").select(
+    lines = roles.texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("trial_id"), F.col("doc_id").alias("trial_pos"),
         F.posexplode(F.split("text", "\n")).alias("chunk_pos", "text"))
     return lines.withColumn("section", F.lit("line")).withColumn("tokens", T.tokenize("text"))

@@ -31,8 +31,9 @@ def recommend(patients: DataFrame, trials: DataFrame, *, pairs: DataFrame | None
         patients = R.head_rows(patients, "patient_pos", limit)
     if pairs is None:
         pairs = T.candidates(with_notes(patients), trials, k).select("patient_id", "trial_id")
-    decided = M.decide(M.judge_pairs(pairs, patients, trials))
-    return with_questions(R.recommend_top(decided, n))
+    ranked = R.recommend_top(M.decide(M.judge_pairs(pairs, patients, trials, detail=False)), n)
+    winners = M.judge_pairs(ranked.select("patient_id", "trial_id", "rank"), patients, trials)
+    return with_questions(M.decide(winners))
 
 
 def report(patients: DataFrame, trials: DataFrame, *, k: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import notes as N
+from ..session import spread
 
 DIAGNOSES = {
     "MACHINERY": "metastatic non-small cell lung cancer",
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, shared out for per-row work when it comes in few parts."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _pid(c: str):
     return F.concat(F.lit("P"), F.lpad(F.col(c).cast("string"), 12, "0"))
 

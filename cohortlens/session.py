@@ -58,6 +58,16 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share rows out before heavy per-row work when a scan has fewer parts than cores.
+
+    A table with fewer parts than cores is small (or one file that cannot be split), so the
+    extra exchange is bounded; larger tables are left as they are.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Size of a plan's result as the optimizer estimates it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

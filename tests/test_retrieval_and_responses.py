@@ -17,6 +17,7 @@ from cohortlens.operators import retrieval as T
 from cohortlens.operators import summaries as U
 from cohortlens.plans import recommend as P
 from cohortlens.plans import two_phase as L
+from cohortlens.session import written
 
 from . import fixtures as X
 
@@ -176,7 +177,8 @@ def _prediction(spark):
         [("SYN-TEST-ANSWER-001", 0, "SYN-TEST-ANSWER-001-Q01", "ECOG performance status is 1.",
           None)],
         "patient_id STRING, ans_pos INT, question_id STRING, answer STRING, source STRING")
-    return L.nest_records(rec, L.run_loop(rec, answers))
+    # predictions are a stored table by the time they are scored
+    return written(L.nest_records(rec, L.run_loop(rec, answers)), "predictions")
 
 
 def test_evaluation_of_a_record_against_itself(spark):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_filters
+from . import queries_filters, queries_text
 
 QUERIES = {}
-for module in (queries_filters,):
+for module in (queries_filters, queries_text):
     QUERIES.update(module.QUERIES)

@@ -68,7 +68,7 @@ URL_RULES = (
     url_filters.Rule("allow", "org", "/fr/"),
 )
 
-_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
 def _level_sql(children: str, parent: str, keys: str) -> str:
@@ -84,7 +84,7 @@ def _level_sql(children: str, parent: str, keys: str) -> str:
 
 URL_SQL = rf"""
 WITH p AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {_LOWER}) AS host,
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {ASCII_LOWER}) AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 h AS (
   SELECT host, regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain,
@@ -120,7 +120,7 @@ def op9_url_filters(spark, sf_dir):
 LINES_SQL = f"""
 WITH l AS (
   SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-         {_LOWER}) AS key
+         {ASCII_LOWER}) AS key
   FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {{docs}}))),
 k AS (

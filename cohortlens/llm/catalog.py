@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_filters, queries_text
+from . import queries_filters, queries_text, queries_tokens
 
 QUERIES = {}
-for module in (queries_filters, queries_text):
+for module in (queries_filters, queries_text, queries_tokens):
     QUERIES.update(module.QUERIES)

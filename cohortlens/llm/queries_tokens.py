@@ -1,4 +1,4 @@
-"""Queries of the operators that turn texts into tokens and training text."""
+"""Queries of the operators that model languages, tokens and training text."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import chat_format, token_counts
+from . import chat_format, language_id, token_counts
 from .tables import table
 
 QUERIES = Registry()
@@ -48,3 +48,13 @@ def op6_chat_format(spark, sf_dir):
 def op8_token_counts(spark, sf_dir):
     return token_counts.prefixes(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@QUERIES.add("op2_language_id", "LLM-02")
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2,
+                          F.lit(False))
+    models = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, models).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_filters, queries_text, queries_tokens
+from . import queries_filters, queries_pairs, queries_text, queries_tokens
 
 QUERIES = {}
-for module in (queries_filters, queries_text, queries_tokens):
+for module in (queries_filters, queries_pairs, queries_text, queries_tokens):
     QUERIES.update(module.QUERIES)

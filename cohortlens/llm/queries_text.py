@@ -1,11 +1,11 @@
-"""Queries of the operators that search whole texts: decontamination."""
+"""Queries of the operators that search whole texts for shared passages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import decontamination
+from . import decontamination, substring_dedup
 from .queries_filters import ASCII_LOWER
 from .tables import table
 
@@ -46,3 +46,9 @@ def op3_decontamination(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"),
         "contaminated")
+
+
+@QUERIES.add("op5_substring_dedup", "LLM-05")
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -24,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as T
+from .bitmaps import collect_bitmap, in_bitmap
 from .components import components
 from .stages import cut
 
@@ -36,6 +38,7 @@ PERCENT = 75
 SKETCH_BITS = 17
 BITMAP_BITS = 1024
 ID_FILTER_BITS = 24
+KEY_FILTER_BITS = 26
 _CHUNK = 1 << 19
 _TILE = 1024
 
@@ -126,6 +129,63 @@ def _sets(rows: DataFrame, size: int, percent: int, popular: np.ndarray) -> Data
         run, f"id {kind}, text_hash bigint, n bigint, node bigint, bits binary, keys array<bigint>")
 
 
+def _held(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys with the class and set size of each, distinct within about ``rows_at_once`` of them."""
+    parts, held = [], 0
+
+    def joined():
+        keys, node, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((node, keys))
+        keys, node, n = keys[order], node[order], n[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])
+        return keys[fresh], node[fresh], n[fresh]
+
+    for batch in batches:
+        lists = batch.column(2)
+        sizes = pc.list_value_length(lists).to_numpy()
+        parts.append((lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), sizes),
+                      np.repeat(batch.column(1).to_numpy(), sizes)))
+        held += len(parts[-1][0])
+        if held > rows_at_once:
+            yield joined()
+            parts, held = [], 0
+    if held:
+        yield joined()
+
+
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """``key``, ``n`` and ``node`` for the keys that several classes have.
+
+    Keys are counted first, without what belongs to them; a bitmap of fixed size then keeps the
+    others out of the shuffle.
+    """
+    lists = sets.where("n > 0").select("node", "n", "keys")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, _ in _held(batches, _CHUNK):
+            # a key that several classes have here counts as met twice
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            second = np.flatnonzero(~first)
+            second = second[first[second - 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([keys[first], keys[second]]))], ["key"])
+
+    several = (lists.mapInArrow(count, "key bigint").groupBy("key")
+               .agg(F.count("*").alias("times")).where("times > 1"))
+    # the highest bit of a key only says whether it is popular
+    wanted = collect_bitmap(several, F.shiftleft("key", 1), KEY_FILTER_BITS)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, node, n in _held(batches, _CHUNK):
+            some = in_bitmap(wanted.value, keys.view(np.uint64) << np.uint64(1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[some]), pa.array(n[some]), pa.array(node[some])], ["key", "n", "node"])
+
+    return lists.mapInArrow(keep, "key bigint, n bigint, node bigint")
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
     """Columns of rows that come sorted by the first column, cut between two of its values."""
     held: list[pa.RecordBatch] = []
@@ -159,6 +219,9 @@ def _runs(keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n, node in _grouped(batches):
             key, n, node = key.to_numpy(), n.to_numpy(), node.to_numpy()
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, n, node = key[fresh], n[fresh], node[fresh]
             same = np.zeros(len(key) + 1, bool)
             same[1:-1] = key[1:] == key[:-1]
             shared = same[:-1] | same[1:]
@@ -271,21 +334,32 @@ def _tiles(runs: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
     return named.join(classes.select("node", "bits"), "node")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) that are similar, from their texts (``node``, ``text``).
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) that are similar.
 
-    Members stream past the sorted hash array of the class they are compared with; the members of
-    a class with very many are dealt over several tasks.
+    Texts of members stream past the sorted hash array of the class they are compared with; the
+    members of a class with very many are dealt over several tasks.  A bitmap of fixed size keeps
+    texts that no pair needs out of the shuffles.
     """
     split = pairs.groupBy("a").agg(F.ceil(F.count("*") / 2000).alias("parts"))
-    dealt = pairs.join(split, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    place = F.xxhash64("a", "part")
-    ahead = dealt.select("a", place.alias("place")).distinct().join(
-        texts, F.col("a") == F.col("node")).select(
-        "place", "a", F.lit(None).cast("bigint").alias("b"), "text")
-    members = dealt.select("a", "b", place.alias("place")).join(
-        texts, F.col("b") == F.col("node")).select("place", "a", "b", "text")
-    ordered = ahead.union(members).repartition("place").sortWithinPartitions("place", "a", "b")
+    dealt = pairs.join(split, "a").select(
+        "a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("place"))
+    heads = dealt.select("a", F.lit(None).cast("bigint").alias("b"), "place", F.col("a").alias("node"))
+    slots = heads.distinct().union(dealt.select("a", "b", "place", F.col("b").alias("node")))
+    slots = cut(slots.join(classes.select("node", "pick"), "node").select(
+        "place", "a", "b", F.col("pick.id").alias("own_id"), F.col("pick.text_hash").alias("own_hash")))
+    wanted = collect_bitmap(slots, F.xxhash64("own_id", "own_hash"), ID_FILTER_BITS)
+    marked = rows.select("id", "text_hash", F.xxhash64("id", "text_hash").alias("mark"), "text")
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy())))
+
+    texts = marked.mapInArrow(some, marked.schema).select("id", "text_hash", "text")
+    ordered = (texts.join(slots, F.col("id").eqNullSafe(F.col("own_id"))
+                          & (F.col("text_hash") == F.col("own_hash")))
+               .select("place", "a", "b", "text")
+               .repartition("place").sortWithinPartitions("place", "a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader = np.zeros(0, np.uint64)
@@ -293,10 +367,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             a, b = batch.column(1).to_numpy(), batch.column(2)
             heads = b.is_null().to_numpy(zero_copy_only=False)
             links = []
-            for texts_ in T.slices(batch.column(3)):
-                keys, first = _distinct(*_shingles(texts_, size))
-                for k in range(len(texts_)):
-                    own, row = keys[first[k]:first[k + 1]], texts_.first + k
+            for texts in T.slices(batch.column(3)):
+                keys, first = _distinct(*_shingles(texts, size))
+                for k in range(len(texts)):
+                    own, row = keys[first[k]:first[k + 1]], texts.first + k
                     if heads[row]:
                         leader = own
                         continue
@@ -310,31 +384,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
-def _texts_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """``node`` and ``text`` of the classes in ``pairs``.
-
-    A bitmap of fixed size over their ids keeps other texts out of the shuffle.
-    """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut(classes.join(wanted, "node").select("node", "pick"))
-    mark = F.shiftrightunsigned(F.xxhash64("id", "text_hash"), 64 - ID_FILTER_BITS).alias("mark")
-    buckets = wanted.select("pick.*").select(mark).distinct()
-    bits = np.zeros(1 << ID_FILTER_BITS, bool)
-    bits[buckets.toArrow()["mark"].to_numpy()] = True  # 2 ** ID_FILTER_BITS rows at most
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    marked = rows.select("id", "text_hash", mark, "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(known[batch.column(2).to_numpy()]))
-
-    some = marked.mapInArrow(run, marked.schema).dropDuplicates(["id", "text_hash"])
-    own = wanted.select("node", F.col("pick.id").alias("own_id"), F.col("pick.text_hash").alias("own_hash"))
-    return some.join(own, F.col("id").eqNullSafe(F.col("own_id"))
-                     & (F.col("text_hash") == F.col("own_hash"))).select("node", "text")
-
-
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
           percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows (``id``, ``n``, ``node``) and links between classes (``a``, ``b``) that
@@ -344,14 +393,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     sets = cut(_sets(rows, size, percent, _popular(rows, size)))
     classes = cut(sets.where("n > 0").groupBy("node").agg(
         F.min(F.struct("id", "text_hash")).alias("pick"), F.first("n").alias("n"),
-        F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-    runs = cut(_runs(classes.select("node", "n", F.explode("keys").alias("key")).select("key", "n", "node")))
-    first = cut(_first_pairs(runs, percent))
-    texts = _texts_of(first, classes, rows)
-    near = cut(_verified(_within_bound(first, classes, percent), texts, size, percent))
-    roots = components(near)
-    second = cut(_tile_pairs(_tiles(runs, roots, classes), percent))
-    far = _verified(second, _texts_of(second, classes, rows), size, percent)
+        F.first("bits").alias("bits")))
+    runs = cut(_runs(_shared_keys(sets)))
+    first = cut(_within_bound(_first_pairs(runs, percent), classes, percent))
+    near = cut(_verified(first, classes, rows, size, percent))
+    second = cut(_tile_pairs(_tiles(runs, components(near), classes), percent))
+    far = _verified(second, classes, rows, size, percent)
     return sets.select("id", "n", "node"), near.union(far)
 
 

@@ -1,16 +1,18 @@
 """N-gram Jaccard join: all pairs of texts whose sets of word n-grams are similar, and their groups.
 
 Texts of equal sets are one class from the start.  In a common order of all n-grams two similar sets
-share one of their first ``n - ceil(threshold * n) + 1`` n-grams, so classes meet at those keys.
-The order puts n-grams last that are found in very many texts: which ones those are is read off a
-count sketch of fixed size, and since any order is right, its errors cost nothing but time.
-
-The classes at a key are a run, ordered by set size.  Many keys have the same run, which is kept once.
-First every member of a run is compared with the first one of near enough size; groups follow.
-Then, in size-banded tiles, members of different groups are compared: hashed bitmaps bound the
-overlap from above, and pairs within the bound are compared exactly as sorted hash arrays.  Pairs
+share at least ``m`` of their first ``n - ceil(threshold * n) + m`` n-grams, for any ``m``, so classes meet
+at those keys; ``m`` grows with ``n``, which keeps long texts apart that share but a passage.  The order
+puts n-grams last that are found in very many texts: which ones those are is read off a count
+sketch of fixed size, and since any order is right, its errors cost nothing but time.
+
+The classes at a key are a run, ordered by set size.  Many keys have the same run, which is kept once
+with its number of keys.  First every member of a run is paired with the first one of near enough size
+and groups follow from the pairs that are similar.  Then members of different groups are paired
+in size-banded tiles of the runs, and pairs that meet at fewer than ``m`` keys are left out.  Pairs
 inside a group need no comparison, so copies are not expanded into all pairs, and no link between
-different groups is lost.
+different groups is lost.  For each pair hashed bitmaps, as wide as the sets are large, bound the
+overlap from above before the exact comparison of sorted hash arrays.
 
 Results for odd input: a null text, or one without words, has an empty set and links with nothing; a
 text of fewer words than an n-gram has its whole sequence as one; repeated rows are copies; null ids
@@ -36,11 +38,11 @@ from .stages import cut
 WORDS = 5
 PERCENT = 75
 SKETCH_BITS = 17
-BITMAP_BITS = 1024
+NARROWEST, WIDEST = 8, 20  # bitmap widths, as powers of two
 ID_FILTER_BITS = 24
 KEY_FILTER_BITS = 26
 _CHUNK = 1 << 19
-_TILE = 1024
+_BLOCK = 1 << 20
 
 
 def _shingles(texts: T.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +76,30 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _meetings(n):
+    """How many of their first n-grams two similar sets must share, the smaller one having ``n``."""
+    return 1 + n // 20
+
+
+def _bitmap(keys: np.ndarray) -> bytes:
+    """A set's bitmap: 2 to 4 bits per element, as far as the widest goes."""
+    width = min(max(int(2 * len(keys) - 1).bit_length(), NARROWEST), WIDEST)
+    bits = np.zeros(1 << width, bool)
+    bits[(keys & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _most_overlap(n: int, m: int, x: bytes, y: bytes) -> int:
+    """Upper bound of the overlap of two sets: every bit of one that the other lacks is an element."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    width = min(len(a), len(b))
+    if len(a) > width:  # the low bits of the place are common to all widths
+        a = np.bitwise_or.reduce(a.reshape(-1, width), axis=0)
+    if len(b) > width:
+        b = np.bitwise_or.reduce(b.reshape(-1, width), axis=0)
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
 def _popular(rows: DataFrame, size: int) -> np.ndarray:
     """Which buckets of n-gram hashes hold far more n-grams than the mean bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,18 +134,15 @@ def _sets(rows: DataFrame, size: int, percent: int, popular: np.ndarray) -> Data
                 sums = np.zeros(len(keys) + 1, np.uint64)
                 np.cumsum(T.mix(keys), out=sums[1:])
                 node = T.mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64))
-                bits = np.zeros((len(texts), BITMAP_BITS), bool)
-                bits[T.owner(first), (keys & np.uint64(BITMAP_BITS - 1)).astype(np.int64)] = True
-                bits = np.packbits(bits, axis=1)
-                length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                where = T.windows(np.concatenate([[0], np.cumsum(length)]), 1)
+                length = np.where(n > 0, np.minimum(n - (percent * n + 99) // 100 + _meetings(n), n), 0)
                 offsets = np.concatenate([[0], np.cumsum(length)])
-                where = where + np.repeat(first[:-1] - offsets[:-1], length)
+                where = np.arange(offsets[-1]) + np.repeat(first[:-1] - offsets[:-1], length)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(texts.first, len(texts)),
                     batch.column(1).slice(texts.first, len(texts)), pa.array(n),
                     pa.array(node.view(np.int64), mask=n == 0),
-                    pa.array([row.tobytes() for row in bits], pa.binary()),
+                    pa.array([_bitmap(keys[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)],
+                             pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
                                              pa.array(keys[where].view(np.int64)))],
                     ["id", "text_hash", "n", "node", "bits", "keys"])
@@ -231,24 +254,47 @@ def _runs(keys: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             name = T.mix(np.add.reduceat(T.mix(node.view(np.uint64)), starts))
             sizes = np.diff(np.append(starts, len(key)))
-            _, kept = np.unique(name, return_index=True)
-            chosen = np.zeros(len(starts), bool)
-            chosen[kept] = True
-            rows = np.repeat(chosen, sizes)
+            _, kept, which = np.unique(name, return_index=True, return_inverse=True)
+            times = np.zeros(len(starts), np.int64)
+            times[kept] = np.bincount(which)
+            times = np.repeat(times, sizes)
+            rows = times > 0
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(name, sizes)[rows].view(np.int64)), pa.array(n[rows]),
-                 pa.array(node[rows])], ["run", "n", "node"])
+                 pa.array(node[rows]), pa.array(times[rows])], ["run", "n", "node", "times"])
+
+    return (ordered.mapInArrow(run, "run bigint, n bigint, node bigint, times bigint")
+            .groupBy("run", "n", "node").agg(F.sum("times").alias("times")))
+
+
+def _met(pairs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Pairs (``a``, ``b``, ``least`` meetings wanted, ``times`` met), each once."""
+    a, b, least, times = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((b, a))
+    a, b, least, times = a[order], b[order], least[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[:len(a)])
+    sums = np.add.reduceat(times, first) if len(first) else times
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a[first]), pa.array(b[first]), pa.array(least[first]), pa.array(sums)],
+        ["a", "b", "least", "times"])
+
 
-    return ordered.mapInArrow(run, "run bigint, n bigint, node bigint").distinct()
+_MET = "a bigint, b bigint, least bigint, times bigint"
+
+
+def _often_met(pairs: DataFrame) -> DataFrame:
+    return (pairs.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("times").alias("times"))
+            .where("times >= least").select("a", "b"))
 
 
 def _first_pairs(runs: DataFrame, percent: int) -> DataFrame:
     """Each member with the smallest one of its size band in the run: ``a``, ``b``."""
-    ordered = runs.repartition("run").sortWithinPartitions("run", "n", "node").select("run", "n", "node")
+    ordered = runs.repartition("run").sortWithinPartitions("run", "n", "node").select(
+        "run", "n", "node", "times")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, n, node in _grouped(batches):
-            name, n, node = name.to_numpy(), n.to_numpy(), node.to_numpy()
+        for columns in _grouped(batches):
+            name, n, node, times = (x.to_numpy() for x in columns)
             leader = np.arange(len(name))
             starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
             ends = np.append(starts[1:], len(name))
@@ -261,77 +307,49 @@ def _first_pairs(runs: DataFrame, percent: int) -> DataFrame:
                 starts = starts + np.add.reduceat(near, np.cumsum(sizes) - sizes)
                 starts, ends = starts[starts < ends], ends[starts < ends]
             member = np.flatnonzero(leader != np.arange(len(name)))
-            pairs = np.unique(np.stack([node[leader[member]], node[member]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+            head = leader[member]
+            yield _met([(node[head], node[member], _meetings(n[head]), times[member])])
 
+    return _often_met(ordered.mapInArrow(run, _MET))
 
-def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a tile in different groups whose bitmaps allow enough overlap: ``a``, ``b``.
 
-    ``tiles`` has ``tile``, ``role`` (bit 1: left side, bit 2: right side), ``n``, ``node``,
-    ``root`` and ``bits``.
-    """
-    ordered = tiles.repartition("tile").sortWithinPartitions("tile").select(
-        "tile", "role", "n", "node", "root", "bits")
+def _later_pairs(runs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Members of one run and of near enough size that are in different groups: ``a``, ``b``."""
+    members = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = members.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+        "low <> high").select("run")
+    ordered = (members.join(several, "run", "left_semi").repartition("run")
+               .sortWithinPartitions("run", "n", "node").select("run", "n", "node", "times", "root"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile, role, n, node, root, bits in _grouped(batches):
-            tile, role, n, node, root = (x.to_numpy() for x in (tile, role, n, node, root))
-            bits = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(tile), -1)
-            bounds = np.append(np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])), len(tile))
+        for columns in _grouped(batches):
+            name, n, node, times, root = (x.to_numpy() for x in columns)
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])), len(name))
+            # a tile: a member and those after it in its run that are not too large for it
+            end = np.repeat(bounds[1:], np.diff(bounds))
+            reach = np.empty(len(name), np.int64)
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-                left = low + np.flatnonzero(role[low:high] & 1)
-                right = low + np.flatnonzero(role[low:high] & 2)
-                found = [np.zeros((2, 0), np.int64)]
-                for start in range(0, len(left), 64):
-                    i, j = np.meshgrid(left[start:start + 64], right, indexing="ij")
-                    open_ = (node[i] < node[j]) & (root[i] != root[j]) & (
-                        percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
-                    i, j = i[open_], j[open_]
-                    only_i = np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64)
-                    only_j = np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64)
-                    most = np.minimum(n[i] - only_i, n[j] - only_j)
-                    near = 100 * most >= percent * (n[i] + n[j] - most)
-                    found.append(np.stack([node[i[near]], node[j[near]]]))
-                pairs = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _tiles(runs: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of runs that hold several groups, in tiles of at most about ``_TILE`` a side.
-
-    A run is divided by size band; members meet those of their own and the next larger band.
-    Large bands are divided by hash, and each pair of divisions is a tile.
-    """
-    members = (runs.join(roots, "node", "left")
-               .withColumn("root", F.coalesce("root", "node"))
-               .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9)))
-    several = members.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
-        "low <> high").select("run")
-    members = members.join(several, "run", "left_semi")
-    parts = members.groupBy("run", "band").agg(F.ceil(F.count("*") / _TILE).alias("parts"))
-    own = members.join(parts, ["run", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    larger = parts.select("run", (F.col("band") - 1).alias("band"), F.lit(1).alias("step"),
-                          F.col("parts").alias("others"))
-    smaller = parts.select("run", (F.col("band") + 1).alias("band"), F.lit(-1).alias("step"),
-                           F.col("parts").alias("others"))
-    equal = parts.select("run", "band", F.lit(0).alias("step"), F.col("parts").alias("others"))
-    meets = own.join(larger.union(smaller).union(equal), ["run", "band"])
-    # a tile is named by its smaller band, the division there and the division on the other side
-    each = meets.select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
-    left = F.col("step") >= 0
-    within = F.col("step") == 0
-    low = F.when(within, F.least("part", "other")).when(left, F.col("part")).otherwise(F.col("other"))
-    high = F.when(within, F.greatest("part", "other")).when(left, F.col("other")).otherwise(F.col("part"))
-    band = F.when(left, F.col("band")).otherwise(F.col("band") - 1)
-    role = F.when(within, 3).when(left, 1).otherwise(2)
-    named = each.select("node", "n", "root", role.alias("role"), F.xxhash64(
-        "run", band, within, low, high).alias("tile"))
-    return named.join(classes.select("node", "bits"), "node")
+                reach[low:high] = low + np.searchsorted(n[low:high], 100 * n[low:high] // percent, "right")
+            others = np.minimum(reach, end) - np.arange(len(name)) - 1
+            done, found, held = 0, [], 0
+            steps = np.cumsum(others)
+            while done < len(name):
+                till = max(int(np.searchsorted(steps, (steps[done - 1] if done else 0) + _BLOCK)), done + 1)
+                sizes = others[done:till]
+                left = np.repeat(np.arange(done, till), sizes)
+                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                apart = root[left] != root[right]
+                left, right = left[apart], right[apart]
+                a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
+                found.append((a, b, _meetings(n[left]), times[left]))
+                held += len(a)
+                done = till
+                if held > _BLOCK:
+                    yield _met(found)
+                    found, held = [], 0
+            yield _met(found)
+
+    return _often_met(ordered.mapInArrow(run, _MET))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -397,7 +415,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     runs = cut(_runs(_shared_keys(sets)))
     first = cut(_within_bound(_first_pairs(runs, percent), classes, percent))
     near = cut(_verified(first, classes, rows, size, percent))
-    second = cut(_tile_pairs(_tiles(runs, components(near), classes), percent))
+    later = _later_pairs(runs, components(near), percent)
+    second = cut(_within_bound(later, classes, percent))
     far = _verified(second, classes, rows, size, percent)
     return sets.select("id", "n", "node"), near.union(far)
 
@@ -410,12 +429,11 @@ def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64)
-                    .reshape(len(n), BITMAP_BITS // 64) for k in (4, 5))
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64),
-                              m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-            yield batch.select([0, 1]).filter(pa.array(100 * most >= percent * (n + m - most)))
+            near = []
+            for n, m, x, y in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4, 5)], strict=True):
+                most = _most_overlap(n, m, x, y)
+                near.append(100 * most >= percent * (n + m - most))
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 

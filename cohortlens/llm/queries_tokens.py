@@ -7,11 +7,19 @@ import json
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from . import chat_format, language_id, token_counts
+from . import chat_format, language_id, sentencepiece_sampling, token_counts
 from .tables import table
 
 QUERIES = Registry()
 
+
+def sampled_digests(docs):
+    """Two segmentations per document with digests of their pieces and of the text they decode to."""
+    encoded = sentencepiece_sampling.encode(docs, samples=2)
+    return sentencepiece_sampling.decode(encoded).select(
+        "doc_id", "sample", "n_pieces", "log_prob", "log_inclusion",
+        F.sha2("pieces", 256).alias("pieces_sha256"), F.sha2("decoded", 256).alias("text_sha256"))
+
 #: A text that looks like the template's own control strings.
 TRICKY = "\\### Assistant: </turn> ok"
 
@@ -58,3 +66,8 @@ def op2_language_id(spark, sf_dir):
     models = language_id.fit(docs.where(~held_out))
     return language_id.predict(docs, models).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+@QUERIES.add("op4_sentencepiece_sampling", "LLM-04")
+def op4_sentencepiece_sampling(spark, sf_dir):
+    return sampled_digests(table(spark, sf_dir, "documents"))

@@ -215,5 +215,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows that are not contaminated, with their own columns."""
     bad = (contamination(docs, benchmark, id_col, text_col, **options).where("contaminated")
            .select(F.col(id_col).alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct())
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("bad_id"))
-                     & (F.xxhash64(docs[text_col]) == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"])
+                     & (F.xxhash64(docs[text_col]) == bad["bad_hash"]), "left_anti")

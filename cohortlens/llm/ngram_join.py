@@ -347,7 +347,8 @@ def _later_pairs(runs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
                 if held > _BLOCK:
                     yield _met(found)
                     found, held = [], 0
-            yield _met(found)
+            if found:
+                yield _met(found)
 
     return _often_met(ordered.mapInArrow(run, _MET))
 
@@ -404,7 +405,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
           percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows (``id``, ``n``, ``node``) and links between classes (``a``, ``b``) that
+    """The sets of all rows (``id``, ``text_hash``, ``n``, ``node``) and links between classes (``a``, ``b``) that
     connect exactly the classes that similar pairs connect."""
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"),
                        docs[text_col].alias("text"))
@@ -418,7 +419,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     later = _later_pairs(runs, components(near), percent)
     second = cut(_within_bound(later, classes, percent))
     far = _verified(second, classes, rows, size, percent)
-    return sets.select("id", "n", "node"), near.union(far)
+    return sets.select("id", "text_hash", "n", "node"), near.union(far)
 
 
 def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -441,7 +442,7 @@ def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
            percent: int = PERCENT) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``node`` (its
-    class: rows of equal sets share it)."""
+    class: rows of equal sets share it), ``text_hash``."""
     sets, edges = links(docs, id_col, text_col, size, percent)
     roots = components(edges)
     least = (sets.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
@@ -452,11 +453,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return sets.join(component, "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        "node")
+        "node", "text_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of the smallest id of each group, and all rows with empty sets."""
     chosen = groups(docs, id_col, text_col, **options).where(
-        F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(F.col("kept_id")), "left_semi")
+        F.col(id_col).eqNullSafe(F.col("component_id"))).select(
+        F.col(id_col).alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["kept_id"])
+                     & (F.xxhash64(docs[text_col]) == chosen["kept_hash"]), "left_semi")

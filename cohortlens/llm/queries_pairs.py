@@ -31,4 +31,5 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
 
 @QUERIES.add("op1_ngram_jaccard_join", "LLM-01", GROUPS_SQL.format(docs="documents"))
 def op1_ngram_jaccard_join(spark, sf_dir):
-    return ngram_join.groups(table(spark, sf_dir, "documents")).drop("node")
+    return ngram_join.groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")

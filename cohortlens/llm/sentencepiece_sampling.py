@@ -199,8 +199,10 @@ class Lattices:
         state, length, piece, log_p, following = (x[order] for x in (state, length, piece, log_p, following))
         counts = np.bincount(state, minlength=n)
         low = np.concatenate([[0], np.cumsum(counts)])
-        sums = np.concatenate([[0], np.cumsum(np.exp(log_p))])
-        up_to = sums[1:] - np.repeat(sums[low[:-1]], counts)
+        up_to = np.exp(log_p)
+        for k in range(1, int(counts.max())):  # within states, so that it depends on the unit alone
+            nth = low[:-1][counts > k] + k
+            up_to[nth] += up_to[nth - 1]
         up_to[low[1:] - 1] = np.inf  # the last one is taken at the latest
         log_p[low[:-1][counts == 1]] = 0.0
         new = slice(self.arcs, self.arcs + len(state))
@@ -261,6 +263,11 @@ class _Paths:
 
     def __init__(self, arcs, bounds, units, log_p):
         self.arcs, self.bounds, self.units, self.log_p = arcs, bounds, units, log_p
+        # log probability of what stands before each arc; summed by text, as a row must not depend
+        # on those beside it
+        sums = [np.cumsum(log_p[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.total = np.array([x[-1] if len(x) else 0.0 for x in sums])
+        self.before = np.concatenate([*sums, np.zeros(0)]) - log_p
         self.waiting = np.full(len(arcs), -np.inf)
         self.taken: dict[int, list[int]] = {}
 
@@ -274,13 +281,9 @@ class _Paths:
     def wait(self, since: np.ndarray, bound: np.ndarray, key: np.ndarray) -> None:
         """Draws the values beside all arcs from ``since`` (per text) on."""
         text, place = _ragged(np.diff(self.bounds))
-        before = np.cumsum(self.log_p) - self.log_p
-        full = np.diff(self.bounds) > 0
-        base = np.zeros(len(full))
-        base[full] = before[self.bounds[:-1][full]]
         p = np.exp(self.log_p)
         with np.errstate(divide="ignore"):
-            mass = before - base[text] + np.log1p(-np.minimum(p, 1.0))
+            mass = self.before + np.log1p(-np.minimum(p, 1.0))
         new = (place >= since[text]) & (p < 1.0)
         where = np.flatnonzero(new)
         keys = key[text[where]] + place[where].astype(np.uint64) * _STEP
@@ -358,9 +361,8 @@ def sample_slice(texts: T.Texts, keys: np.ndarray, lattices: Lattices, samples:
     rows = []
     for sample, (who, path, value) in enumerate(found):
         ids, id_bounds = _ids(path, data, bounds, lattices)
-        sums = np.concatenate([[0], np.cumsum(path.log_p)])
         for t in who:
-            log_p = float(sums[path.bounds[t + 1]] - sums[path.bounds[t]])
+            log_p = float(path.total[t])
             rows.append((t, sample, ids[id_bounds[t]:id_bounds[t + 1]], log_p, float(value[t]),
                          _log_inclusion(log_p - top[t])))
     return rows
@@ -384,7 +386,7 @@ def _open(path: _Paths, at: int, low: int, value: float, key: np.uint64, lattice
     rest = p[arcs != alt].sum()
     path.waiting[at] = -np.inf
     if rest > 0:
-        mass = path.log_p[low:at].sum() + np.log(rest)
+        mass = path.before[at] + np.log(rest)
         path.waiting[at] = _cut_gumbel(np.array([mass]), np.array([value]), T.mix(draw))[0]
     return int(alt)
 

@@ -27,5 +27,5 @@ def odd_pairs():
         (1, base), (2, base), (2, base), (3, " ".join(near)), (4, None), (5, ""), (6, " \n\t "),
         (7, "one two"), (8, "One  TWO"), (9, "a\n" * 30), (None, base + " tail"), (None, None),
         (10, " ".join(words(rng, 9)) + " " + passage), (11, passage + "\n" + " ".join(words(rng, 40))),
-        (12, " ".join(words(rng, 30_000))), (13, "x" * 60_000), (14, "é日本🙂 " * 40), (15, "no letters? 1 2 3"[:0] + "12 34 !!"),
+        (12, " ".join(words(rng, 30_000))), (13, "x" * 60_000), (14, "é日本🙂 " * 40), (15, "12 34 !!"),
     ]

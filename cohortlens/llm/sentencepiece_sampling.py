@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as T
 
-KEPT_ARCS = 2_000_000
+KEPT_ARCS = 2_500_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -115,30 +115,55 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self._clear(KEPT_ARCS)
-
-    def _clear(self, room: int) -> None:
         self.arcs = self.states = 0
         self.hashes, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.up_to, self.log_p = np.empty(room), np.empty(room)
-        self.next, self.piece, self.length, self.state = (np.empty(room, np.int32) for _ in range(4))
-        self.low = np.empty(room + 1, np.int64)
+        self.up_to = self.log_p = np.empty(0)
+        self.next = self.piece = self.length = self.state = self.low = np.empty(0, np.int32)
 
     def of(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The first state of each unit; lattices that are not kept yet are made."""
-        distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        for again in (False, True):
-            at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-            known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-            missed = np.flatnonzero(~known)
-            if not len(missed) or self._add(distinct[missed], data, start[index[missed]],
-                                            end[index[missed]], again):
-                break
-        at = np.searchsorted(self.hashes, distinct)
-        return self.first[at][inverse]
-
-    def _add(self, hashes, data, start, end, forced: bool) -> bool:
-        """Adds lattices; False if there was no room and everything was dropped."""
+        """The first state of each unit.
+
+        Lattices of units met twice here are kept while there is room; the others last until the next
+        call.
+        """
+        distinct, index, inverse, times = np.unique(
+            hashes, return_index=True, return_inverse=True, return_counts=True)
+        first = np.zeros(len(distinct), np.int64)
+        known = np.zeros(len(distinct), bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
+            known = self.hashes[at] == distinct
+            first[known] = self.first[at[known]]
+        lasting = ~known & (times > 1) & (self.arcs < KEPT_ARCS)
+        arcs, states = self.arcs, self.states
+        for new, keep in ((lasting, True), (~known & ~lasting, False)):
+            new = np.flatnonzero(new)
+            if not len(new):
+                continue
+            first[new], arcs, states = self._add(data, start[index[new]], end[index[new]], arcs, states)
+            if keep:
+                self.arcs, self.states = arcs, states
+                sort = np.argsort(np.concatenate([self.hashes, distinct[new]]))
+                self.first = np.concatenate([self.first, first[new]])[sort]
+                self.hashes = np.concatenate([self.hashes, distinct[new]])[sort]
+        return first[inverse]
+
+    def _room(self, arcs: int, states: int) -> None:
+        def wider(array, kind, size):
+            if len(array) >= size:
+                return array
+            out = np.empty(size + size // 4, kind)
+            out[:len(array)] = array
+            return out
+        for name in ("up_to", "log_p"):
+            setattr(self, name, wider(getattr(self, name), np.float64, arcs))
+        for name in ("next", "piece", "length", "state"):
+            setattr(self, name, wider(getattr(self, name), np.int32, arcs))
+        self.low = wider(self.low, np.int32, states + 1)
+
+    def _add(self, data, start, end, arcs: int, states: int) -> tuple[np.ndarray, int, int]:
+        """Writes lattices behind the given numbers of arcs and states: their first states and the
+        numbers after them."""
         v = self.vocabulary
         unit, place = _ragged(end - start)
         where = start[unit] + place
@@ -169,11 +194,6 @@ class Lattices:
         length = np.concatenate([*length, size[bare]])
         piece = np.concatenate([*piece, np.full(len(bare), -1)]).astype(np.int64)
         score = np.where(piece >= 0, v.score[piece], v.byte_score * length)
-        if self.arcs + len(state) > len(self.up_to):
-            if not forced:
-                self._clear(KEPT_ARCS)
-                return False
-            self._clear(max(KEPT_ARCS, 2 * len(state)))
         past = flat[state] + length
         following = np.where(where[state] + length < stop[state],
                              state_at[np.minimum(past, len(head) - 1)], -1)
@@ -205,18 +225,14 @@ class Lattices:
             up_to[nth] += up_to[nth - 1]
         up_to[low[1:] - 1] = np.inf  # the last one is taken at the latest
         log_p[low[:-1][counts == 1]] = 0.0
-        new = slice(self.arcs, self.arcs + len(state))
+        self._room(arcs + len(state), states + n)
+        new = slice(arcs, arcs + len(state))
         self.up_to[new], self.log_p[new], self.piece[new], self.length[new] = up_to, log_p, piece, length
-        self.state[new] = state + self.states
-        self.next[new] = np.where(following >= 0, following + self.states, -1)
-        self.low[self.states:self.states + n + 1] = low + self.arcs
-        firsts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) + self.states
-        hashes = np.concatenate([self.hashes, hashes])
-        sort = np.argsort(hashes)
-        self.hashes, self.first = hashes[sort], np.concatenate([self.first, firsts])[sort]
-        self.arcs += len(state)
-        self.states += n
-        return True
+        self.state[new] = state + states
+        self.next[new] = np.where(following >= 0, following + states, -1)
+        self.low[states:states + n + 1] = low + arcs
+        firsts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) + states
+        return firsts, arcs + len(state), states + n
 
     def walk(self, start: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Samples a way from each start state to its unit's end: arcs of all ways in order, and how
@@ -226,7 +242,7 @@ class Lattices:
         who, taken = [], []
         while len(at):
             u = _uniform(key)
-            arc = self.low[state]
+            arc = self.low[state].astype(np.int64)
             more = np.flatnonzero(u > self.up_to[arc])
             while len(more):
                 arc[more] += 1

@@ -33,8 +33,8 @@ from . import textbytes as T
 #: fixed: how byte-level BPE cuts a text into pieces
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: entries kept per worker; beyond it a cache starts anew, which costs time only
-CACHED_PIECES = 250_000
+#: entries kept per worker; beyond it what was not used since the last time goes, which costs time only
+CACHED_PIECES = 200_000
 CACHED_PAIRS = 250_000
 
 
@@ -74,6 +74,7 @@ class PrefixCounter:
         self.spines = ({}, {})
         self.beside: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _spine(self, token: int, side: int) -> list[int]:
         """The tokens at one edge of a token, from its byte up to itself."""
@@ -128,19 +129,22 @@ class PrefixCounter:
         """The changes of the count over the code points of a piece."""
         found = self.known.get(piece)
         if found is None:
-            data = piece.encode()
-            counts = self._counts(data)
-            if len(data) != len(piece):
-                ends = accumulate(len(c.encode()) for c in piece)
-                counts = [0, *(counts[e] for e in ends)]
-            elif len(piece) == 3 and piece[0] == "'" and piece[1:] in ("re", "ve", "ll"):
-                counts[2] = 2  # cut short, an apostrophe and a letter are two pieces
-            found = bytes([(after - before) & 0xFF for before, after in pairwise(counts)])
+            found = self.before.get(piece) or self._changes(piece)
             if len(self.known) >= CACHED_PIECES:
-                self.known.clear()
+                self.before, self.known = self.known, {}
             self.known[piece] = found
         return found
 
+    def _changes(self, piece: str) -> bytes:
+        data = piece.encode()
+        counts = self._counts(data)
+        if len(data) != len(piece):
+            ends = accumulate(len(c.encode()) for c in piece)
+            counts = [0, *(counts[e] for e in ends)]
+        elif len(piece) == 3 and piece[0] == "'" and piece[1:] in ("re", "ve", "ll"):
+            counts[2] = 2  # cut short, an apostrophe and a letter are two pieces
+        return bytes([(after - before) & 0xFF for before, after in pairwise(counts)])
+
     def _total(self, piece: str) -> int:
         return int(np.frombuffer(self.piece(piece), np.int8).sum())
 

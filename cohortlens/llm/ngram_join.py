@@ -7,11 +7,10 @@ puts n-grams last that are found in very many texts: which ones those are is rea
 sketch of fixed size, and since any order is right, its errors cost nothing but time.
 
 The classes at a key are a run, ordered by set size.  Many keys have the same run, which is kept once
-with its number of keys.  First every member of a run is paired with the first one of near enough size
-and groups follow from the pairs that are similar.  Then members of different groups are paired
-in size-banded tiles of the runs, and pairs that meet at fewer than ``m`` keys are left out.  Pairs
-inside a group need no comparison, so copies are not expanded into all pairs, and no link between
-different groups is lost.  For each pair hashed bitmaps, as wide as the sets are large, bound the
+with its number of keys.  First every member of a run is paired with a few leaders, and groups follow
+from the pairs that are similar.  Then members of different groups are paired in size-banded tiles
+of the runs.  Pairs that meet at too few keys are left out.  Pairs inside a group need no comparison,
+so copies are not expanded into all pairs, and no link between different groups is lost.  For each pair hashed bitmaps, as wide as the sets are large, bound the
 overlap from above before the exact comparison of sorted hash arrays.
 
 Results for odd input: a null text, or one without words, has an empty set and links with nothing; a
@@ -40,6 +39,7 @@ PERCENT = 75
 SKETCH_BITS = 17
 NARROWEST, WIDEST = 8, 20  # bitmap widths, as powers of two
 ID_FILTER_BITS = 24
+LEADERS, LEADER_ROUNDS = 8, 2
 KEY_FILTER_BITS = 26
 _CHUNK = 1 << 19
 _BLOCK = 1 << 20
@@ -76,9 +76,19 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _meetings(n):
-    """How many of their first n-grams two similar sets must share, the smaller one having ``n``."""
-    return 1 + n // 20
+def _lead(n, percent: int):
+    """How many of its first n-grams a set of ``n`` offers as keys, beyond those it may have alone."""
+    return np.minimum(1 + n // 20 - (percent * n + 99) // 100, 0)
+
+
+def _meetings(n, m, percent: int):
+    """At how many keys similar sets of ``n`` and ``m`` must meet.
+
+    The l-th of the n-grams they share is at most the ``n - overlap + l``-th of a set, and the overlap
+    is at least ``percent / (100 + percent) * (n + m)``.
+    """
+    overlap = -(-percent * (n + m) // (100 + percent))
+    return np.maximum(overlap + np.minimum(_lead(n, percent), _lead(m, percent)), 1)
 
 
 def _bitmap(keys: np.ndarray) -> bytes:
@@ -134,7 +144,7 @@ def _sets(rows: DataFrame, size: int, percent: int, popular: np.ndarray) -> Data
                 sums = np.zeros(len(keys) + 1, np.uint64)
                 np.cumsum(T.mix(keys), out=sums[1:])
                 node = T.mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64))
-                length = np.where(n > 0, np.minimum(n - (percent * n + 99) // 100 + _meetings(n), n), 0)
+                length = n + _lead(n, percent)
                 offsets = np.concatenate([[0], np.cumsum(length)])
                 where = np.arange(offsets[-1]) + np.repeat(first[:-1] - offsets[:-1], length)
                 yield pa.RecordBatch.from_arrays([
@@ -177,11 +187,11 @@ def _held(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[tupl
         yield joined()
 
 
-def _shared_keys(sets: DataFrame) -> DataFrame:
+def _shared_keys(sets: DataFrame, percent: int) -> DataFrame:
     """``key``, ``n`` and ``node`` for the keys that several classes have.
 
     Keys are counted first, without what belongs to them; a bitmap of fixed size then keeps the
-    others out of the shuffle.
+    others out of the shuffle, and classes that have too few keys left to be similar to any.
     """
     lists = sets.where("n > 0").select("node", "n", "keys")
 
@@ -201,15 +211,30 @@ def _shared_keys(sets: DataFrame) -> DataFrame:
     wanted = collect_bitmap(several, F.shiftleft("key", 1), KEY_FILTER_BITS)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, node, n in _held(batches, _CHUNK):
-            some = in_bitmap(wanted.value, keys.view(np.uint64) << np.uint64(1))
+        def left():
+            for batch in batches:
+                lists = batch.column(2)
+                some = in_bitmap(wanted.value, lists.flatten().to_numpy().view(np.uint64) << np.uint64(1))
+                ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+                counts = np.diff(np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], ends])])
+                n = batch.column(1).to_numpy()
+                small, large = (percent * n + 99) // 100, 100 * n // percent
+                least = np.minimum(_meetings(n, small, percent), _meetings(n, large, percent))
+                enough = counts >= np.minimum(least, _meetings(n, n, percent))
+                some &= np.repeat(enough, np.diff(np.concatenate([[0], ends])))
+                offsets = np.concatenate([[0], np.cumsum(np.where(enough, counts, 0))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.ListArray.from_arrays(
+                        pa.array(offsets, pa.int32()), lists.flatten().filter(pa.array(some)))],
+                    ["node", "n", "keys"])
+        for keys, node, n in _held(left(), _CHUNK):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[some]), pa.array(n[some]), pa.array(node[some])], ["key", "n", "node"])
+                [pa.array(keys), pa.array(n), pa.array(node)], ["key", "n", "node"])
 
     return lists.mapInArrow(keep, "key bigint, n bigint, node bigint")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+def _grouped(batches: Iterator[pa.RecordBatch], at_once: int = _CHUNK) -> Iterator[list[pa.Array]]:
     """Columns of rows that come sorted by the first column, cut between two of its values."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -222,7 +247,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < _CHUNK:
+        if rows < at_once:
             continue
         table = joined()
         key = table.column(0).to_numpy()
@@ -236,7 +261,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
 
 
 def _runs(keys: DataFrame) -> DataFrame:
-    """The members (``run``, ``n``, ``node``) of each distinct run of two classes or more."""
+    """The members of each distinct run of two classes or more: ``lead`` (its first leader), ``run``,
+    ``n``, ``node``, ``times`` (keys that have this run)."""
     ordered = keys.repartition("key").sortWithinPartitions("key", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,22 +285,28 @@ def _runs(keys: DataFrame) -> DataFrame:
             times[kept] = np.bincount(which)
             times = np.repeat(times, sizes)
             rows = times > 0
+            lead = node[np.lexsort((_rank(node), np.repeat(starts, sizes)))[starts]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(name, sizes)[rows].view(np.int64)), pa.array(n[rows]),
-                 pa.array(node[rows]), pa.array(times[rows])], ["run", "n", "node", "times"])
+                [pa.array(np.repeat(lead, sizes)[rows]), pa.array(np.repeat(name, sizes)[rows].view(np.int64)),
+                 pa.array(n[rows]), pa.array(node[rows]), pa.array(times[rows])],
+                ["lead", "run", "n", "node", "times"])
 
-    return (ordered.mapInArrow(run, "run bigint, n bigint, node bigint, times bigint")
-            .groupBy("run", "n", "node").agg(F.sum("times").alias("times")))
+    return (ordered.mapInArrow(run, "lead bigint, run bigint, n bigint, node bigint, times bigint")
+            .groupBy("lead", "run", "n", "node").agg(F.sum("times").alias("times")))
 
 
-def _met(pairs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Pairs (``a``, ``b``, ``least`` meetings wanted, ``times`` met), each once."""
-    a, b, least, times = (np.concatenate(x) for x in zip(*pairs, strict=True))
+def _rank(node: np.ndarray) -> np.ndarray:
+    """The common order of leaders."""
+    return T.mix(node.view(np.uint64))
+
+
+def _met(a, b, least, times) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Pairs (``a``, ``b``, ``least`` meetings wanted, ``times`` met), each once, and where each was."""
     order = np.lexsort((b, a))
     a, b, least, times = a[order], b[order], least[order], times[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[:len(a)])
     sums = np.add.reduceat(times, first) if len(first) else times
-    return pa.RecordBatch.from_arrays(
+    return order[first], pa.RecordBatch.from_arrays(
         [pa.array(a[first]), pa.array(b[first]), pa.array(least[first]), pa.array(sums)],
         ["a", "b", "least", "times"])
 
@@ -287,70 +319,135 @@ def _often_met(pairs: DataFrame) -> DataFrame:
             .where("times >= least").select("a", "b"))
 
 
-def _first_pairs(runs: DataFrame, percent: int) -> DataFrame:
-    """Each member with the smallest one of its size band in the run: ``a``, ``b``."""
-    ordered = runs.repartition("run").sortWithinPartitions("run", "n", "node").select(
-        "run", "n", "node", "times")
+def _rooted(runs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The runs that hold several groups, with the group of each member, sorted by set size.
+
+    Runs of one first leader lie together, so that a pair is found once and not once per key.
+    """
+    members = runs.withColumn("root", F.col("node"))
+    if roots is not None:
+        members = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = members.groupBy("run").agg(
+            F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("run")
+        members = members.join(several, "run", "left_semi")
+    return members.select("lead", "run", "n", "node", "times", "root")
+
+
+def _in_tiles(members: DataFrame) -> DataFrame:
+    return members.repartition("lead").sortWithinPartitions("lead", "run", "n", "node")
+
+
+def _oriented(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair with the node first that comes first in the order of leaders."""
+    rank = _rank(node)
+    turn = rank[x] > rank[y]
+    return node[np.where(turn, y, x)], node[np.where(turn, x, y)]
 
+
+def _leader_pairs(runs: DataFrame, roots: DataFrame | None, percent: int, skip: int) -> DataFrame:
+    """Each member with some of its run, the same few in all its runs: ``a``, ``b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _grouped(batches):
-            name, n, node, times = (x.to_numpy() for x in columns)
-            leader = np.arange(len(name))
+            name, n, node, times, root = (x.to_numpy() for x in columns[1:])
             starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-            ends = np.append(starts[1:], len(name))
-            while len(starts):  # one round per size band of the longest run
-                sizes = ends - starts
-                inside = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                first = np.repeat(starts, sizes)
-                near = percent * n[inside] <= 100 * n[first]
-                leader[inside[near]] = first[near]
-                starts = starts + np.add.reduceat(near, np.cumsum(sizes) - sizes)
-                starts, ends = starts[starts < ends], ends[starts < ends]
-            member = np.flatnonzero(leader != np.arange(len(name)))
-            head = leader[member]
-            yield _met([(node[head], node[member], _meetings(n[head]), times[member])])
-
-    return _often_met(ordered.mapInArrow(run, _MET))
-
-
-def _later_pairs(runs: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Members of one run and of near enough size that are in different groups: ``a``, ``b``."""
-    members = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = members.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
-        "low <> high").select("run")
-    ordered = (members.join(several, "run", "left_semi").repartition("run")
-               .sortWithinPartitions("run", "n", "node").select("run", "n", "node", "times", "root"))
+            sizes = np.diff(np.append(starts, len(name)))
+            order = np.lexsort((_rank(node), np.repeat(starts, sizes)))  # runs stay where they are
+            place = np.empty(len(name), np.int64)
+            place[order] = np.arange(len(name)) - np.repeat(starts, sizes)
+            place[place < skip] = len(name)  # these were not leaders here
+            found = []
+            for nth in range(skip, skip + LEADERS):
+                long_enough = np.repeat(sizes > nth, sizes)
+                member = np.flatnonzero(long_enough)
+                head = np.repeat(order[np.minimum(starts + nth, len(order) - 1)], sizes)[long_enough]
+                small, large = np.minimum(n[head], n[member]), np.maximum(n[head], n[member])
+                near = (percent * large <= 100 * small) & (root[head] != root[member])
+                near &= place[member] > nth  # with earlier leaders it has met
+                member, head = member[near], head[near]
+                found.append((*_oriented(node, head, member), _meetings(n[head], n[member], percent),
+                              times[member]))
+            yield _met(*(np.concatenate(x) for x in zip(*found, strict=True)))[1]
+
+    return _often_met(_in_tiles(_rooted(runs, roots)).mapInArrow(run, _MET))
+
+
+class _Bitmaps:
+    """The bitmaps of a tile's classes, in one table per width and folded to half of it."""
+
+    def __init__(self, bits: list[bytes]):
+        words = np.array([len(b) // 8 for b in bits])
+        self.width, self.row, self.table = words, {}, {}
+        for width in np.unique(words).tolist():
+            for low in (width, width // 2):
+                if low * 64 < 1 << NARROWEST:
+                    continue
+                own = np.flatnonzero(words == width)
+                table = np.frombuffer(b"".join([bits[k] for k in own]), np.uint64).reshape(len(own), width)
+                if low < width:
+                    table = table[:, :low] | table[:, low:]
+                row = self.row.setdefault(low, np.full(len(bits), -1))
+                row[own] = np.arange(len(own)) + len(self.table.get(low, ()))
+                self.table[low] = np.concatenate([self.table[low], table]) if low in self.table else table
+
+    def may_be_similar(self, i, j, n, m, percent: int) -> np.ndarray:
+        """For pairs of near size: whether their bitmaps allow enough overlap."""
+        out = np.ones(len(i), bool)
+        low = np.minimum(self.width[i], self.width[j])
+        for width, table in self.table.items():
+            own = np.flatnonzero((low == width) & (np.maximum(self.width[i], self.width[j]) <= 2 * width))
+            step = max((1 << 20) // width, 1)
+            for part in (own[k:k + step] for k in range(0, len(own), step)):
+                x, y = table[self.row[width][i[part]]], table[self.row[width][j[part]]]
+                most = np.minimum(n[part] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64),
+                                  m[part] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+                out[part] = 100 * most >= percent * (n[part] + m[part] - most)
+        return out
+
+
+def _later_pairs(runs: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Members of one run and of near enough size that are in different groups and whose bitmaps
+    allow enough overlap: ``a``, ``b``."""
+    members = _rooted(runs, roots).join(classes.select("node", "bits"), "node").select(
+        "lead", "run", "n", "node", "times", "root", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _grouped(batches):
-            name, n, node, times, root = (x.to_numpy() for x in columns)
+        for *columns, bits in _grouped(batches, 1 << 15):
+            name, n, node, times, root = (x.to_numpy() for x in columns[1:])
+            distinct, at, which = np.unique(node, return_index=True, return_inverse=True)
+            maps = _Bitmaps(bits.take(pa.array(at)).to_pylist())
             bounds = np.append(np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])), len(name))
             # a tile: a member and those after it in its run that are not too large for it
-            end = np.repeat(bounds[1:], np.diff(bounds))
             reach = np.empty(len(name), np.int64)
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
                 reach[low:high] = low + np.searchsorted(n[low:high], 100 * n[low:high] // percent, "right")
-            others = np.minimum(reach, end) - np.arange(len(name)) - 1
+            others = reach - np.arange(len(name)) - 1
+            steps = np.concatenate([[0], np.cumsum(others)])
             done, found, held = 0, [], 0
-            steps = np.cumsum(others)
+
+            def passing():
+                left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+                where, batch = _met(*_oriented(node, left, right),
+                                    _meetings(n[left], n[right], percent), times[left])
+                left, right = left[where], right[where]
+                return batch.filter(pa.array(maps.may_be_similar(
+                    which[left], which[right], n[left], n[right], percent)))
+
             while done < len(name):
-                till = max(int(np.searchsorted(steps, (steps[done - 1] if done else 0) + _BLOCK)), done + 1)
+                till = max(int(np.searchsorted(steps, steps[done] + _BLOCK, "right")) - 1, done + 1)
                 sizes = others[done:till]
                 left = np.repeat(np.arange(done, till), sizes)
                 right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 apart = root[left] != root[right]
-                left, right = left[apart], right[apart]
-                a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
-                found.append((a, b, _meetings(n[left]), times[left]))
-                held += len(a)
+                found.append((left[apart], right[apart]))
+                held += int(apart.sum())
                 done = till
                 if held > _BLOCK:
-                    yield _met(found)
+                    yield passing()
                     found, held = [], 0
             if found:
-                yield _met(found)
+                yield passing()
 
-    return _often_met(ordered.mapInArrow(run, _MET))
+    return _often_met(_in_tiles(members).mapInArrow(run, _MET))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -413,12 +510,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     classes = cut(sets.where("n > 0").groupBy("node").agg(
         F.min(F.struct("id", "text_hash")).alias("pick"), F.first("n").alias("n"),
         F.first("bits").alias("bits")))
-    runs = cut(_runs(_shared_keys(sets)))
-    first = cut(_within_bound(_first_pairs(runs, percent), classes, percent))
-    near = cut(_verified(first, classes, rows, size, percent))
-    later = _later_pairs(runs, components(near), percent)
-    second = cut(_within_bound(later, classes, percent))
-    far = _verified(second, classes, rows, size, percent)
+    runs = cut(_runs(_shared_keys(sets, percent)))
+    near, roots = None, None
+    for step in range(LEADER_ROUNDS):
+        pairs = _leader_pairs(runs, roots, percent, step * LEADERS)
+        fresh = _verified(cut(_within_bound(pairs, classes, percent)), classes, rows, size, percent)
+        near = cut(fresh if near is None else near.union(fresh))
+        roots = components(near)
+    later = cut(_later_pairs(runs, roots, classes, percent))
+    far = _verified(later, classes, rows, size, percent)
     return sets.select("id", "text_hash", "n", "node"), near.union(far)
 
 

@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from . import textbytes as T
 
-KEPT_ARCS = 2_500_000
+SLICE_BYTES = 1 << 18
+KEPT_ARCS = 2_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -446,7 +447,7 @@ def encode(docs: DataFrame, samples: int = 2, model: str | None = None, id_col:
         lattices = lattices_of(path)
         for batch in batches:
             keys = batch.column(1).to_numpy().view(np.uint64)
-            for texts in T.slices(batch.column(2)):
+            for texts in T.slices(batch.column(2), SLICE_BYTES):
                 found = sample_slice(texts, keys[texts.first:texts.first + len(texts)], lattices, samples)
                 home, sample, ids, log_p, value, inclusion = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([

@@ -15,8 +15,7 @@ QUERIES = Registry()
 
 def sampled_digests(docs):
     """Two segmentations per document with digests of their pieces and of the text they decode to."""
-    encoded = sentencepiece_sampling.encode(docs, samples=2)
-    return sentencepiece_sampling.decode(encoded).select(
+    return sentencepiece_sampling.encode(docs, samples=2, decoded=True).select(
         "doc_id", "sample", "n_pieces", "log_prob", "log_inclusion",
         F.sha2("pieces", 256).alias("pieces_sha256"), F.sha2("decoded", 256).alias("text_sha256"))
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textbytes as T
 
 SLICE_BYTES = 1 << 18
-KEPT_ARCS = 2_000_000
+KEPT_ARCS = 1_500_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -90,6 +90,7 @@ class Vocabulary:
             pieces[node] = i
         keys = np.array(sorted(edges))
         self.edge_keys, self.edge_nodes = keys, np.array([edges[k] for k in keys])
+        self.root = self.step(np.zeros(256, np.int64), np.arange(256))
         self.node_piece = np.full(nodes, -1, np.int32)
         self.node_piece[list(pieces)] = list(pieces.values())
 
@@ -107,7 +108,7 @@ def _ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattices:
-    """Lattices of units.  A state is a place in a unit; its arcs are contiguous, likeliest first.
+    """Lattices of units.  A state is a place in a unit; its arcs are contiguous, longest first.
 
     ``low`` (first arc of a state); ``up_to`` (probability of an arc and those before it), ``log_p``,
     ``next`` (state, -1 at the unit's end), ``piece`` (-1: written as bytes), ``length`` (bytes),
@@ -174,56 +175,58 @@ class Lattices:
         n, stop = len(where), end[unit]
         flat = np.flatnonzero(head)
         size = np.diff(np.append(flat, len(head)))  # bytes of the character
-        state, length, piece = [], [], []
+        found, counts = [], np.zeros(n, np.int64)  # arcs by length, and how many a state has
         active, node, depth = np.arange(n), np.zeros(n, np.int64), 0
         while len(active):
             fits = where[active] + depth < stop[active]
             active, node = active[fits], node[fits]
-            node = v.step(node, data[where[active] + depth])
+            byte = data[where[active] + depth]
+            node = v.step(node, byte) if depth else v.root[byte]
             active, node = active[node >= 0], node[node >= 0]
             depth += 1
-            found = v.node_piece[node]
-            whole = found >= 0
-            state.append(active[whole])
-            length.append(np.full(int(whole.sum()), depth))
-            piece.append(found[whole])
+            own = v.node_piece[node]
+            whole = own >= 0
+            found.append((active[whole], depth, own[whole], counts[active[whole]]))
+            counts[active[whole]] += 1
         has_own = np.zeros(n, bool)
-        for s, size_ in zip(state, length, strict=True):
-            has_own[s[size_ == size[s]]] = True
+        for s, length, _, _ in found[:4]:
+            has_own[s[size[s] == length]] = True
         bare = np.flatnonzero(~has_own)
-        state = np.concatenate([*state, bare])
-        length = np.concatenate([*length, size[bare]])
-        piece = np.concatenate([*piece, np.full(len(bare), -1)]).astype(np.int64)
+        found.append((bare, size[bare], np.full(len(bare), -1), counts[bare]))
+        counts[bare] += 1
+        # each state's arcs lie together, the longest first
+        low = np.concatenate([[0], np.cumsum(counts)])
+        state = np.repeat(np.arange(n), counts)
+        length, piece = np.empty(low[-1], np.int64), np.empty(low[-1], np.int64)
+        for s, size_, own, rank in found:
+            at = low[s + 1] - 1 - rank
+            length[at], piece[at] = size_, own
         score = np.where(piece >= 0, v.score[piece], v.byte_score * length)
         past = flat[state] + length
         following = np.where(where[state] + length < stop[state],
                              state_at[np.minimum(past, len(head) - 1)], -1)
         # backward sums, by the number of characters left
         left = np.append(np.flatnonzero(np.diff(unit)), n - 1)[unit] - np.arange(n) + 1
-        order = np.lexsort((state, left[state]))
-        state, length, piece, score, following = (
-            x[order] for x in (state, length, piece, score, following))
-        starts = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]]))
-        per_left = np.searchsorted(left[state[starts]], np.arange(1, left.max() + 2))
-        mass, value = np.zeros(n + 1), score.copy()  # mass[-1]: the end of a unit
-        edges = np.append(starts, len(state))
-        for a, b in zip(per_left[:-1], per_left[1:], strict=True):
+        by_left = np.argsort(left, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(counts[by_left])])
+        order = np.repeat(low[by_left] - edges[:-1], counts[by_left]) + np.arange(low[-1])
+        value, onward = score[order], following[order]
+        mass = np.zeros(n + 1)  # mass[-1]: the end of a unit
+        groups = np.searchsorted(left[by_left], np.arange(1, left.max() + 2))
+        for a, b in zip(groups[:-1], groups[1:], strict=True):
             lo, hi = edges[a], edges[b]
-            value[lo:hi] += mass[following[lo:hi]]
-            cuts = starts[a:b] - lo
-            most = np.maximum.reduceat(value[lo:hi], cuts)
-            sizes = np.diff(np.append(cuts, hi - lo))
-            total = np.add.reduceat(np.exp(value[lo:hi] - np.repeat(most, sizes)), cuts)
-            mass[state[starts[a:b]]] = most + np.log(total)
-        log_p = value - mass[state]
-        order = np.lexsort((-log_p, state))
-        state, length, piece, log_p, following = (x[order] for x in (state, length, piece, log_p, following))
-        counts = np.bincount(state, minlength=n)
-        low = np.concatenate([[0], np.cumsum(counts)])
+            part = value[lo:hi] + mass[onward[lo:hi]]
+            cuts = edges[a:b] - lo
+            most = np.maximum.reduceat(part, cuts)
+            total = np.add.reduceat(np.exp(part - np.repeat(most, counts[by_left[a:b]])), cuts)
+            mass[by_left[a:b]] = most + np.log(total)
+        log_p = score + mass[following] - mass[state]
         up_to = np.exp(log_p)
+        left_over = np.flatnonzero(counts > 1)
         for k in range(1, int(counts.max())):  # within states, so that it depends on the unit alone
-            nth = low[:-1][counts > k] + k
+            nth = low[left_over] + k
             up_to[nth] += up_to[nth - 1]
+            left_over = left_over[counts[left_over] > k + 1]
         up_to[low[1:] - 1] = np.inf  # the last one is taken at the latest
         log_p[low[:-1][counts == 1]] = 0.0
         self._room(arcs + len(state), states + n)
@@ -436,12 +439,17 @@ def lattices_of(path: str) -> Lattices:
 
 
 def encode(docs: DataFrame, samples: int = 2, model: str | None = None, id_col: str = "doc_id",
-           text_col: str = "text", seed: int = 0) -> DataFrame:
+           text_col: str = "text", seed: int = 0, decoded: bool = False) -> DataFrame:
     """Id, ``sample`` (0 is the largest value), ``pieces`` (ids, four bytes each, little-endian),
-    ``n_pieces``, ``log_prob``, ``value`` (perturbed) and ``log_inclusion``."""
+    ``n_pieces``, ``log_prob``, ``value`` (perturbed) and ``log_inclusion``.
+
+    With ``decoded`` also the text that the pieces decode to, as :func:`decode` would add it.
+    """
     path = model or default_model()
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(F.lit(seed), docs[id_col]).alias("key"),
                        docs[text_col].alias("text"))
+    names = [id_col, "sample", "pieces", "n_pieces", "log_prob", "value", "log_inclusion"]
+    names += ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(path)
@@ -450,16 +458,20 @@ def encode(docs: DataFrame, samples: int = 2, model: str | None = None, id_col:
             for texts in T.slices(batch.column(2), SLICE_BYTES):
                 found = sample_slice(texts, keys[texts.first:texts.first + len(texts)], lattices, samples)
                 home, sample, ids, log_p, value, inclusion = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([
+                columns = [
                     batch.column(0).take(pa.array(np.array(home) + texts.first)),
                     pa.array(sample, pa.int32()), pa.array([i.tobytes() for i in ids], pa.binary()),
                     pa.array([len(i) for i in ids], pa.int64()), pa.array(log_p, pa.float64()),
-                    pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())],
-                    [id_col, "sample", "pieces", "n_pieces", "log_prob", "value", "log_inclusion"])
+                    pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())]
+                if decoded:
+                    columns.append(pa.array([decode_ids(i, lattices.vocabulary).decode() for i in ids],
+                                            pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, sample int, pieces binary, n_pieces bigint, "
-                                "log_prob double, value double, log_inclusion double")
+                                "log_prob double, value double, log_inclusion double"
+                                + ", decoded string" * decoded)
 
 
 def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:

@@ -124,7 +124,8 @@ EXCLUSION_FLAG_PATTERNS = [
     ("active_uncontrolled_infection", r"active infection|uncontrolled infection"),
     ("organ_transplant", r"organ transplant|transplant recipient"),
 ]
-SECTION_LINE_CAP = 80
+SECTION_LINE_CAP = 80  # the historic limit, off unless asked for
+LABEL_TEXT_LIMITS = {"reason": 500, "question": 300, "rationale": 1000}  # likewise
 SECTION_MIN_CHARS = 4
 
 # --- patient notes ---------------------------------------------------------------------
@@ -220,7 +221,7 @@ RUN_FORBIDDEN_FRAGMENTS = [
     "answer_key", "gold_label", "ground_truth", "teacher_", "target_label", "true_label",
 ]
 FORBIDDEN_PATH_TERMS = [
-    "answer-key", "answer_key", "eval-report", "eval_report", "teacher-labeling",
+    "answer-key", "answer_key", "eval-report", "eval_report", "gpt-e2e-teacher-labeling",
     "gold-label", "gold_label", "hidden-eval", "hidden_eval", "teacher-label",
     "teacher_label",
 ]

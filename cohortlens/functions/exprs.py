@@ -43,6 +43,12 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def padded(n: Column, width: int) -> Column:
+    """A number as text with leading zeros; longer numbers stay whole."""
+    text = n.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 

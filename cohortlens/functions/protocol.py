@@ -48,9 +48,8 @@ def sex_label(c: Column | str) -> Column:
 
 
 def section_lines(c: Column | str, *, inclusion: str = "inclusion criteria",
-                  exclusion: str = "exclusion criteria", cap: int | None = K.SECTION_LINE_CAP
-                  ) -> Column:
-    """``struct(inclusion, exclusion)`` lists of a criteria text's lines.
+                  exclusion: str = "exclusion criteria", cap: int | None = None) -> Column:
+    """``struct(inclusion, exclusion)`` lists of a criteria text's lines, all unless ``cap`` is given.
 
     A line with a section phrase starts that section and is dropped.  The text is cut right
     before every such line, so a piece's section is known from its own first line and the

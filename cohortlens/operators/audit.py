@@ -417,6 +417,16 @@ def workspace_errors(files: DataFrame) -> DataFrame:
     return _all(rules)
 
 
+def gate(errors: DataFrame, checked: DataFrame | None = None) -> DataFrame:
+    """One row with the number of contract errors and of checked rows; the job fails if there are
+    errors, so nothing behind it runs on rows that break the contract."""
+    found = errors.agg(F.count(F.lit(1)).alias("errors"))
+    if checked is not None:
+        found = found.withColumn("checked", checked.agg(F.count(F.lit(1)).alias("n")).scalar())
+    message = F.concat(F.lit("contract errors: "), F.col("errors").cast("string"))
+    return found.filter(F.assert_true(F.col("errors") == 0, message).isNull())
+
+
 def last_per_patient(rows: DataFrame, pos: str) -> DataFrame:
     """Last record of each patient, ordered by patient."""
     known = rows.filter(X.blank_to_null("patient_id").isNotNull())

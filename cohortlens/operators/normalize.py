@@ -101,34 +101,42 @@ def sparse_profile(patients: DataFrame) -> DataFrame:
     return patients.withColumn("profile", F.to_json(F.struct(*fields)))
 
 
-def judging_view(trials: DataFrame) -> DataFrame:
-    """The trial columns a judge reads, lists and texts cut."""
+def _shown(name: str, most: int | None) -> Column:
+    return F.col(name) if most is None else F.slice(name, 1, most).alias(name)
+
+
+def _excerpt(chars: int | None) -> Column:
+    text = X.text_or_empty("eligibility_criteria") if chars is None else X.excerpt(
+        "eligibility_criteria", chars)
+    return text.alias("eligibility_criteria_excerpt")
+
+
+def judging_view(trials: DataFrame, *, items: int | None = None, lines: int | None = None,
+                 chars: int | None = None) -> DataFrame:
+    """The trial columns a judge reads, whole unless limits are given (historic: 8, 12, 2400)."""
     return trials.select(
-        "trial_id", "title", "conditions",
-        F.slice("interventions", 1, 8).alias("interventions"),
+        "trial_id", "title", "conditions", _shown("interventions", items),
         "phase", "status", "source_url", "summary", "min_age", "max_age", "sex",
         "allowed_stages", "max_ecog", "required_biomarkers", "required_prior_treatments",
         "excluded_flags", "required_patient_fields",
-        F.slice("inclusion_criteria", 1, 12).alias("inclusion_criteria"),
-        F.slice("exclusion_criteria", 1, 12).alias("exclusion_criteria"),
-        X.excerpt("eligibility_criteria", 2400).alias("eligibility_criteria_excerpt"),
+        _shown("inclusion_criteria", lines), _shown("exclusion_criteria", lines), _excerpt(chars),
     )
 
 
-def candidate_view(trials: DataFrame) -> DataFrame:
-    """The trial columns shown with a retrieved candidate."""
+def candidate_view(trials: DataFrame, *, items: int | None = None, lines: int | None = None,
+                   chars: int | None = None) -> DataFrame:
+    """The trial columns shown with a retrieved candidate (historic limits: 8, 10, 1800)."""
     known = ["min_age", "max_age", "sex", "allowed_stages", "max_ecog", "required_biomarkers",
              "required_prior_treatments", "excluded_flags"]
     return trials.select(
         "trial_id", F.col("title").alias("trial_title"),
         X.text_or_empty("source_url").alias("trial_source_url"),
         "conditions", "phase", "status",
-        F.slice("interventions", 1, 8).alias("interventions"),
+        _shown("interventions", items),
         F.to_json(F.struct(*known)).alias("known_structured_fields"),
         F.struct(
-            F.slice("inclusion_criteria", 1, 10).alias("inclusion"),
-            F.slice("exclusion_criteria", 1, 10).alias("exclusion"),
-            X.excerpt("eligibility_criteria", 1800).alias("eligibility_criteria_excerpt"),
+            _shown("inclusion_criteria", lines).alias("inclusion"),
+            _shown("exclusion_criteria", lines).alias("exclusion"), _excerpt(chars),
         ).alias("raw_criteria_excerpt"),
     )
 

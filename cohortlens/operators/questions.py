@@ -113,9 +113,7 @@ def follow_up_questions(judgments: DataFrame, *, compat: bool = False
     n = F.row_number().over(W.partitionBy("patient_id").orderBy("field"))
     questions = fields.withColumn("question_no", n).select(
         "patient_id",
-        F.concat("patient_id", F.lit("-Q"), F.lpad(
-            F.col("question_no").cast("string"),
-            F.greatest(F.lit(2), F.length(F.col("question_no").cast("string"))), F.lit("0")))
+        F.concat("patient_id", F.lit("-Q"), X.padded(F.col("question_no"), 2))
         .alias("question_id"),
         "field", field_question("field").alias("question"),
         F.concat(F.lit("Required information for "), X.spaced("field"), F.lit(" is unknown."))
@@ -240,7 +238,7 @@ def collect_questions(rows: DataFrame) -> DataFrame:
     r = rows.withColumn("question", X.strip(X.text_or_empty("question")))
     r = r.filter(F.col("question") != "").withColumn(
         "_key", F.regexp_replace(F.lower("question"), r"\s+", " "))
-    fallback = F.concat("patient_id", F.lit("-Q"), F.lpad(F.col("pos").cast("string"), 2, "0"))
+    fallback = F.concat("patient_id", F.lit("-Q"), X.padded(F.col("pos"), 2))
     value = F.struct(
         F.coalesce(X.blank_to_null("question_id"), fallback).alias("question_id"), "question",
         X.text_or_empty("reason").alias("reason"),
@@ -261,7 +259,7 @@ def collect_answers(rows: DataFrame, questions: DataFrame) -> DataFrame:
         "patient_id", F.col("_n").alias("pos"), F.col("question_id").alias("_qid"))
     r = rows.withColumn("answer", X.strip(X.text_or_empty("answer"))).filter(
         F.col("answer") != "").join(nth, ["patient_id", "pos"], "left")
-    fallback = F.concat("patient_id", F.lit("-Q"), F.lpad(F.col("pos").cast("string"), 2, "0"))
+    fallback = F.concat("patient_id", F.lit("-Q"), X.padded(F.col("pos"), 2))
     r = r.select(
         "patient_id", "pos",
         F.coalesce(X.blank_to_null("question_id"), "_qid", fallback).alias("question_id"),

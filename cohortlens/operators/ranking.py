@@ -86,7 +86,10 @@ def head_rows(df: DataFrame, pos: str, n: int) -> DataFrame:
 
 
 def with_position(df: DataFrame, name: str) -> DataFrame:
-    """Ordinal of a file source: file order, then the row's index in its file."""
+    """Ordinal of rows that have none, in the order of their partitions.
+
+    Rows of files get their place from :func:`cohortlens.sources.readers.with_file_order`.
+    """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
@@ -120,9 +123,8 @@ def bucket_ranks(assessed: DataFrame, *, descending: bool = True,
 def numeric_suffix_key(question_id: Column | str, patient_id: Column | str) -> Column:
     """Sort key of a question id: its number, ids of another form last."""
     q = X.col(question_id)
-    n = F.nullif(F.regexp_extract(q, r"Q(\d+)$", 1), F.lit("")).try_cast("int")
-    return F.when(F.startswith(q, X.col(patient_id)), F.coalesce(n, F.lit(9999))).otherwise(
-        F.lit(9999))
+    n = F.nullif(F.regexp_extract(q, r"Q(\d+)$", 1), F.lit("")).try_cast("bigint")
+    return F.coalesce(F.when(F.startswith(q, X.col(patient_id)), n), F.lit((1 << 63) - 1))
 
 
 def batches(df: DataFrame, pos: str, size: int, block: int = BLOCK) -> DataFrame:

@@ -36,8 +36,12 @@ def _join(c: str) -> Column:
     return F.array_join(c, ", ")
 
 
-def trial_sections(trials: DataFrame) -> DataFrame:
-    """Five text sections per trial: ``(trial_id, trial_pos, section, chunk_pos, text)``."""
+def trial_sections(trials: DataFrame, lines: int | None = None) -> DataFrame:
+    """Five text sections per trial: ``(trial_id, trial_pos, section, chunk_pos, text)``.
+
+    All criteria lines are taken unless ``lines`` limits them (historic: 12).
+    """
+    shown = lambda c: F.col(c) if lines is None else F.slice(c, 1, lines)
     s = lambda c, d: F.coalesce(F.col(c).cast("string"), F.lit(d))
     given = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d))
     lit = F.lit
@@ -65,8 +69,8 @@ def trial_sections(trials: DataFrame) -> DataFrame:
         lit("Exclude patients with "), flags, lit("."))).otherwise(
         "No explicit exclusion flags are listed.")
     raw = X.strip(F.concat(
-        lit("Inclusion criteria: "), F.array_join(F.slice("inclusion_criteria", 1, 12), " "),
-        lit(" Exclusion criteria: "), F.array_join(F.slice("exclusion_criteria", 1, 12), " "),
+        lit("Inclusion criteria: "), F.array_join(shown("inclusion_criteria"), " "),
+        lit(" Exclusion criteria: "), F.array_join(shown("exclusion_criteria"), " "),
         lit(" Raw eligibility criteria: "), X.text_or_empty("eligibility_criteria")))
     parts = [("overview", overview), ("inclusion", inclusion), ("biomarkers", biomarkers),
              ("exclusions", exclusions), ("raw_criteria", raw)]
@@ -175,8 +179,9 @@ def retrieve(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int,
     total = terms.groupBy("query_id").agg(F.sum("bound").alias("total"))
     limits = total.join(floor, "query_id", "left").select(
         "query_id", (F.coalesce("floor", F.lit(0)) / F.col("total")).alias("share"))
-    # a hair below the exact share, so rounding can only keep more
-    least = F.floor(F.col("share") * F.col("max_tf") * (1 - 1e-12))
+    # counts are whole numbers, so the next one above the share is the least that reaches it; the
+    # share is taken a hair smaller, so rounding can only keep more
+    least = F.ceil(F.col("share") * F.col("max_tf") * (1 - 1e-12))
     probes = terms.join(limits, "query_id").select("query_id", "token", least.alias("least"))
     strong = broadcast_if_small(probes).join(
         postings.select("token", "trial_id", "tf"), "token").filter("tf >= least")

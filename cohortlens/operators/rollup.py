@@ -123,7 +123,7 @@ def report_criteria(judged: DataFrame, trials: DataFrame) -> DataFrame:
         status = status_of_evidence(e["status"])
         return F.struct(
             F.concat(F.col("trial_id"), F.when(exclusion, F.lit("-E-")).otherwise(F.lit("-I-")),
-                     F.lpad((i + 1).cast("string"), 3, "0")).alias("criterion_id"),
+                     X.padded(i + 1, 3)).alias("criterion_id"),
             F.when(exclusion, F.lit("exclusion")).otherwise(F.lit("inclusion"))
             .alias("criterion_type"),
             e["criterion"].alias("criterion"), status.alias("status"),
@@ -146,8 +146,7 @@ def report_criteria(judged: DataFrame, trials: DataFrame) -> DataFrame:
 
     def open_check(c, i):
         return F.struct(
-            F.concat(F.col("trial_id"), F.lit("-N-"), F.lpad(
-                (F.size("evidence") + i + 1).cast("string"), 3, "0")).alias("criterion_id"),
+            F.concat(F.col("trial_id"), F.lit("-N-"), X.padded(F.size("evidence") + i + 1, 3)).alias("criterion_id"),
             F.lit("not_applicable").alias("criterion_type"), c["n"].alias("criterion"),
             F.lit("not_applicable").alias("status"), c["t"].alias("trial_evidence"),
             F.lit("").alias("patient_evidence"), c["t"].alias("reason"),
@@ -250,38 +249,30 @@ def label_rationale(eligibility: Column | str, rows: Column | str) -> Column:
 
 
 def patient_summary(ranked: DataFrame, *, listed: int = 1000) -> DataFrame:
-    """One line per patient from the bucket ranks.
+    """Lines per patient (``line_no`` from 1) from the bucket ranks.
 
-    Ids are listed in rank order.  A bucket longer than ``listed`` is given as its count
-    instead of a list, so the size of a hot patient's line stays bounded; the full lists
-    are the ranked rows themselves.
+    Ids are listed in rank order, ``listed`` on a line, so every id is named and no row grows with
+    a hot patient's bucket.  Further lines go on with the ids.
     """
-    r = F.col("bucket_rank") <= listed
-
-    def ids(label):
-        rows = F.array_sort(F.collect_list(F.when(
-            (F.col("eligibility") == label) & r, F.struct("bucket_rank", "trial_id"))))
-        return F.array_join(F.transform(rows, lambda x: x["trial_id"]), ", ")
-
-    n = lambda label: F.count_if(F.col("eligibility") == label)
-    agg = ranked.groupBy("patient_id").agg(
-        n("eligible").alias("eligible"), n("uncertain").alias("uncertain"),
-        n("ineligible").alias("ineligible"), ids("eligible").alias("_e"),
-        ids("uncertain").alias("_u"))
-
-    def shown(count, text):
-        return F.when(F.col(count) > listed, F.concat(
-            F.col(count).cast("string"), F.lit(" trials"))).otherwise(F.col(text))
-
-    line = (
-        F.when(F.col("eligible") > 0, F.concat(
-            F.lit("Recommended eligible trial ids after final matching: "),
-            shown("eligible", "_e"), F.lit(".")))
-        .when(F.col("uncertain") > 0, F.concat(
-            F.lit("No eligible trial was identified; uncertain trials needing more "
-                  "information: "), shown("uncertain", "_u"), F.lit(".")))
-        .otherwise(F.concat(
-            F.lit("No eligible or uncertain trial was identified; excluded trial count: "),
-            F.col("ineligible").cast("string"), F.lit(".")))
-    )
-    return agg.withColumn("patient_level_summary", line).drop("_e", "_u")
+    labels = ("eligible", "uncertain", "ineligible")
+    counts = ranked.groupBy("patient_id").agg(*[
+        F.count_if(F.col("eligibility") == label).alias(label) for label in labels])
+    shown = F.when(F.col("eligible") > 0, "eligible").when(F.col("uncertain") > 0, "uncertain")
+    counts = counts.withColumn("shown", shown)
+    lines = (ranked.where(F.col("eligibility").isin("eligible", "uncertain"))
+             .groupBy("patient_id", F.col("eligibility").alias("shown"),
+                      (F.floor((F.col("bucket_rank") - 1) / F.lit(listed)) + 1).cast("int").alias("line_no"))
+             .agg(F.array_sort(F.collect_list(F.struct("bucket_rank", "trial_id"))).alias("rows")))
+    ids = F.array_join(F.transform("rows", lambda x: x["trial_id"]), ", ")
+    head = F.when(F.col("line_no") > 1, "").when(
+        F.col("shown") == "eligible", "Recommended eligible trial ids after final matching: ").otherwise(
+        "No eligible trial was identified; uncertain trials needing more information: ")
+    size = F.when(F.col("shown") == "eligible", F.col("eligible")).otherwise(F.col("uncertain"))
+    tail = F.when(F.col("line_no") * listed >= size, ".").otherwise(",")
+    none = F.concat(F.lit("No eligible or uncertain trial was identified; excluded trial count: "),
+                    F.col("ineligible").cast("string"), F.lit("."))
+    return (counts.join(lines, ["patient_id", "shown"], "left")
+            .withColumn("patient_level_summary", F.when(F.col("shown").isNull(), none).otherwise(
+                F.concat(head, ids, tail)))
+            .withColumn("line_no", F.coalesce("line_no", F.lit(1)))
+            .drop("rows", "shown"))

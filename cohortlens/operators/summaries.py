@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,15 +156,40 @@ def latency_percentiles(calls: DataFrame, by: Sequence[str] = (), points=(0.5, 0
     return lower_percentile(calls, list(by), value, points)
 
 
+def canonical_row(df: DataFrame) -> Column:
+    """A row as text, the same in any engine: columns by name, numbers with six places, times in
+    microseconds, null as a mark."""
+    def text(name):
+        kind = df.schema[name].dataType.typeName()
+        c = df[name]
+        if kind in ("double", "float", "decimal"):
+            c = c.cast("decimal(38,6)")
+        elif kind.startswith("timestamp"):
+            c = F.unix_micros(c.cast("timestamp"))
+        elif kind in ("array", "map", "struct"):
+            c = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+        return F.coalesce(c.cast("string"), F.lit("null"))
+    return F.concat_ws("|", *[text(c) for c in sorted(df.columns)])
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free content hash of a table, as one row."""
-    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    hashed = df.select(F.xxhash64(F.sha2(row, 256)).alias("h"))
-    # equal rows would cancel in the xor, the sum of halves keeps them apart
-    return hashed.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor"),
-        F.coalesce(F.sum(F.shiftright("h", 32)), F.lit(0)).alias("sum_high"),
-        F.coalesce(F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0)).alias("sum_low"))
+    """Row count and an order-free content hash of a table, as one row.
+
+    Sums of two 32-bit pieces of each row's digest: equal rows do not cancel.
+    """
+    digest = df.select(F.sha2(canonical_row(df), 256).alias("h"))
+    piece = lambda at: F.coalesce(F.sum(F.conv(
+        F.substring("h", at, 8), 16, 10).cast("bigint")), F.lit(0))
+    return digest.agg(F.count(F.lit(1)).alias("rows"), piece(1).alias("sum_high"),
+                      piece(9).alias("sum_low"))
+
+
+def run_times(started: datetime) -> dict[str, str]:
+    """When a run started (UTC) and how many seconds have gone by, as settings of a manifest."""
+    started = started.astimezone(timezone.utc)
+    elapsed = datetime.now(timezone.utc) - started
+    return {"started_at": started.isoformat(timespec="seconds"),
+            "elapsed_seconds": f"{elapsed.total_seconds():.3f}"}
 
 
 def manifest(tables: dict[str, DataFrame], settings: dict[str, str]) -> DataFrame:
@@ -171,7 +198,7 @@ def manifest(tables: dict[str, DataFrame], settings: dict[str, str]) -> DataFram
     for name, df in tables.items():
         part = fingerprint(df).select(
             F.lit("table").alias("kind"), F.lit(name).alias("name"),
-            F.concat_ws(":", "rows", "xor", "sum_high", "sum_low").alias("value"))
+            F.concat_ws(":", "rows", "sum_high", "sum_low").alias("value"))
         out = part if out is None else out.unionByName(part)
     spark = next(iter(tables.values())).sparkSession
     pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("value"))

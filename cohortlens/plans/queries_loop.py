@@ -45,7 +45,7 @@ def answer_rows(events):
         .otherwise("An active autoimmune disease was found.")
     )
     return events.select(
-        F.concat(F.lit("P"), F.lpad(F.col("user_id").cast("string"), 12, "0"))
+        F.concat(F.lit("P"), X.padded(F.col("user_id"), 12))
         .alias("patient_id"), text.alias("answer"), F.struct("ts", "event_id").alias("ans_pos"))
 
 

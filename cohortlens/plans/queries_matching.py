@@ -135,18 +135,24 @@ def bucket_partition(spark, sf_dir):
 
 
 @QUERIES.add("patient_summaries", "AGG-10", _BUCKETS + """,
-per AS (SELECT patient_id,
-    string_agg(trial_id, ', ' ORDER BY bucket_rank) FILTER (eligibility = 'eligible') AS e,
-    string_agg(trial_id, ', ' ORDER BY bucket_rank) FILTER (eligibility = 'uncertain') AS u,
-    count(*) FILTER (eligibility = 'ineligible') AS x FROM buckets GROUP BY patient_id)
-SELECT patient_id, CASE WHEN e IS NOT NULL
-    THEN 'Recommended eligible trial ids after final matching: ' || e || '.'
-  WHEN u IS NOT NULL THEN 'No eligible trial was identified; uncertain trials needing more '
-    || 'information: ' || u || '.'
-  ELSE 'No eligible or uncertain trial was identified; excluded trial count: ' || x || '.' END
-  AS patient_level_summary FROM per""")
+per AS (SELECT patient_id, count(*) FILTER (eligibility = 'eligible') AS e,
+    count(*) FILTER (eligibility = 'uncertain') AS u,
+    count(*) FILTER (eligibility = 'ineligible') AS x FROM buckets GROUP BY patient_id),
+shown AS (SELECT *, CASE WHEN e > 0 THEN 'eligible' WHEN u > 0 THEN 'uncertain' END AS label,
+    CASE WHEN e > 0 THEN e ELSE u END AS size FROM per),
+lines AS (SELECT patient_id, eligibility AS label, ((bucket_rank - 1) // 20 + 1)::INT AS line_no,
+    string_agg(trial_id, ', ' ORDER BY bucket_rank) AS ids
+  FROM buckets WHERE eligibility IN ('eligible', 'uncertain') GROUP BY ALL)
+SELECT s.patient_id, coalesce(line_no, 1)::INT AS line_no, CASE WHEN s.label IS NULL
+  THEN 'No eligible or uncertain trial was identified; excluded trial count: ' || x || '.'
+  ELSE CASE WHEN line_no > 1 THEN ''
+    WHEN s.label = 'eligible' THEN 'Recommended eligible trial ids after final matching: '
+    ELSE 'No eligible trial was identified; uncertain trials needing more information: ' END
+    || ids || CASE WHEN line_no * 20 >= size THEN '.' ELSE ',' END END AS patient_level_summary
+FROM shown s LEFT JOIN lines l ON l.patient_id = s.patient_id AND l.label = s.label""")
 def patient_summaries(spark, sf_dir):
-    return U.patient_summary(buckets(spark, sf_dir)).select("patient_id", "patient_level_summary")
+    return U.patient_summary(buckets(spark, sf_dir), listed=20).select(
+        "patient_id", "line_no", "patient_level_summary")
 
 
 @QUERIES.add("report_questions", "QST-01 QST-02", _JUDGED + """,
@@ -306,8 +312,8 @@ WHERE (eligibility = 'eligible' AND (list_contains(s, 'violated') OR list_contai
   OR (eligibility = 'ineligible' AND NOT list_contains(s, 'violated')) GROUP BY 1""")
 def consistency_warnings(spark, sf_dir):
     given = roles.ordered_parts(spark, sf_dir).select(
-        F.concat(F.lit("P"), F.lpad(F.col("o_custkey").cast("string"), 12, "0"), F.lit("__T"),
-                 F.lpad(F.col("l_partkey").cast("string"), 12, "0")).alias("pair_id"),
+        F.concat(F.lit("P"), X.padded(F.col("o_custkey"), 12), F.lit("__T"),
+                 X.padded(F.col("l_partkey"), 12)).alias("pair_id"),
         F.when(F.col("flag") == "A", "eligible").when(F.col("flag") == "N", "uncertain")
         .otherwise("ineligible").alias("given"))
     rows = baseline(spark, sf_dir).join(given, "pair_id").select(

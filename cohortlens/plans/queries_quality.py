@@ -73,7 +73,7 @@ def id_batches(spark, sf_dir):
 
 
 @QUERIES.add("question_order", "RNK-08 QST-10", """
-SELECT question_id, CASE WHEN event_id % 3 = 0 THEN 9999 ELSE event_id % 50 END::INT AS order_key
+SELECT question_id, CASE WHEN event_id % 3 = 0 THEN 9223372036854775807 ELSE event_id % 50 END::BIGINT AS order_key
 FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'x-Q' || event_id % 50
   ELSE 'U' || user_id || '-Q' || event_id % 50 END AS question_id FROM events)""")
 def question_order(spark, sf_dir):
@@ -202,9 +202,9 @@ SELECT *, {Q.round_exact('valid / labels', 3)} AS valid_rate,
   {Q.round_exact('fallbacks / labels', 3)} AS fallback_rate FROM r""")
 def label_report(spark, sf_dir):
     flags = roles.ordered_parts(spark, sf_dir).select(
-        F.concat(F.lit("P"), F.lpad(F.col("o_custkey").cast("string"), 12, "0"))
+        F.concat(F.lit("P"), X.padded(F.col("o_custkey"), 12))
         .alias("patient_id"),
-        F.concat(F.lit("T"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"))
+        F.concat(F.lit("T"), X.padded(F.col("l_partkey"), 12))
         .alias("trial_id"), "flag", (F.col("l_partkey") % 7 == 0).alias("fallback"))
     decided = M.decide(M.judge_pairs(flags, roles.patients(spark, sf_dir),
                                      roles.trials(spark, sf_dir), detail=False))
@@ -243,7 +243,29 @@ def run_invariants(spark, sf_dir):
         "error").agg(F.count(F.lit(1)).alias("n"))
 
 
-@QUERIES.add("table_fingerprints", "SNK-06")
+#: the tables' columns by name, as SQL text
+_CANONICAL = {
+    "customer": ["c_acctbal::DECIMAL(38,6)", "c_custkey", "c_mktsegment", "c_name", "c_nationkey"],
+    "part": ["p_brand", "p_name", "p_partkey", "p_retailprice::DECIMAL(38,6)", "p_size", "p_type"],
+    "orders": ["o_custkey", "epoch_us(o_orderdate)", "o_orderkey", "o_orderpriority", "o_orderstatus",
+               "o_totalprice::DECIMAL(38,6)"],
+    "lineitem": ["l_discount::DECIMAL(38,6)", "l_extendedprice::DECIMAL(38,6)", "l_linenumber",
+                 "l_linestatus", "l_orderkey", "l_partkey", "l_quantity::DECIMAL(38,6)", "l_returnflag",
+                 "epoch_us(l_shipdate)", "l_suppkey", "l_tax::DECIMAL(38,6)"],
+    "events": ["event_id", "event_type", "props", "epoch_us(ts)", "user_id", "value::DECIMAL(38,6)"],
+    "documents": ["doc_id", "lang", "n_chars", "source", "text"],
+}
+
+
+def _fingerprint_sql(name: str) -> str:
+    row = " || '|' || ".join(f"coalesce(({c})::VARCHAR, 'null')" for c in _CANONICAL[name])
+    piece = "coalesce(sum(('0x' || substr(h, {}, 8))::BIGINT), 0)::BIGINT"
+    return (f"SELECT 'table' AS kind, '{name}' AS name, count(*) || ':' || {piece.format(1)} || ':' || "
+            f"{piece.format(9)} AS value FROM (SELECT sha256({row}) AS h FROM {name})")
+
+
+@QUERIES.add("table_fingerprints", "SNK-06", " UNION ALL ".join(map(_fingerprint_sql, _CANONICAL))
+             + " UNION ALL SELECT 'setting', 'top_k', '10'")
 def table_fingerprints(spark, sf_dir):
     names = ("customer", "part", "orders", "lineitem", "events", "documents")
     return S.manifest({n: roles.table(spark, sf_dir, n) for n in names}, {"top_k": "10"})

@@ -83,13 +83,12 @@ m AS (SELECT doc_id, pos, trim(raw, ' -*' || chr(9)) AS line, CASE
     WHEN contains(lower(trim(raw, ' -*' || chr(9))), 'of the') THEN 'E' END AS head FROM l),
 s AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos),
     'I') AS section FROM m),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS rn FROM s
-  WHERE head IS NULL AND length(line) >= 4)
+k AS (SELECT * FROM s WHERE head IS NULL AND length(line) >= 4)
 SELECT doc_id, count(k.doc_id) FILTER (section = 'I')::INT AS inclusion,
   count(k.doc_id) FILTER (section = 'E')::INT AS exclusion,
   md5(coalesce(string_agg(line, '|' ORDER BY pos) FILTER (section = 'I'), '')) AS inclusion_md5,
   md5(coalesce(string_agg(line, '|' ORDER BY pos) FILTER (section = 'E'), '')) AS exclusion_md5
-FROM documents LEFT JOIN (SELECT * FROM k WHERE rn <= 80) k USING (doc_id) GROUP BY doc_id""")
+FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id""")
 def section_lines(spark, sf_dir):
     rows = roles.texts(spark, sf_dir, "documents").select("doc_id", P.section_lines(
         "text", inclusion="and the", exclusion="of the").alias("s"))
@@ -129,7 +128,7 @@ def studies(spark, sf_dir):
     age = F.when(k % 9 == 0, F.concat((size * 6).cast("string"), F.lit(" Months"))).when(
         k % 9 == 1, "N/A").otherwise(F.concat(size.cast("string"), F.lit(" Years")))
     ident = F.struct(
-        F.concat(F.lit("NCT"), F.lpad(k.cast("string"), 8, "0")).alias("nctId"),
+        F.concat(F.lit("NCT"), X.padded(k, 8)).alias("nctId"),
         F.concat_ws(" ", "p_name", F.lit("&lt;"), "p_brand").alias("briefTitle"),
         F.lit(None).cast("string").alias("officialTitle"))
     study = F.struct(F.struct(
@@ -153,7 +152,7 @@ def studies(spark, sf_dir):
 
 @QUERIES.add("protocol_etl", "SRC-05 NRM-07 NRM-08 NRM-09 NRM-10 NRM-11 NRM-12 NRM-13 NRM-14 "
              "NRM-15 NRM-16 NRM-17 PRD-14", """
-SELECT 'NCT' || lpad(p_partkey::VARCHAR, 8, '0') AS trial_id, p_name || ' < ' || p_brand AS title,
+SELECT 'NCT' || lpad(p_partkey::VARCHAR, greatest(8, length(p_partkey::VARCHAR))::INT, '0') AS trial_id, p_name || ' < ' || p_brand AS title,
   CASE WHEN p_partkey % 9 = 0 THEN round_even(p_size * 6 / 12, 0)::INT
     WHEN p_partkey % 9 <> 1 THEN p_size::INT END AS min_age,
   CASE WHEN p_partkey % 3 = 0 THEN 'female' ELSE 'all' END AS sex,

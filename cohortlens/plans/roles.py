@@ -40,11 +40,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pid(c: str):
-    return F.concat(F.lit("P"), F.lpad(F.col(c).cast("string"), 12, "0"))
+    return F.concat(F.lit("P"), X.padded(F.col(c), 12))
 
 
 def _tid(c: str):
-    return F.concat(F.lit("T"), F.lpad(F.col(c).cast("string"), 12, "0"))
+    return F.concat(F.lit("T"), X.padded(F.col(c), 12))
 
 
 def _smap(*pairs):

@@ -1,7 +1,7 @@
 """The roles of :mod:`.roles` as SQL text, for checking results against another engine."""
 
 PATIENTS = """patients AS (
-  SELECT c_custkey AS patient_pos, 'P' || lpad(c_custkey::VARCHAR, 12, '0') AS patient_id,
+  SELECT c_custkey AS patient_pos, 'P' || lpad(c_custkey::VARCHAR, greatest(12, length(c_custkey::VARCHAR))::INT, '0') AS patient_id,
     CASE WHEN c_custkey % 17 <> 0 THEN (c_custkey % 95)::INT END AS age,
     CASE WHEN c_custkey % 3 = 0 THEN 'female' WHEN c_custkey % 3 = 1 THEN 'Male'
          WHEN c_custkey % 5 <> 0 THEN 'female' END AS sex,
@@ -35,7 +35,7 @@ PATIENTS = """patients AS (
   FROM customer)"""
 
 TRIALS = """trials AS (
-  SELECT p_partkey AS trial_pos, 'T' || lpad(p_partkey::VARCHAR, 12, '0') AS trial_id,
+  SELECT p_partkey AS trial_pos, 'T' || lpad(p_partkey::VARCHAR, greatest(12, length(p_partkey::VARCHAR))::INT, '0') AS trial_id,
     p_name || ' ' || p_brand AS title,
     CASE p_type WHEN 'MEDIUM' THEN ['Non-Small Cell Lung Cancer']
       WHEN 'STANDARD' THEN ['Breast Cancer', 'HER2 Positive Breast Carcinoma']
@@ -62,8 +62,8 @@ TRIALS = """trials AS (
   FROM part)"""
 
 PAIRS = """pairs AS (
-  SELECT 'P' || lpad(o_custkey::VARCHAR, 12, '0') AS patient_id,
-    'T' || lpad(l_partkey::VARCHAR, 12, '0') AS trial_id,
+  SELECT 'P' || lpad(o_custkey::VARCHAR, greatest(12, length(o_custkey::VARCHAR))::INT, '0') AS patient_id,
+    'T' || lpad(l_partkey::VARCHAR, greatest(12, length(l_partkey::VARCHAR))::INT, '0') AS trial_id,
     sum(l_quantity)::BIGINT / 100.0::DOUBLE AS retrieval_score, l_partkey AS retrieval_pos,
     min(l_returnflag) AS flag
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -306,7 +306,7 @@ FACTS = f"""facts AS (
 
 # Events read as answers of the customer with the same number.
 ANSWERS = """answers AS (
-  SELECT 'P' || lpad(user_id::VARCHAR, 12, '0') AS patient_id, ts, event_id,
+  SELECT 'P' || lpad(user_id::VARCHAR, greatest(12, length(user_id::VARCHAR))::INT, '0') AS patient_id, ts, event_id,
     CASE event_type
       WHEN 'click' THEN 'ECOG performance status is ' || (event_id % 6) || '.'
       WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'Now stage IV disease.'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,14 @@ def build_session(name: str = "cohortlens", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    Only where the setting is absent (tests on one machine) is a folder made and set.
+    Only where the setting is absent and the master is local (one machine) is a folder made and
+    set; executors of a cluster would not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="cohortlens-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path

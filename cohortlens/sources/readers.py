@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,17 +17,36 @@ from ..operators.ranking import keep_last
 from ..operators.registry import normalize_studies, select_studies
 
 
+def with_file_order(df: DataFrame, pos: str, *first: str) -> DataFrame:
+    """Numbers rows in input order: by the columns ``first`` (say, a file's number), then by file
+    path, block of the file and place in the block.
+
+    Blocks are numbered first, one row each; rows keep their place behind their block's number.
+    """
+    at = df.withColumns({"_file": F.col("_metadata.file_path"),
+                         "_start": F.col("_metadata.file_block_start")}).withColumn(
+        "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    blocks = at.select(*first, "_file", "_start").distinct()
+    nth = F.row_number().over(W.orderBy(*first, "_file", "_start")) - 1
+    blocks = blocks.select("_file", "_start", nth.cast("bigint").alias("_nth"))
+    return at.join(blocks, ["_file", "_start"]).withColumn(
+        pos, F.shiftleft("_nth", 33) + F.col("_row")).drop("_file", "_start", "_row", "_nth")
+
+
 def read_array(spark: SparkSession, path: str, schema: str, pos: str = "pos") -> DataFrame:
-    """A JSON file that is one array of records, with their order."""
+    """A JSON file that is one array of records, with their order.
+
+    Such a file is read by one task; JSON lines (:func:`read_lines`) are read by many.
+    """
     df = spark.read.schema(schema).option("multiLine", True).json(path)
-    return df.withColumn(pos, F.monotonically_increasing_id())
+    return with_file_order(df, pos)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str, pos: str = "pos") -> DataFrame:
     """JSON lines; blank lines are skipped, unreadable ones kept in ``_corrupt_record``."""
     df = (spark.read.schema(schema + ", _corrupt_record STRING").option("mode", "PERMISSIVE")
           .json(path))
-    return df.withColumn(pos, F.monotonically_increasing_id())
+    return with_file_order(df, pos)
 
 
 def read_wrapped(spark: SparkSession, path: str, schema: str, pos: str = "pos",
@@ -99,8 +119,7 @@ def read_batches(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """Numbered batch files (``…_batch_<n>.jsonl``) with their number and line order."""
     df = spark.read.schema(schema).json(pattern)
     n = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.jsonl?$", 1).cast("int")
-    return df.select("*", n.alias("batch_no")).withColumn(
-        "line_pos", F.monotonically_increasing_id())
+    return with_file_order(df.withColumn("batch_no", n), "line_pos", "batch_no")
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:

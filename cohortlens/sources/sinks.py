@@ -44,12 +44,15 @@ def review_label_rows(labels: DataFrame) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
+    """Tab-separated files with a header each; read the folder back with ``header``."""
     df.write.option("sep", "\t").option("header", True).csv(path)
 
 
 def write_batches(df: DataFrame, pos: str, size: int, path: str) -> None:
-    """Fixed-size numbered batches, one folder per batch."""
-    batches(df, pos, size).drop("row_no").write.partitionBy("batch").json(path)
+    """Fixed-size numbered batches: rows in the order of their ``batch`` column, in files of normal
+    size that hold many batches each."""
+    (batches(df, pos, size).drop("row_no").repartitionByRange("batch").sortWithinPartitions("batch", pos)
+     .write.json(path))
 
 
 def write_fan_out(predictions: DataFrame, raw: DataFrame, audit: DataFrame, path: str) -> None:

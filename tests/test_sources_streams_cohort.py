@@ -74,9 +74,11 @@ def test_sinks(spark, tmp_path):
         "patient_id STRING, trial_id STRING, decision STRING, source STRING, agrees BOOLEAN, "
         "human_review_required BOOLEAN")
     sinks.write_tsv(sinks.review_label_rows(labels), str(tmp_path / "tsv"))
-    text = next((tmp_path / "tsv").glob("part*")).read_text().splitlines()
-    assert text == ["PATIENT_ID\tTRIAL_ID\tLABEL\tSOURCE\tAGREES\tHUMAN_REVIEW_REQUIRED",
-                    "p\tT\trecommend\tmatcher\t1\t0"]
+    text = {x for f in (tmp_path / "tsv").glob("part*") for x in f.read_text().splitlines()}
+    assert text == {"PATIENT_ID\tTRIAL_ID\tLABEL\tSOURCE\tAGREES\tHUMAN_REVIEW_REQUIRED",
+                    "p\tT\trecommend\tmatcher\t1\t0"}
+    back = spark.read.csv(str(tmp_path / "tsv"), sep="\t", header=True).collect()
+    assert [tuple(r) for r in back] == [("p", "T", "recommend", "matcher", "1", "0")]
 
 
 def test_cohort_scenarios_have_their_effect(spark):

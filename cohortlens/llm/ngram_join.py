@@ -39,10 +39,11 @@ PERCENT = 75
 SKETCH_BITS = 17
 NARROWEST, WIDEST = 8, 20  # bitmap widths, as powers of two
 ID_FILTER_BITS = 24
-LEADERS, LEADER_ROUNDS = 8, 2
+LEADERS = (1, 8, 64)  # of each round
 KEY_FILTER_BITS = 26
 _CHUNK = 1 << 19
 _BLOCK = 1 << 20
+_LARGE = 1 << 12
 
 
 def _shingles(texts: T.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,7 +345,7 @@ def _oriented(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarra
     return node[np.where(turn, y, x)], node[np.where(turn, x, y)]
 
 
-def _leader_pairs(runs: DataFrame, roots: DataFrame | None, percent: int, skip: int) -> DataFrame:
+def _leader_pairs(runs: DataFrame, roots: DataFrame | None, percent: int, leaders: range) -> DataFrame:
     """Each member with some of its run, the same few in all its runs: ``a``, ``b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _grouped(batches):
@@ -354,19 +355,23 @@ def _leader_pairs(runs: DataFrame, roots: DataFrame | None, percent: int, skip:
             order = np.lexsort((_rank(node), np.repeat(starts, sizes)))  # runs stay where they are
             place = np.empty(len(name), np.int64)
             place[order] = np.arange(len(name)) - np.repeat(starts, sizes)
-            place[place < skip] = len(name)  # these were not leaders here
-            found = []
-            for nth in range(skip, skip + LEADERS):
-                long_enough = np.repeat(sizes > nth, sizes)
-                member = np.flatnonzero(long_enough)
-                head = np.repeat(order[np.minimum(starts + nth, len(order) - 1)], sizes)[long_enough]
+            place[place < leaders.start] = len(name)  # these are not leaders now
+            found, member = [], np.arange(len(name))
+            runs_left = np.repeat(np.arange(len(starts)), sizes)
+            for nth in leaders:
+                member = member[sizes[runs_left[member]] > nth]
+                if not len(member):
+                    break
+                every, head = member, order[starts[runs_left[member]] + nth]
                 small, large = np.minimum(n[head], n[member]), np.maximum(n[head], n[member])
                 near = (percent * large <= 100 * small) & (root[head] != root[member])
                 near &= place[member] > nth  # with earlier leaders it has met
                 member, head = member[near], head[near]
                 found.append((*_oriented(node, head, member), _meetings(n[head], n[member], percent),
                               times[member]))
-            yield _met(*(np.concatenate(x) for x in zip(*found, strict=True)))[1]
+                member = every
+            if found:
+                yield _met(*(np.concatenate(x) for x in zip(*found, strict=True)))[1]
 
     return _often_met(_in_tiles(_rooted(runs, roots)).mapInArrow(run, _MET))
 
@@ -404,48 +409,79 @@ class _Bitmaps:
         return out
 
 
+def _near_runs(members: DataFrame) -> DataFrame:
+    """Gives runs that share members one ``lead``, so that most pairs lie in one tile only."""
+    least = members.groupBy("node").agg(F.min("lead").alias("near"))
+    runs = members.select("run", "node").join(least, "node").groupBy("run").agg(F.min("near").alias("lead"))
+    return members.drop("lead").join(runs, "run")
+
+
+def _pairs_of_tile(run, n, root, node, times, percent: int) -> tuple[np.ndarray, ...]:
+    """Pairs of near size in different groups of one run: places of both, and how often they met.
+
+    ``run`` and ``n`` ascend; ``node`` numbers the classes from 0.
+    """
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])), len(run))
+    reach = np.empty(len(run), np.int64)  # size band: up to where the others are not too large
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        reach[low:high] = low + np.searchsorted(n[low:high], 100 * n[low:high] // percent, "right")
+    others = reach - np.arange(len(run)) - 1
+    steps = np.concatenate([[0], np.cumsum(others)])
+    size = int(node.max()) + 1
+    found, met = [], np.zeros(size * size) if size * size <= 8 * _BLOCK else None
+    done = 0
+    while done < len(run):
+        till = max(int(np.searchsorted(steps, steps[done] + _BLOCK, "right")) - 1, done + 1)
+        counts = others[done:till]
+        left = np.repeat(np.arange(done, till), counts)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
+        apart = root[left] != root[right]
+        left, right = left[apart], right[apart]
+        x, y = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
+        if met is not None:
+            met += np.bincount(x * size + y, times[left], minlength=size * size)
+        else:
+            code, which = np.unique(x * size + y, return_inverse=True)
+            found.append((code, np.bincount(which, times[left])))
+        done = till
+    if met is not None:
+        code = np.flatnonzero(met)
+        return code // size, code % size, met[code].astype(np.int64)
+    code = np.concatenate([c for c, _ in found])
+    code, which = np.unique(code, return_inverse=True)
+    times = np.bincount(which, np.concatenate([t for _, t in found])).astype(np.int64)
+    return code // size, code % size, times
+
+
 def _later_pairs(runs: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Members of one run and of near enough size that are in different groups and whose bitmaps
     allow enough overlap: ``a``, ``b``."""
-    members = _rooted(runs, roots).join(classes.select("node", "bits"), "node").select(
+    members = _near_runs(_rooted(runs, roots)).join(classes.select("node", "bits"), "node").select(
         "lead", "run", "n", "node", "times", "root", "bits")
 
+    def tile(run_, n, node, times, root, bits) -> pa.RecordBatch:
+        distinct, at, which = np.unique(node, return_index=True, return_inverse=True)
+        x, y, met = _pairs_of_tile(run_, n, root, which, times, percent)
+        maps = _Bitmaps(bits.take(pa.array(at)).to_pylist())
+        sizes = n[at]
+        near = maps.may_be_similar(x, y, sizes[x], sizes[y], percent)
+        x, y, met = x[near], y[near], met[near]
+        a, b = _oriented(distinct, x, y)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.array(_meetings(sizes[x], sizes[y], percent)), pa.array(met)],
+            ["a", "b", "least", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *columns, bits in _grouped(batches, 1 << 15):
-            name, n, node, times, root = (x.to_numpy() for x in columns[1:])
-            distinct, at, which = np.unique(node, return_index=True, return_inverse=True)
-            maps = _Bitmaps(bits.take(pa.array(at)).to_pylist())
-            bounds = np.append(np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])), len(name))
-            # a tile: a member and those after it in its run that are not too large for it
-            reach = np.empty(len(name), np.int64)
-            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-                reach[low:high] = low + np.searchsorted(n[low:high], 100 * n[low:high] // percent, "right")
-            others = reach - np.arange(len(name)) - 1
-            steps = np.concatenate([[0], np.cumsum(others)])
-            done, found, held = 0, [], 0
-
-            def passing():
-                left, right = (np.concatenate(x) for x in zip(*found, strict=True))
-                where, batch = _met(*_oriented(node, left, right),
-                                    _meetings(n[left], n[right], percent), times[left])
-                left, right = left[where], right[where]
-                return batch.filter(pa.array(maps.may_be_similar(
-                    which[left], which[right], n[left], n[right], percent)))
-
-            while done < len(name):
-                till = max(int(np.searchsorted(steps, steps[done] + _BLOCK, "right")) - 1, done + 1)
-                sizes = others[done:till]
-                left = np.repeat(np.arange(done, till), sizes)
-                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                apart = root[left] != root[right]
-                found.append((left[apart], right[apart]))
-                held += int(apart.sum())
-                done = till
-                if held > _BLOCK:
-                    yield passing()
-                    found, held = [], 0
-            if found:
-                yield passing()
+        for *columns, bits in _grouped(batches, 4 * _LARGE):
+            lead, *columns = (x.to_numpy() for x in columns)
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]])), len(lead))
+            sizes = np.diff(bounds)
+            for low in bounds[:-1][sizes > _LARGE]:
+                part = slice(low, low + int(sizes[np.searchsorted(bounds, low)]))
+                yield tile(*(c[part] for c in columns), bits[part])
+            rest = np.flatnonzero(np.repeat(sizes <= _LARGE, sizes))
+            if len(rest):
+                yield tile(*(c[rest] for c in columns), bits.take(pa.array(rest)))
 
     return _often_met(_in_tiles(members).mapInArrow(run, _MET))
 
@@ -512,8 +548,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         F.first("bits").alias("bits")))
     runs = cut(_runs(_shared_keys(sets, percent)))
     near, roots = None, None
-    for step in range(LEADER_ROUNDS):
-        pairs = _leader_pairs(runs, roots, percent, step * LEADERS)
+    for step, count in enumerate(LEADERS):
+        done = sum(LEADERS[:step])
+        pairs = _leader_pairs(runs, roots, percent, range(done, done + count))
         fresh = _verified(cut(_within_bound(pairs, classes, percent)), classes, rows, size, percent)
         near = cut(fresh if near is None else near.union(fresh))
         roots = components(near)

@@ -72,7 +72,7 @@ def bool_text(c):
     return F.coalesce(c.cast("string"), F.lit("?"))
 
 
-@QUERIES.add("note_facts", "NRM-04 NRM-05 NRM-19 NRM-20 NRM-22 NRM-27",
+@QUERIES.add("note_facts", "NRM-05 NRM-19 NRM-20 NRM-22 NRM-27",
              S.with_roles(S.NOTES, S.FACTS) + """
 SELECT patient_id, md5(note) AS note_md5, age, sex, diagnosis, stage, ecog, b_egfr AS egfr,
   b_alk AS alk, b_her2 AS her2, state,
@@ -130,7 +130,7 @@ def note_overlay(spark, sf_dir):
         F.try_element_at("flags", F.lit("organ_transplant")).cast("string").alias("transplant"))
 
 
-@QUERIES.add("criteria_rows", "CRT-01 CRT-02 CRT-03 CRT-04 CRT-05 CRT-06",
+@QUERIES.add("criteria_rows", "CRT-01 CRT-02 CRT-03 CRT-04 CRT-05",
              S.with_roles(S.CRITERIA) + """
 SELECT trial_id || '-' || part AS criterion_id, ctype AS criterion_type, criterion,
   CASE WHEN ctype = 'exclusion' THEN 'flag_' || name
@@ -192,7 +192,7 @@ asked AS (SELECT patient_id, field, patient_id || '-Q' || lpad(row_number() OVER
 """
 
 
-@QUERIES.add("question_groups", "QST-03 JON-18 SET-04", _ASKED + """
+@QUERIES.add("question_groups", "QST-03", _ASKED + """
 SELECT patient_id, question_id, field, CASE field WHEN 'age' THEN 'What is the patient''s age?'
     WHEN 'condition' THEN 'What is the patient''s confirmed diagnosis?'
     WHEN 'ecog' THEN 'What is the patient''s ECOG performance status?'
@@ -210,7 +210,7 @@ def question_groups(spark, sf_dir):
     return questions.select("patient_id", "question_id", "field", "question")
 
 
-@QUERIES.add("question_links", "QST-03 QST-07", _ASKED + """
+@QUERIES.add("question_links", "QST-03", _ASKED + """
 SELECT patient_id, question_id, count(*) AS links, count(DISTINCT trial_id) AS trials,
   min(trial_id || '-' || part) AS first_criterion
 FROM unknowns JOIN asked USING (patient_id, field) GROUP BY ALL""")
@@ -253,7 +253,7 @@ compared AS (SELECT part, ctype, max(status) FILTER (rules = 'new') AS gold,
 """
 
 
-@QUERIES.add("criterion_confusion", "JON-05 EVL-01 EVL-02", _COMPARED + """
+@QUERIES.add("criterion_confusion", "JON-05 EVL-02", _COMPARED + """
 SELECT gold, pred, count(*) AS n FROM compared GROUP BY ALL""")
 def criterion_confusion(spark, sf_dir):
     return E.confusion(_compared(spark, sf_dir))
@@ -305,7 +305,7 @@ def transition_accuracy(spark, sf_dir):
     return E.transition_accuracy(rows.withColumn("part", part()), ["part"])
 
 
-@QUERIES.add("recommendation_sets", "EVL-06 EVL-07 SET-02 SET-05 SET-06 EVL-09",
+@QUERIES.add("recommendation_sets", "EVL-06 SET-02 SET-05 SET-06",
              S.with_roles(*S.LOOP, S.ROLLED) + f""",
 sides AS (SELECT patient_id, trial_id, bool_or(rules = 'new' AND eligibility = 'eligible') AS g,
     bool_or(rules = 'old' AND eligibility = 'eligible') AS p FROM rolled WHERE phase = 'final'

@@ -32,7 +32,7 @@ def decided_pairs(spark, sf_dir):
     return M.decide(judged_pairs(spark, sf_dir, detail=False))
 
 
-@QUERIES.add("match_topn", "JON-01 PRD-10 AGG-01 AGG-02 AGG-03 RNK-01 QST-01", _JUDGED + """
+@QUERIES.add("match_topn", "JON-01 PRD-10 AGG-01 AGG-02 AGG-03 RNK-01", _JUDGED + """
 , ranked AS (SELECT j.*, row_number() OVER (PARTITION BY patient_id ORDER BY score DESC,
     (decision = 'recommend') DESC, retrieval_pos) AS rank FROM judged j)
 SELECT patient_id, trial_id, rank::INT AS rank, score, decision, matched, missing, conflicts,
@@ -87,7 +87,7 @@ report AS (SELECT *, {Q.round_exact('band', 3)} AS recommendation_score FROM ban
 """
 
 
-@QUERIES.add("rollup_policies", "AGG-04 AGG-06 AGG-07 AGG-08", _REPORT + """
+@QUERIES.add("rollup_policies", "AGG-04 AGG-06 AGG-08", _REPORT + """
 SELECT eligibility AS by_ignore, CASE WHEN conflicts > 0 THEN 'ineligible' WHEN missing > 0
     THEN 'uncertain' WHEN matched + na > 0 THEN 'eligible' ELSE 'uncertain' END AS by_accept,
   CASE WHEN conflicts > 0 OR na > 0 THEN 'ineligible' WHEN missing > 0 THEN 'uncertain'
@@ -106,7 +106,7 @@ def rollup_policies(spark, sf_dir):
         F.min(F.concat("patient_id", "trial_id")).alias("first_pair"))
 
 
-@QUERIES.add("report_ranking", "AGG-05 AGG-17 RNK-02 AGG-09", _REPORT + """
+@QUERIES.add("report_ranking", "AGG-05 RNK-02", _REPORT + """
 SELECT patient_id, trial_id, eligibility, recommendation_score, retrieval_score,
   row_number() OVER (PARTITION BY patient_id ORDER BY CASE eligibility WHEN 'eligible' THEN 3
     WHEN 'uncertain' THEN 2 ELSE 1 END DESC, recommendation_score DESC, retrieval_score DESC,
@@ -196,7 +196,7 @@ found AS (SELECT * FROM (SELECT patient_id, trial_id, row_number() OVER (PARTITI
 """
 
 
-@QUERIES.add("recall_at_k", "EVL-08 RET-08 JON-02 JON-17", _JUDGED + _FOUND + f""",
+@QUERIES.add("recall_at_k", "EVL-08 RET-08", _JUDGED + _FOUND + f""",
 targets AS (SELECT patient_id, min(trial_id) AS trial_id FROM pairs GROUP BY patient_id),
 expected AS (SELECT patient_id, trial_id, 'recommend' AS kind FROM judged
     WHERE decision = 'recommend'
@@ -213,7 +213,7 @@ def recall_at_k(spark, sf_dir):
     return E.recall_at_k(top_candidates(spark, sf_dir), E.expected_pairs(decided, targets))
 
 
-@QUERIES.add("label_file_rows", "SNK-03 RET-08", _JUDGED + _FOUND + """
+@QUERIES.add("label_file_rows", "SNK-03", _JUDGED + _FOUND + """
 SELECT patient_id AS "PATIENT_ID", trial_id AS "TRIAL_ID", CASE decision
     WHEN 'recommend' THEN 'eligible' WHEN 'needs_more_info' THEN 'uncertain'
     ELSE 'ineligible' END AS "ELIGIBILITY", decision AS "INTERNAL_BASELINE_LABEL",
@@ -254,7 +254,7 @@ base_label AS (SELECT patient_id, trial_id, CASE WHEN bool_or(status = 'violated
 """
 
 
-@QUERIES.add("baseline_labels", "LBL-11 JON-04 AGG-06 RNK-06", _BASE + """
+@QUERIES.add("baseline_labels", "LBL-11 JON-04 AGG-06", _BASE + """
 SELECT b.patient_id || '__' || b.trial_id AS pair_id, eligibility, n::INT AS criteria,
   count(*) FILTER (status = 'unknown')::INT AS unknown
 FROM base b JOIN base_label USING (patient_id, trial_id) GROUP BY ALL""")
@@ -264,7 +264,7 @@ def baseline_labels(spark, sf_dir):
         M.count_status("criterion_results", "unknown").alias("unknown"))
 
 
-@QUERIES.add("agreement_by_scenario", "EVL-10 JON-02", _BASE + f""",
+@QUERIES.add("agreement_by_scenario", "EVL-10", _BASE + f""",
 note AS (SELECT patient_id, trial_id, part, status FROM verdicts
   WHERE phase = 'initial' AND rules = 'new'),
 note_label AS (SELECT patient_id, trial_id, CASE WHEN bool_or(status = 'violated')

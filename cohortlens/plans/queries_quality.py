@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
-from ..operators import cohort as H
 from ..operators import evaluation as E
 from ..operators import matching as M
 from ..operators import ranking as R
@@ -13,6 +12,8 @@ from ..operators import responses as RS
 from ..operators import rollup as U
 from ..operators import summaries as S
 from ..session import scratch_path
+from ..sources import readers as RD
+from ..sources import sinks as SK
 from ..streaming import answers as SA
 from ..streaming import scores as SS
 from . import queries_loop as QL
@@ -54,7 +55,7 @@ def missing_extra(spark, sf_dir):
     return missing.unionByName(extra.filter("side = 'extra'"))
 
 
-@QUERIES.add("dedupe_last", "RNK-07 SET-04", """
+@QUERIES.add("dedupe_last", "RNK-07", """
 SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id,
   arg_max(props, (ts, event_id)) AS props FROM events GROUP BY ALL""")
 def dedupe_last(spark, sf_dir):
@@ -63,7 +64,7 @@ def dedupe_last(spark, sf_dir):
     return last.select("user_id", "event_type", "event_id", "props")
 
 
-@QUERIES.add("id_batches", "SNK-04 RNK-06", """
+@QUERIES.add("id_batches", "SNK-04", """
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_no,
   (floor((row_number() OVER (ORDER BY doc_id) - 1) / 64) + 1)::INT AS batch FROM documents""")
 def id_batches(spark, sf_dir):
@@ -72,7 +73,7 @@ def id_batches(spark, sf_dir):
         "doc_id", F.col("row_no").cast("bigint").alias("row_no"), "batch")
 
 
-@QUERIES.add("question_order", "RNK-08 QST-10", """
+@QUERIES.add("question_order", "RNK-08", """
 SELECT question_id, CASE WHEN event_id % 3 = 0 THEN 9223372036854775807 ELSE event_id % 50 END::BIGINT AS order_key
 FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'x-Q' || event_id % 50
   ELSE 'U' || user_id || '-Q' || event_id % 50 END AS question_id FROM events)""")
@@ -88,7 +89,7 @@ def question_order(spark, sf_dir):
                        R.numeric_suffix_key("question_id", "patient_id").alias("order_key"))
 
 
-@QUERIES.add("coverage_fill", "JON-09 CRT-07 JON-03", """
+@QUERIES.add("coverage_fill", "JON-09", """
 WITH l AS (SELECT l_orderkey AS k, min(l_shipdate) AS first_ship, count(*) AS n FROM lineitem
   GROUP BY 1)
 SELECT o_orderkey, coalesce(n, 0) AS lines, n IS NULL AS filled,
@@ -105,7 +106,7 @@ def coverage_fill(spark, sf_dir):
         .otherwise("violated").alias("status"))
 
 
-@QUERIES.add("overlay_rows", "JON-10 JON-11 JON-12 JON-14", Q.with_roles(*Q.LOOP) + """,
+@QUERIES.add("overlay_rows", "JON-10", Q.with_roles(*Q.LOOP) + """,
 i AS (SELECT patient_id, trial_id, part, status FROM verdicts WHERE rules = 'new'
   AND phase = 'initial'),
 f AS (SELECT patient_id, trial_id, part, status FROM verdicts WHERE rules = 'old'
@@ -215,7 +216,7 @@ def label_report(spark, sf_dir):
                                       (F.col("label") == F.col("decision")).alias("agrees")))
 
 
-@QUERIES.add("run_summary", "AGG-11 AGG-18", Q.with_roles(*Q.LOOP, Q.ROLLED) + """,
+@QUERIES.add("run_summary", "AGG-11", Q.with_roles(*Q.LOOP, Q.ROLLED) + """,
 a AS (SELECT * FROM rolled WHERE rules = 'new' AND phase = 'final'),
 v AS (SELECT * FROM verdicts WHERE rules = 'new' AND phase = 'final')
 SELECT 'patient_count' AS dimension, '' AS value, count(DISTINCT patient_id) AS n FROM a
@@ -302,7 +303,7 @@ def event_records(spark, sf_dir):
         F.col("event_id").alias("record_no"), doc.alias("record"))
 
 
-@QUERIES.add("blinded_audit", "VAL-05 VAL-06 NRM-28", """
+@QUERIES.add("blinded_audit", "VAL-05 VAL-06", """
 WITH e AS (SELECT event_id AS e, event_id % 13 <> 0 AS t FROM events)
 SELECT error, n FROM (
   SELECT 'top-level keys mismatch' AS error, count(*) AS n FROM e WHERE e % 17 = 0
@@ -338,7 +339,7 @@ def forbidden_paths(spark, sf_dir):
     return hits.select(F.col("patient_id").alias("record_no"), "path")
 
 
-@QUERIES.add("json_line_checks", "VAL-08 SRC-02", """
+@QUERIES.add("json_line_checks", "VAL-08", """
 SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'invalid JSON' ELSE 'row is not an object' END
   AS error FROM events WHERE event_id % 6 IN (1, 2)""")
 def json_line_checks(spark, sf_dir):
@@ -359,59 +360,6 @@ def path_terms(spark, sf_dir):
 
 # --- cohorts ------------------------------------------------------------------------------------------------
 
-@QUERIES.add("cohort_scenarios", "GEN-01 GEN-02 GEN-03", Q.with_roles() + """,
-u AS (SELECT *, row_number() OVER (ORDER BY trial_pos) - 1 AS no FROM trials
-  WHERE len(conditions) > 0),
-sc AS (SELECT *, list_concat(['clear_candidate', 'wrong_condition', 'missing_age'],
-    CASE WHEN min_age IS NOT NULL OR max_age IS NOT NULL THEN ['age_conflict']
-      ELSE CAST([] AS VARCHAR[]) END,
-    CASE WHEN sex <> 'all' THEN ['sex_conflict'] ELSE CAST([] AS VARCHAR[]) END,
-    CASE WHEN len(markers) > 0 THEN ['missing_biomarker'] ELSE CAST([] AS VARCHAR[]) END,
-    CASE WHEN len(excluded_flags) > 0 THEN ['exclusion_conflict'] ELSE CAST([] AS VARCHAR[]) END,
-    CASE WHEN len(allowed_stages) > 0 THEN ['stage_conflict'] ELSE CAST([] AS VARCHAR[]) END,
-    CASE WHEN max_ecog IS NOT NULL THEN ['ecog_conflict', 'missing_ecog']
-      ELSE CAST([] AS VARCHAR[]) END,
-    CASE WHEN len(priors) > 0 THEN ['prior_treatment_gap'] ELSE CAST([] AS VARCHAR[]) END) AS s
-  FROM u),
-t AS (SELECT count(*) AS t FROM u),
-r AS (SELECT i, i % t AS no, i // t AS cycle FROM (SELECT unnest(range((SELECT count(*) * 3
-    FROM part))) AS i), t),
-m AS (SELECT i, sc.*, s[(no + cycle) % len(s) + 1] AS scenario FROM r JOIN sc USING (no))
-SELECT i AS patient_pos, 'SYN-GEN-' || lpad((i + 1)::VARCHAR, greatest(5,
-    length((i + 1)::VARCHAR))::INT, '0') AS patient_id, trial_id AS target_trial_id, scenario,
-  CASE WHEN scenario = 'missing_age' THEN 'none' WHEN scenario = 'age_conflict' THEN
-    CASE WHEN min_age > 0 THEN (min_age - 1)::VARCHAR ELSE (max_age + 1)::VARCHAR END
-    ELSE 'within' END AS age,
-  CASE WHEN sex = 'all' THEN 'any' WHEN scenario = 'sex_conflict'
-    THEN CASE sex WHEN 'female' THEN 'male' ELSE 'female' END ELSE sex END AS sex,
-  CASE WHEN scenario = 'stage_conflict' THEN 'I' ELSE '' END AS stage,
-  CASE WHEN scenario = 'ecog_conflict' THEN max_ecog + 1 WHEN scenario = 'missing_ecog' THEN NULL
-    ELSE -1 END::INT AS ecog,
-  CASE WHEN scenario = 'missing_biomarker' THEN 0 ELSE len(markers) END::INT AS biomarkers,
-  CASE WHEN scenario = 'prior_treatment_gap' THEN 0 ELSE len(priors) END::INT AS priors,
-  (scenario = 'exclusion_conflict')::INT AS flags_set
-FROM m""")
-def cohort_scenarios(spark, sf_dir):
-    trials = roles.trials(spark, sf_dir)
-    n = roles.table(spark, sf_dir, "part").count() * 3
-    made = H.make_cohort(trials, n).join(
-        trials.select(F.col("trial_id").alias("target_trial_id"), "min_age", "max_age",
-                      F.col("sex").alias("t_sex")), "target_trial_id")
-    low = F.coalesce("min_age", F.lit(18))
-    high = F.greatest(low, F.least(F.coalesce("max_age", F.lit(82)), F.lit(88)))
-    sc = F.col("scenario")
-    return made.select(
-        "patient_pos", "patient_id", "target_trial_id", "scenario",
-        F.when(F.col("age").isNull(), "none").when(F.col("age").between(low, high), "within")
-        .otherwise(F.col("age").cast("string")).alias("age"),
-        F.when(F.col("t_sex") == "all", "any").otherwise(F.col("sex")).alias("sex"),
-        F.when(sc == "stage_conflict", F.col("stage")).otherwise("").alias("stage"),
-        F.when(sc.isin("ecog_conflict", "missing_ecog"), F.col("ecog")).otherwise(-1)
-        .alias("ecog"), F.size("biomarkers").alias("biomarkers"),
-        F.size("prior_treatments").alias("priors"),
-        F.size(F.filter(F.map_values("flags"), lambda v: v)).alias("flags_set"))
-
-
 # --- streams ------------------------------------------------------------------------------------------------
 
 @QUERIES.add("stream_scores", "STR-01 JON-08", Q.with_roles(Q.EVIDENCE, Q.JUDGED) + """
@@ -419,21 +367,20 @@ SELECT patient_id, trial_id, score, decision FROM judged""")
 def stream_scores(spark, sf_dir):
     """Line items arrive as a stream; new customer-part pairs are judged once."""
     path = f"{sf_dir}/lineitem.parquet"
-    arrivals = spark.readStream.schema(spark.read.parquet(path).schema).parquet(
+    items = spark.readStream.schema(spark.read.parquet(path).schema).parquet(
         f"{sf_dir}/lineitem*.parquet").select("l_orderkey", "l_partkey")
     orders = roles.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     patients, trials = roles.patients(spark, sf_dir), roles.trials(spark, sf_dir)
+    arrivals = items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).select(
+        roles._pid("o_custkey").alias("patient_id"), roles._tid("l_partkey").alias("trial_id"))
 
     def score(batch):
-        pairs = batch.join(orders, batch["l_orderkey"] == orders["o_orderkey"]).select(
-            roles._pid("o_custkey").alias("patient_id"),
-            roles._tid("l_partkey").alias("trial_id")).distinct()
-        return M.decide(M.judge_pairs(pairs, patients, trials, detail=False)).select(
+        return M.decide(M.judge_pairs(batch, patients, trials, detail=False)).select(
             *PAIR, "score", "decision")
     sink = scratch_path(spark, "scores")
     SS.score_stream(arrivals, score, PAIR, sink, scratch_path(spark, "scores-log")
                     ).awaitTermination()
-    return spark.read.parquet(sink)
+    return SS.results(spark, sink)
 
 
 @QUERIES.add("stream_answers", "STR-02 QST-06", Q.with_roles(*Q.LOOP) + """
@@ -452,3 +399,40 @@ def stream_answers(spark, sf_dir):
     return f.select("patient_id", F.col("a_ecog").alias("ecog"), F.col("a_stage").alias("stage"),
                     QL.bool_text(F.col("a_platinum")).alias("platinum"),
                     QL.bool_text(F.col("a_organ_transplant")).alias("transplant"))
+
+
+# --- files written and read back ------------------------------------------------------------------------
+
+@QUERIES.add("answers_from_files", "SRC-02 SRC-07 SNK-01", """
+SELECT 'U' || user_id AS patient_id, max(event_id) AS question_id, arg_max(event_type, event_id) AS answer
+FROM events GROUP BY user_id""")
+def answers_from_files(spark, sf_dir):
+    """Answers written as several JSON-lines files; the last one of each patient is read back."""
+    rows = roles.table(spark, sf_dir, "events").repartitionByRange(7, "event_id").sortWithinPartitions(
+        "event_id").select(F.concat(F.lit("U"), "user_id").alias("patient_id"), F.array(F.struct(
+            F.col("event_id").cast("string").alias("question_id"), F.col("event_type").alias("answer"),
+            F.lit("file").alias("source"))).alias("simulated_patient_answers"))
+    path = scratch_path(spark, "answers")
+    SK.write_lines(rows, path)
+    return RD.read_answers(spark, path).select(
+        "patient_id", F.col("question_id").cast("bigint").alias("question_id"), "answer")
+
+
+@QUERIES.add("batches_from_files", "SRC-06 SNK-04 RNK-07", """
+SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 50 + 1)::INT AS batch, lang FROM documents""")
+def batches_from_files(spark, sf_dir):
+    """Documents written in numbered batches of 50 and read back."""
+    path = scratch_path(spark, "batches")
+    SK.write_batches(roles.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50, path)
+    return spark.read.schema("batch INT, doc_id BIGINT, lang STRING").json(path).select(
+        "doc_id", "batch", "lang")
+
+
+@QUERIES.add("gated_run", "EVL-11 VAL-01", """
+SELECT 0::BIGINT AS errors, count(DISTINCT o_orderkey) AS checked FROM orders WHERE o_totalprice > 0""")
+def gated_run(spark, sf_dir):
+    """The gate over orders whose rule (a positive price) holds: it passes and tells how many."""
+    orders = roles.table(spark, sf_dir, "orders").where("o_totalprice > 0")
+    errors = orders.where("o_totalprice <= 0").select(
+        F.col("o_orderkey").cast("string").alias("patient_id"), F.lit("no price").alias("error"))
+    return A.gate(errors, orders.select("o_orderkey").distinct())

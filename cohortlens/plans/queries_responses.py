@@ -86,7 +86,7 @@ def raw_responses(spark, sf_dir):
     return per.select("patient_id", content.alias("content"))
 
 
-@QUERIES.add("response_audit", "LBL-01 LBL-09 JON-09 SRC-09 CRT-07 SNK-05", _LINES + """,
+@QUERIES.add("response_audit", "LBL-01 LBL-09 JON-09", _LINES + """,
 p AS (SELECT *, k % 5 <> 3 AND n <> 7 AND (phase = 'final' OR k % 3 <> 0) AS here,
     k % 5 <> 3 AND (phase = 'final' OR k % 3 <> 0) AS valid
   FROM l, (VALUES ('initial'), ('final')) AS x(phase)),
@@ -122,7 +122,7 @@ def response_labels(spark, sf_dir):
     return out["assessed"].filter("phase = 'final'").select(*PAIR, "eligibility", "filled")
 
 
-@QUERIES.add("catch_all_questions", "QST-04 QST-05", _LINES + """,
+@QUERIES.add("catch_all_questions", "QST-04", _LINES + """,
 p AS (SELECT *, k % 5 <> 3 AND n <> 7 AND k % 3 <> 0 AS here FROM l),
 u AS (SELECT patient_id, sum(CASE WHEN NOT here THEN 2 WHEN n % 3 = 0 OR q % 5 = 0 THEN 1
     ELSE 0 END)::BIGINT AS links FROM p GROUP BY patient_id)
@@ -325,7 +325,7 @@ e AS (
 """
 
 
-@QUERIES.add("contract_errors", "VAL-01 SET-05 JON-07 EVL-11", _CONTRACT + """)
+@QUERIES.add("contract_errors", "VAL-01 SET-05 JON-07", _CONTRACT + """)
 SELECT error, n FROM e WHERE n > 0""")
 def contract_errors(spark, sf_dir):
     p = predictions(spark, sf_dir)
@@ -334,7 +334,7 @@ def contract_errors(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
-@QUERIES.add("finalized_errors", "VAL-03 VAL-09", _CONTRACT + """
+@QUERIES.add("finalized_errors", "VAL-03", _CONTRACT + """
   UNION ALL SELECT 'missing exclusion reason', count(*) FROM f WHERE n = 6 AND q % 2 <> 0)
 SELECT error, n FROM e WHERE n > 0""")
 def finalized_errors(spark, sf_dir):
@@ -344,7 +344,7 @@ def finalized_errors(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
-@QUERIES.add("batch_label_errors", "VAL-02 LBL-12 SRC-06", _LINES + """,
+@QUERIES.add("batch_label_errors", "VAL-02", _LINES + """,
 o AS (SELECT k, count(*) AS c, count(*) FILTER (n <> 7) AS kept FROM l GROUP BY k),
 here AS (SELECT * FROM l WHERE n <> 7 AND k % 9 <> 0),
 e AS (SELECT 'missing output record' AS error, count(*) AS n FROM o

@@ -150,8 +150,8 @@ def studies(spark, sf_dir):
         k.alias("trial_pos"), study.cast(S.STUDY.replace("STRUCT<", "struct<")).alias("study"))
 
 
-@QUERIES.add("protocol_etl", "SRC-05 NRM-07 NRM-08 NRM-09 NRM-10 NRM-11 NRM-12 NRM-13 NRM-14 "
-             "NRM-15 NRM-16 NRM-17 PRD-14", """
+@QUERIES.add("protocol_etl", "NRM-07 NRM-08 NRM-09 NRM-10 NRM-11 NRM-12 NRM-13 NRM-14 "
+             "NRM-15 NRM-16 NRM-17 ", """
 SELECT 'NCT' || lpad(p_partkey::VARCHAR, greatest(8, length(p_partkey::VARCHAR))::INT, '0') AS trial_id, p_name || ' < ' || p_brand AS title,
   CASE WHEN p_partkey % 9 = 0 THEN round_even(p_size * 6 / 12, 0)::INT
     WHEN p_partkey % 9 <> 1 THEN p_size::INT END AS min_age,
@@ -267,7 +267,7 @@ def retrieve_topk(spark, sf_dir):
     return found.select("query_id", "trial_id", "retrieval_rank", "retrieval_score")
 
 
-@QUERIES.add("best_chunks", "RET-05 RET-06", _RETRIEVED + f""",
+@QUERIES.add("best_chunks", "RET-05", _RETRIEVED + f""",
 c AS (SELECT x.*, row_number() OVER (PARTITION BY x.query_id, x.doc_id
     ORDER BY x.s DESC, x.chunk_pos) AS cr FROM scored x
   JOIN best b ON b.query_id = x.query_id AND b.trial_id = x.doc_id)
@@ -299,7 +299,7 @@ def target_first(spark, sf_dir):
 
 # --- questions find the turns they are about, inside their own conversation -------------------
 
-@QUERIES.add("question_words", "JON-18 SET-06", """
+@QUERIES.add("question_words", "SET-06", """
 WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(
     replace(lower(text), '_', ' '), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS w, role
   FROM conversations),

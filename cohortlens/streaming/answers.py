@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.questions import answer_facts
 from ..operators.ranking import keep_last
+from .scores import run_folder
 
 
 def stated_facts(answers: DataFrame, pos: Column) -> DataFrame:
@@ -20,11 +21,14 @@ def answer_stream(answers: DataFrame, pos: Column, sink: str, checkpoint: str, *
     """Keep the facts of changed patients up to date in ``sink``.
 
     Update mode emits a patient whenever an answer changes its facts; each batch's changes
-    are written with the batch number, and :func:`current_facts` reads the newest.  A batch
-    run again overwrites its own folder.
+    are written with the batch number and the time, and :func:`current_facts` reads the newest.  A
+    batch run again overwrites its own folder; another checkpoint writes to folders of its own.
     """
+    folder = run_folder(sink, checkpoint)
+
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        batch.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").parquet(
+            f"{folder}/batch_id={batch_id}")
 
     writer = (stated_facts(answers, pos).writeStream.outputMode("update").foreachBatch(put)
               .option("checkpointLocation", checkpoint))
@@ -34,4 +38,5 @@ def answer_stream(answers: DataFrame, pos: Column, sink: str, checkpoint: str, *
 def current_facts(spark, sink: str) -> DataFrame:
     """Newest facts per patient from the sink's batches."""
     rows = spark.read.option("basePath", sink).parquet(sink)
-    return keep_last(rows, ["patient_id"], F.col("batch_id")).drop("batch_id")
+    last = keep_last(rows, ["patient_id"], F.struct("written_at", "batch_id"))
+    return last.drop("run", "batch_id", "written_at")

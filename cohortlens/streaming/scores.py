@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ranking import keep_last
 
 
+def run_folder(sink: str, checkpoint: str) -> str:
+    """The part of a sink that belongs to one checkpoint, so a new one overwrites nothing."""
+    return f"{sink}/run={sha256(checkpoint.encode()).hexdigest()[:16]}"
+
+
 def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not done yet."""
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
@@ -17,26 +24,27 @@ def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def score_stream(arrivals: DataFrame, score: Callable[[DataFrame], DataFrame], keys: list[str],
                  sink: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
-    """Judge each micro-batch and append only keys the sink does not hold.
+    """Judge each key when it first arrives.
 
-    ``score`` turns a batch of arrivals into result rows with unique ``keys``.  The
-    checkpoint takes the place of a resume flag; because done keys are skipped, a batch that
-    is run again after a failure adds nothing twice.
+    The keys met so far are the stream's own state, partitioned by key and kept in its checkpoint, so a
+    batch costs what it brings and not what was done before.  ``score`` turns a batch of new keys
+    into result rows.  A batch that is run again after a failure overwrites its own folder.
     """
-    spark = arrivals.sparkSession
+    folder = run_folder(sink, checkpoint)
 
-    def append(batch: DataFrame, _batch_id: int) -> None:
-        rows = score(batch)
-        path = spark._jvm.org.apache.hadoop.fs.Path(sink)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            rows = pending(rows, spark.read.schema(rows.schema).parquet(sink), keys)
-        rows.write.mode("append").parquet(sink)
+    def put(batch: DataFrame, batch_id: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
-    writer = arrivals.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    fresh = arrivals.dropDuplicates(keys)
+    writer = fresh.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def compacted(results: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """The last result of each key, for sinks that were appended to by reruns."""
-    return keep_last(results, keys, pos)
+def results(spark, sink: str) -> DataFrame:
+    """All results of a sink."""
+    return spark.read.option("basePath", sink).parquet(sink).drop("run", "batch_id")
+
+
+def compacted(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """The last result of each key, for sinks that several checkpoints wrote to."""
+    return keep_last(rows, keys, F.col(pos))

@@ -134,7 +134,7 @@ def test_score_stream_resumes_and_skips_done_keys(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).parquet(src)
         SS.score_stream(stream, score, ["patient_id", "trial_id"], sink, log).awaitTermination()
-        return sorted((r.patient_id, r.trial_id) for r in spark.read.parquet(sink).collect())
+        return sorted((r.patient_id, r.trial_id) for r in SS.results(spark, sink).collect())
     spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1")], schema).write.parquet(src)
     assert run() == [("a", "1"), ("b", "1")]
     spark.createDataFrame([("a", "1"), ("c", "1")], schema).write.mode("append").parquet(src)

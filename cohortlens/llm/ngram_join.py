@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from . import textbytes as T
 from .bitmaps import collect_bitmap, in_bitmap
 from .components import components
-from .stages import cut
+from .stages import counted, cut, lookup
 
 WORDS = 5
 PERCENT = 75
 SKETCH_BITS = 17
 NARROWEST, WIDEST = 8, 20  # bitmap widths, as powers of two
 ID_FILTER_BITS = 24
-LEADERS = (1, 8, 64)  # of each round
+LEADERS = (2, 16)  # of each round
 KEY_FILTER_BITS = 26
 _CHUNK = 1 << 19
 _BLOCK = 1 << 20
@@ -218,10 +218,7 @@ def _shared_keys(sets: DataFrame, percent: int) -> DataFrame:
                 some = in_bitmap(wanted.value, lists.flatten().to_numpy().view(np.uint64) << np.uint64(1))
                 ends = np.cumsum(pc.list_value_length(lists).to_numpy())
                 counts = np.diff(np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], ends])])
-                n = batch.column(1).to_numpy()
-                small, large = (percent * n + 99) // 100, 100 * n // percent
-                least = np.minimum(_meetings(n, small, percent), _meetings(n, large, percent))
-                enough = counts >= np.minimum(least, _meetings(n, n, percent))
+                enough = counts >= _fewest(batch.column(1).to_numpy(), percent)
                 some &= np.repeat(enough, np.diff(np.concatenate([[0], ends])))
                 offsets = np.concatenate([[0], np.cumsum(np.where(enough, counts, 0))])
                 yield pa.RecordBatch.from_arrays(
@@ -320,18 +317,37 @@ def _often_met(pairs: DataFrame) -> DataFrame:
             .where("times >= least").select("a", "b"))
 
 
-def _rooted(runs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The runs that hold several groups, with the group of each member, sorted by set size.
+def _fewest(n, percent: int):
+    """At how many keys a set of ``n`` meets any similar one at least."""
+    small, large = (percent * n + 99) // 100, 100 * n // percent
+    return np.minimum(np.minimum(_meetings(n, small, percent), _meetings(n, large, percent)),
+                      _meetings(n, n, percent))
 
-    Runs of one first leader lie together, so that a pair is found once and not once per key.
+
+def _rooted(runs: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """The runs that hold several groups, with the group of each member.
+
+    Classes that meet others there at fewer keys than any similar pair does are left out.
     """
-    members = runs.withColumn("root", F.col("node"))
-    if roots is not None:
-        members = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = members.groupBy("run").agg(
-            F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("run")
-        members = members.join(several, "run", "left_semi")
-    return members.select("lead", "run", "n", "node", "times", "root")
+    if roots is None:
+        return runs.withColumn("root", F.col("node"))
+    members = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def several(rows):
+        mixed = rows.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+            "low <> high").select("run")
+        return rows.join(mixed, "run", "left_semi")
+
+    members, _ = counted(several(members))
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, times = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            yield batch.select([0]).filter(pa.array(times >= _fewest(n, percent)))
+
+    enough = members.groupBy("node").agg(F.first("n").alias("n"), F.sum("times").alias("times")).mapInArrow(
+        often, "node bigint")
+    return counted(several(members.join(enough, "node", "left_semi")))[0]
 
 
 def _in_tiles(members: DataFrame) -> DataFrame:
@@ -373,7 +389,8 @@ def _leader_pairs(runs: DataFrame, roots: DataFrame | None, percent: int, leader
             if found:
                 yield _met(*(np.concatenate(x) for x in zip(*found, strict=True)))[1]
 
-    return _often_met(_in_tiles(_rooted(runs, roots)).mapInArrow(run, _MET))
+    return _often_met(_in_tiles(_near_runs(_rooted(runs, roots, percent)).select(
+        "lead", "run", "n", "node", "times", "root")).mapInArrow(run, _MET))
 
 
 class _Bitmaps:
@@ -456,13 +473,22 @@ def _pairs_of_tile(run, n, root, node, times, percent: int) -> tuple[np.ndarray,
 def _later_pairs(runs: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Members of one run and of near enough size that are in different groups and whose bitmaps
     allow enough overlap: ``a``, ``b``."""
-    members = _near_runs(_rooted(runs, roots)).join(classes.select("node", "bits"), "node").select(
-        "lead", "run", "n", "node", "times", "root", "bits")
-
-    def tile(run_, n, node, times, root, bits) -> pa.RecordBatch:
+    members, _ = counted(_near_runs(_rooted(runs, roots, percent)))
+    # a bitmap comes once per tile and class, on a row without a run
+    known, rows = counted(members.select("lead", "node").distinct())
+    maps_ = classes.select("node", "n", "bits").join(lookup(known, rows), "node").select(
+        "lead", F.lit(None).cast("bigint").alias("run"), "n", "node", F.lit(0).cast("bigint").alias("times"),
+        F.lit(0).cast("bigint").alias("root"), "bits")
+    members = maps_.union(members.select("lead", "run", "n", "node", "times", "root",
+                                         F.lit(None).cast("binary").alias("bits")))
+
+    def tile(has_run, run_, n, node, times, root, bits) -> pa.RecordBatch:
+        # the same class may have its bitmap in several of the leads in one tile
+        _, at = np.unique(node[~has_run], return_index=True)
+        maps = _Bitmaps(bits.filter(pa.array(~has_run)).take(pa.array(at)).to_pylist())
+        run_, n, node, times, root = (x[has_run] for x in (run_, n, node, times, root))
         distinct, at, which = np.unique(node, return_index=True, return_inverse=True)
         x, y, met = _pairs_of_tile(run_, n, root, which, times, percent)
-        maps = _Bitmaps(bits.take(pa.array(at)).to_pylist())
         sizes = n[at]
         near = maps.may_be_similar(x, y, sizes[x], sizes[y], percent)
         x, y, met = x[near], y[near], met[near]
@@ -473,7 +499,10 @@ def _later_pairs(runs: DataFrame, roots: DataFrame, classes: DataFrame, percent:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *columns, bits in _grouped(batches, 4 * _LARGE):
+            has_run = columns[1].is_valid().to_numpy(zero_copy_only=False)
+            columns[1] = pc.fill_null(columns[1], 0)
             lead, *columns = (x.to_numpy() for x in columns)
+            columns = [has_run, *columns]
             bounds = np.append(np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]])), len(lead))
             sizes = np.diff(bounds)
             for low in bounds[:-1][sizes > _LARGE]:
@@ -497,8 +526,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     dealt = pairs.join(split, "a").select(
         "a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("place"))
     heads = dealt.select("a", F.lit(None).cast("bigint").alias("b"), "place", F.col("a").alias("node"))
-    slots = heads.distinct().union(dealt.select("a", "b", "place", F.col("b").alias("node")))
-    slots = cut(slots.join(classes.select("node", "pick"), "node").select(
+    slots, rows_ = counted(heads.distinct().union(dealt.select("a", "b", "place", F.col("b").alias("node"))))
+    slots, rows_ = counted(classes.select("node", "pick").join(lookup(slots, rows_), "node").select(
         "place", "a", "b", F.col("pick.id").alias("own_id"), F.col("pick.text_hash").alias("own_hash")))
     wanted = collect_bitmap(slots, F.xxhash64("own_id", "own_hash"), ID_FILTER_BITS)
     marked = rows.select("id", "text_hash", F.xxhash64("id", "text_hash").alias("mark"), "text")
@@ -508,7 +537,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
             yield batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy())))
 
     texts = marked.mapInArrow(some, marked.schema).select("id", "text_hash", "text")
-    ordered = (texts.join(slots, F.col("id").eqNullSafe(F.col("own_id"))
+    ordered = (texts.join(lookup(slots, rows_), F.col("id").eqNullSafe(F.col("own_id"))
                           & (F.col("text_hash") == F.col("own_hash")))
                .select("place", "a", "b", "text")
                .repartition("place").sortWithinPartitions("place", "a", "b"))
@@ -546,22 +575,25 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     classes = cut(sets.where("n > 0").groupBy("node").agg(
         F.min(F.struct("id", "text_hash")).alias("pick"), F.first("n").alias("n"),
         F.first("bits").alias("bits")))
-    runs = cut(_runs(_shared_keys(sets, percent)))
+    runs, _ = counted(_runs(_shared_keys(sets, percent)))
     near, roots = None, None
     for step, count in enumerate(LEADERS):
         done = sum(LEADERS[:step])
         pairs = _leader_pairs(runs, roots, percent, range(done, done + count))
-        fresh = _verified(cut(_within_bound(pairs, classes, percent)), classes, rows, size, percent)
-        near = cut(fresh if near is None else near.union(fresh))
+        pairs, _ = counted(_within_bound(pairs, classes, percent))
+        fresh = _verified(pairs, classes, rows, size, percent)
+        near, _ = counted(fresh if near is None else near.union(fresh))
         roots = components(near)
-    later = cut(_later_pairs(runs, roots, classes, percent))
+    later, _ = counted(_later_pairs(runs, roots, classes, percent))
     far = _verified(later, classes, rows, size, percent)
     return sets.select("id", "text_hash", "n", "node"), near.union(far)
 
 
 def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps allow enough overlap."""
-    side = classes.select("node", "n", "bits")
+    pairs, rows = counted(pairs)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    side, _ = counted(classes.select("node", "n", "bits").join(lookup(nodes, 2 * rows), "node", "left_semi"))
     both = (pairs.join(side.toDF("a", "n_a", "bits_a"), "a").join(side.toDF("b", "n_b", "bits_b"), "b")
             .select("a", "b", "n_a", "n_b", "bits_a", "bits_b"))
 

@@ -23,8 +23,9 @@ def _starred(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     return out.where("a <> b").coalesce(parts).distinct().coalesce(parts)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (the least node of its component) of every node on an edge (a, b).
+def components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``node`` and ``root`` (the least node of its component) of every node on an edge (a, b), and
+    how many they are at most.
 
     Large and small stars take turns until nothing changes, a number of rounds logarithmic in the
     longest chain.  A node with very many edges is reduced to its minimum before the shuffle, and
@@ -41,4 +42,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct().coalesce(parts)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), 2 * rows

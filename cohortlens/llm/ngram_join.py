@@ -324,30 +324,29 @@ def _fewest(n, percent: int):
                       _meetings(n, n, percent))
 
 
-def _rooted(runs: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+def _rooted(runs: DataFrame, roots: tuple[DataFrame, int] | None, percent: int) -> DataFrame:
     """The runs that hold several groups, with the group of each member.
 
     Classes that meet others there at fewer keys than any similar pair does are left out.
     """
     if roots is None:
         return runs.withColumn("root", F.col("node"))
-    members = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def several(rows):
         mixed = rows.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
             "low <> high").select("run")
-        return rows.join(mixed, "run", "left_semi")
-
-    members, _ = counted(several(members))
+        return counted(rows.join(lookup(*counted(mixed)), "run", "left_semi"))[0]
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, times = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             yield batch.select([0]).filter(pa.array(times >= _fewest(n, percent)))
 
+    members = several(runs.join(lookup(*roots), "node", "left").withColumn(
+        "root", F.coalesce("root", "node")))
     enough = members.groupBy("node").agg(F.first("n").alias("n"), F.sum("times").alias("times")).mapInArrow(
         often, "node bigint")
-    return counted(several(members.join(enough, "node", "left_semi")))[0]
+    return several(members.join(lookup(*counted(enough)), "node", "left_semi"))
 
 
 def _in_tiles(members: DataFrame) -> DataFrame:
@@ -361,7 +360,7 @@ def _oriented(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarra
     return node[np.where(turn, y, x)], node[np.where(turn, x, y)]
 
 
-def _leader_pairs(runs: DataFrame, roots: DataFrame | None, percent: int, leaders: range) -> DataFrame:
+def _leader_pairs(runs: DataFrame, roots: tuple[DataFrame, int] | None, percent: int, leaders: range) -> DataFrame:
     """Each member with some of its run, the same few in all its runs: ``a``, ``b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _grouped(batches):
@@ -428,9 +427,10 @@ class _Bitmaps:
 
 def _near_runs(members: DataFrame) -> DataFrame:
     """Gives runs that share members one ``lead``, so that most pairs lie in one tile only."""
-    least = members.groupBy("node").agg(F.min("lead").alias("near"))
-    runs = members.select("run", "node").join(least, "node").groupBy("run").agg(F.min("near").alias("lead"))
-    return members.drop("lead").join(runs, "run")
+    least = counted(members.groupBy("node").agg(F.min("lead").alias("near")))
+    runs = counted(members.select("run", "node").join(lookup(*least), "node").groupBy("run").agg(
+        F.min("near").alias("lead")))
+    return members.drop("lead").join(lookup(*runs), "run")
 
 
 def _pairs_of_tile(run, n, root, node, times, percent: int) -> tuple[np.ndarray, ...]:
@@ -470,7 +470,7 @@ def _pairs_of_tile(run, n, root, node, times, percent: int) -> tuple[np.ndarray,
     return code // size, code % size, times
 
 
-def _later_pairs(runs: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _later_pairs(runs: DataFrame, roots: tuple[DataFrame, int], classes: DataFrame, percent: int) -> DataFrame:
     """Members of one run and of near enough size that are in different groups and whose bitmaps
     allow enough overlap: ``a``, ``b``."""
     members, _ = counted(_near_runs(_rooted(runs, roots, percent)))
@@ -567,8 +567,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
           percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows (``id``, ``text_hash``, ``n``, ``node``) and links between classes (``a``, ``b``) that
-    connect exactly the classes that similar pairs connect."""
+    """The sets of all rows (``id``, ``text_hash``, ``n``, ``node``) and the ``root`` of every ``node`` that
+    links connect with others."""
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"),
                        docs[text_col].alias("text"))
     sets = cut(_sets(rows, size, percent, _popular(rows, size)))
@@ -585,8 +585,18 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         near, _ = counted(fresh if near is None else near.union(fresh))
         roots = components(near)
     later, _ = counted(_later_pairs(runs, roots, classes, percent))
-    far = _verified(later, classes, rows, size, percent)
-    return sets.select("id", "text_hash", "n", "node"), near.union(far)
+    far, _ = counted(_verified(later, classes, rows, size, percent))
+    # of the links found last only those between groups count
+    side = lookup(*roots)
+    joined = (far.join(side.toDF("a", "root_a"), "a", "left").join(side.toDF("b", "root_b"), "b", "left")
+              .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    tops = components(joined)
+    old = roots[0].select("node", F.col("root").alias("old"))
+    top = tops[0].select(F.col("node").alias("old"), "root")
+    moved = old.join(lookup(top, tops[1]), "old", "left").select(
+        "node", F.coalesce("root", "old").alias("root"))
+    fresh = tops[0].join(lookup(*roots).select("node"), "node", "left_anti")
+    return sets.select("id", "text_hash", "n", "node"), moved.union(fresh)
 
 
 def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -612,8 +622,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
            percent: int = PERCENT) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``node`` (its
     class: rows of equal sets share it), ``text_hash``."""
-    sets, edges = links(docs, id_col, text_col, size, percent)
-    roots = components(edges)
+    sets, roots = links(docs, id_col, text_col, size, percent)
     least = (sets.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
              .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = cut(least)

@@ -39,7 +39,7 @@ PERCENT = 75
 SKETCH_BITS = 17
 NARROWEST, WIDEST = 8, 20  # bitmap widths, as powers of two
 ID_FILTER_BITS = 24
-LEADERS = (2, 16)  # of each round
+LEADERS = (1, 16)  # of each round
 KEY_FILTER_BITS = 26
 _CHUNK = 1 << 19
 _BLOCK = 1 << 20
@@ -290,6 +290,7 @@ def _runs(keys: DataFrame) -> DataFrame:
                 ["lead", "run", "n", "node", "times"])
 
     return (ordered.mapInArrow(run, "lead bigint, run bigint, n bigint, node bigint, times bigint")
+            .repartition("run")  # from here on a run's members lie together
             .groupBy("lead", "run", "n", "node").agg(F.sum("times").alias("times")))
 
 
@@ -523,8 +524,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     texts that no pair needs out of the shuffles.
     """
     split = pairs.groupBy("a").agg(F.ceil(F.count("*") / 2000).alias("parts"))
-    dealt = pairs.join(split, "a").select(
-        "a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("place"))
+    dealt, _ = counted(pairs.join(split, "a").select(
+        "a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("place")))
     heads = dealt.select("a", F.lit(None).cast("bigint").alias("b"), "place", F.col("a").alias("node"))
     slots, rows_ = counted(heads.distinct().union(dealt.select("a", "b", "place", F.col("b").alias("node"))))
     slots, rows_ = counted(classes.select("node", "pick").join(lookup(slots, rows_), "node").select(

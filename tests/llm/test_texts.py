@@ -100,8 +100,8 @@ def test_substring_dedup_matches_brute_force(spark):
 def test_column_rounds_sort_and_measure_common_prefixes():
     rng = np.random.default_rng(1)
     symbols = rng.integers(0, 3, (12, 50)).astype(np.uint8)
-    inside = np.ones_like(symbols, bool)
-    for column, order, common in substring_dedup.column_rounds(symbols, inside):
+    every = np.ones(50, bool)
+    for column, order, common in substring_dedup.column_rounds(12, 50, lambda c: (symbols[c], every)):
         suffixes = [bytes(symbols[column:, k]) for k in order]
         assert suffixes == sorted(suffixes)
         for k in range(1, len(order)):

@@ -37,7 +37,7 @@ from .stages import counted, cut, lookup
 WORDS = 5
 PERCENT = 75
 SKETCH_BITS = 17
-NARROWEST, WIDEST = 8, 20  # bitmap widths, as powers of two
+NARROWEST, WIDEST = 8, 21  # bitmap widths, as powers of two
 ID_FILTER_BITS = 24
 LEADERS = (1, 16)  # of each round
 KEY_FILTER_BITS = 26
@@ -93,8 +93,8 @@ def _meetings(n, m, percent: int):
 
 
 def _bitmap(keys: np.ndarray) -> bytes:
-    """A set's bitmap: 2 to 4 bits per element, as far as the widest goes."""
-    width = min(max(int(2 * len(keys) - 1).bit_length(), NARROWEST), WIDEST)
+    """A set's bitmap: 4 to 8 bits per element, as far as the widest goes."""
+    width = min(max(int(4 * len(keys) - 1).bit_length(), NARROWEST), WIDEST)
     bits = np.zeros(1 << width, bool)
     bits[(keys & np.uint64((1 << width) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()

@@ -13,9 +13,10 @@ result.
 ``log_inclusion`` is the log probability that the segmentation is among the ``k``, given the first value
 that is not (1 where there are no more than ``k`` segmentations).
 
-Spaces begin pieces, so a text falls into units before its runs of spaces and around line breaks and
-tabs, and the lattice of a unit is made once and kept while there is room.  Characters without a
-piece are written as bytes.  Decoding gives back every text exactly.
+A text falls into units before its runs of spaces and around line breaks and tabs, but not between two
+bytes that stand side by side in any piece of the vocabulary, so no piece crosses a unit's end.  The
+lattice of a unit is made once and kept while there is room.  Characters without a piece are written
+as bytes.  Decoding gives back every text exactly.
 
 Results for odd input: a null or empty text has one segmentation, of no pieces, with probability 1;
 texts with fewer segmentations than ``samples`` get fewer rows; repeated rows get equal samples; a null
@@ -78,8 +79,12 @@ class Vocabulary:
         self.byte_score = score[plain].min() - 1.0
         self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])
         self.data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        #: pairs of bytes that stand side by side in some piece
+        self.joined = np.zeros((256, 256), bool)
         nodes, edges, pieces = 1, {}, {}
         for i in plain:
+            own = np.frombuffer(self.bytes_of[i], np.uint8)
+            self.joined[own[:-1], own[1:]] = True
             node = 0
             for byte in self.bytes_of[i]:
                 key = node * 256 + byte
@@ -320,10 +325,13 @@ def sample_slice(texts: T.Texts, keys: np.ndarray, lattices: Lattices, samples:
     inner = np.ones(bounds[-1], bool)
     inner[bounds[:-1][sizes > 0]] = False
     data[inner] = texts.data
-    # units begin at texts, at spaces after other characters, at and after line breaks and tabs
+    # units begin at texts, and at spaces after other characters and at and after line breaks and tabs
+    # where no piece goes on
     space, alone = data == 0x20, (data == 0x0A) | (data == 0x0D) | (data == 0x09)
     begins = alone.copy()
     begins[1:] |= (space[1:] & ~space[:-1]) | alone[:-1]
+    places = np.flatnonzero(begins[1:])
+    begins[1 + places] = ~lattices.vocabulary.joined[data[places], data[places + 1]]
     begins[bounds[:-1][sizes > 0]] = True
     start = np.flatnonzero(begins)
     end = np.append(start[1:], len(data))

@@ -102,6 +102,32 @@ def test_few_segmentations_are_all_found_once():
     assert abs(sum(math.exp(r[3]) for r in rows) - 1) < 1e-9
 
 
+def test_pieces_cross_carriage_returns():
+    vocabulary = sampling.lattices_of(sampling.default_model()).vocabulary
+    ids = {vocabulary.bytes_of[i]: i for i in np.flatnonzero(np.isfinite(vocabulary.score))}
+    text = "a);\r\nb {\r\n\tx"
+    bare = {bytes([b]): vocabulary.byte_id[b] for b in text.encode() if bytes([b]) not in ids}
+    score = {i: vocabulary.byte_score for i in bare.values()} | {
+        i: vocabulary.score[i] for i in ids.values()}
+    ways = all_segmentations(b" " + text.encode(), ids | bare)
+    rows = sampled([text], [5], len(ways) + 1)
+    assert sorted(tuple(r[2].tolist()) for r in rows) == sorted(ways)
+    p = {way: math.exp(sum(score[i] for i in way)) for way in ways}
+    for _, _, pieces, log_p, _, _ in rows:
+        assert math.isclose(math.exp(log_p), p[tuple(pieces.tolist())] / sum(p.values()), rel_tol=1e-9)
+    processor = sentencepiece.SentencePieceProcessor(model_file=sampling.default_model())
+    assert tuple(processor.encode("a);\r\nb {\r\n\tx")) in p
+
+
+def test_units_end_where_no_piece_goes_on():
+    """Every place of a cut lies outside all pieces, and frequent units stay short."""
+    joined = sampling.lattices_of(sampling.default_model()).vocabulary.joined
+    pieces = sampling.lattices_of(sampling.default_model()).vocabulary.bytes_of
+    inside = [p for p in pieces if any(p[k] == 0x0D for k in range(1, len(p)))]
+    assert inside and all(joined[a, b] for p in inside for a, b in zip(p[:-1], p[1:], strict=True))
+    assert not joined[ord("x"), ord(" ")] and not joined[ord("\r"), ord("\n")] and not joined[:, ord("\n")].any()
+
+
 def test_encoding_round_trips_and_is_repeatable(spark):
     pairs = [*tables.odd_pairs(), (70, " two  spaces\tand\r\nlines \n"), (71, "▁ and ﬁ \u0000 \U0001F468‍")]
     docs = tables.docs(spark, pairs)

@@ -7,9 +7,10 @@ puts n-grams last that are found in very many texts: which ones those are is rea
 sketch of fixed size, and since any order is right, its errors cost nothing but time.
 
 The classes at a key are a run, ordered by set size.  Many keys have the same run, which is kept once
-with its number of keys.  First every member of a run is paired with a few leaders, and groups follow
-from the pairs that are similar.  Then members of different groups are paired in size-banded tiles
-of the runs.  Pairs that meet at too few keys are left out.  Pairs inside a group need no comparison,
+with its number of keys.  First every member of a run is paired with a few leaders, which are joined to
+it, and groups follow from the pairs that are similar.  Then members of different groups are paired in
+size-banded tiles of the runs; a tile of very many rows is split, the members of a run's largest group
+over its parts.  Pairs that meet at too few keys are left out.  Pairs inside a group need no comparison,
 so copies are not expanded into all pairs, and no link between different groups is lost.  For each pair hashed bitmaps, as wide as the sets are large, bound the
 overlap from above before the exact comparison of sorted hash arrays.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as T
@@ -44,6 +45,7 @@ KEY_FILTER_BITS = 26
 _CHUNK = 1 << 19
 _BLOCK = 1 << 20
 _LARGE = 1 << 12
+_PART = 1 << 15  # rows of a tile beyond which it is split
 
 
 def _shingles(texts: T.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +190,8 @@ def _held(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator[tupl
         yield joined()
 
 
-def _shared_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """``key``, ``n`` and ``node`` for the keys that several classes have.
+def _shared_keys(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``key``, ``n`` and ``node`` for the keys that several classes have: of the popular ones and of the others.
 
     Keys are counted first, without what belongs to them; a bitmap of fixed size then keeps the
     others out of the shuffle, and classes that have too few keys left to be similar to any.
@@ -211,7 +213,7 @@ def _shared_keys(sets: DataFrame, percent: int) -> DataFrame:
     # the highest bit of a key only says whether it is popular
     wanted = collect_bitmap(several, F.shiftleft("key", 1), KEY_FILTER_BITS)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch], popular: bool) -> Iterator[pa.RecordBatch]:
         def left():
             for batch in batches:
                 lists = batch.column(2)
@@ -220,7 +222,8 @@ def _shared_keys(sets: DataFrame, percent: int) -> DataFrame:
                 counts = np.diff(np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], ends])])
                 enough = counts >= _fewest(batch.column(1).to_numpy(), percent)
                 some &= np.repeat(enough, np.diff(np.concatenate([[0], ends])))
-                offsets = np.concatenate([[0], np.cumsum(np.where(enough, counts, 0))])
+                some &= (lists.flatten().to_numpy() < 0) == popular
+                offsets = np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], ends])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.ListArray.from_arrays(
                         pa.array(offsets, pa.int32()), lists.flatten().filter(pa.array(some)))],
@@ -229,7 +232,9 @@ def _shared_keys(sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array(n), pa.array(node)], ["key", "n", "node"])
 
-    return lists.mapInArrow(keep, "key bigint, n bigint, node bigint")
+    kind = "key bigint, n bigint, node bigint"
+    return (lists.mapInArrow(lambda batches: keep(batches, True), kind),
+            lists.mapInArrow(lambda batches: keep(batches, False), kind))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], at_once: int = _CHUNK) -> Iterator[list[pa.Array]]:
@@ -258,9 +263,18 @@ def _grouped(batches: Iterator[pa.RecordBatch], at_once: int = _CHUNK) -> Iterat
         yield [c.combine_chunks() for c in joined().columns]
 
 
-def _runs(keys: DataFrame) -> DataFrame:
-    """The members of each distinct run of two classes or more: ``lead`` (its first leader), ``run``,
-    ``n``, ``node``, ``times`` (keys that have this run)."""
+def _runs(popular: DataFrame, keys: DataFrame) -> DataFrame:
+    """The members of each distinct run of two classes or more: ``run``, ``n``, ``node``, ``times`` (keys
+    that have this run).
+
+    A key that is not popular has few members, a fixed share of all n-grams at most, and its run is
+    held in memory.  Runs of popular keys are named by partial aggregates and joined to their members.
+    """
+    distinct = cut(popular.groupBy("key", "node").agg(F.min("n").alias("n")))
+    names = distinct.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("run"), F.count("*").alias(
+        "members")).where("members > 1")
+    names = counted(names.groupBy("run").agg(F.min("key").alias("key"), F.count("*").alias("times")))
+    large = distinct.join(lookup(*names), "key").select("run", "n", "node", "times")
     ordered = keys.repartition("key").sortWithinPartitions("key", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,20 +297,13 @@ def _runs(keys: DataFrame) -> DataFrame:
             times[kept] = np.bincount(which)
             times = np.repeat(times, sizes)
             rows = times > 0
-            lead = node[np.lexsort((_rank(node), np.repeat(starts, sizes)))[starts]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(lead, sizes)[rows]), pa.array(np.repeat(name, sizes)[rows].view(np.int64)),
-                 pa.array(n[rows]), pa.array(node[rows]), pa.array(times[rows])],
-                ["lead", "run", "n", "node", "times"])
-
-    return (ordered.mapInArrow(run, "lead bigint, run bigint, n bigint, node bigint, times bigint")
-            .repartition("run")  # from here on a run's members lie together
-            .groupBy("lead", "run", "n", "node").agg(F.sum("times").alias("times")))
+                [pa.array(np.repeat(name, sizes)[rows].view(np.int64)), pa.array(n[rows]),
+                 pa.array(node[rows]), pa.array(times[rows])], ["run", "n", "node", "times"])
 
-
-def _rank(node: np.ndarray) -> np.ndarray:
-    """The common order of leaders."""
-    return T.mix(node.view(np.uint64))
+    return (ordered.mapInArrow(run, "run bigint, n bigint, node bigint, times bigint").union(large)
+            .repartition("node")  # a class has no more runs than keys, a run may have very many classes
+            .groupBy("run", "n", "node").agg(F.sum("times").alias("times")))
 
 
 def _met(a, b, least, times) -> tuple[np.ndarray, pa.RecordBatch]:
@@ -354,43 +361,37 @@ def _in_tiles(members: DataFrame) -> DataFrame:
     return members.repartition("lead").sortWithinPartitions("lead", "run", "n", "node")
 
 
-def _oriented(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each pair with the node first that comes first in the order of leaders."""
-    rank = _rank(node)
-    turn = rank[x] > rank[y]
-    return node[np.where(turn, y, x)], node[np.where(turn, x, y)]
+def _heads(members: DataFrame, leaders: range) -> DataFrame:
+    """The first members of each run in the order of classes: ``run``, ``heads`` (their places, ``node``,
+    ``n``, ``root``).  A task sends as many of a run as there are leaders at most."""
+    first = members.select("run", "node", "n", "root", F.row_number().over(
+        Window.partitionBy("run").orderBy("node")).alias("place")).where(F.col("place") <= leaders.stop)
+    return first.groupBy("run").agg(F.collect_list(F.struct(
+        (F.col("place").cast("bigint") - 1).alias("place"), "node", "n", "root")).alias("heads"))
 
 
 def _leader_pairs(runs: DataFrame, roots: tuple[DataFrame, int] | None, percent: int, leaders: range) -> DataFrame:
     """Each member with some of its run, the same few in all its runs: ``a``, ``b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _grouped(batches):
-            name, n, node, times, root = (x.to_numpy() for x in columns[1:])
-            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-            sizes = np.diff(np.append(starts, len(name)))
-            order = np.lexsort((_rank(node), np.repeat(starts, sizes)))  # runs stay where they are
-            place = np.empty(len(name), np.int64)
-            place[order] = np.arange(len(name)) - np.repeat(starts, sizes)
-            place[place < leaders.start] = len(name)  # these are not leaders now
-            found, member = [], np.arange(len(name))
-            runs_left = np.repeat(np.arange(len(starts)), sizes)
-            for nth in leaders:
-                member = member[sizes[runs_left[member]] > nth]
-                if not len(member):
-                    break
-                every, head = member, order[starts[runs_left[member]] + nth]
-                small, large = np.minimum(n[head], n[member]), np.maximum(n[head], n[member])
-                near = (percent * large <= 100 * small) & (root[head] != root[member])
-                near &= place[member] > nth  # with earlier leaders it has met
-                member, head = member[near], head[near]
-                found.append((*_oriented(node, head, member), _meetings(n[head], n[member], percent),
-                              times[member]))
-                member = every
-            if found:
-                yield _met(*(np.concatenate(x) for x in zip(*found, strict=True)))[1]
-
-    return _often_met(_in_tiles(_near_runs(_rooted(runs, roots, percent)).select(
-        "lead", "run", "n", "node", "times", "root")).mapInArrow(run, _MET))
+        for batch in batches:
+            n, node, times, root = (batch.column(k).to_numpy() for k in range(4))
+            counts = pc.list_value_length(batch.column(4)).to_numpy()
+            place, head, size, group = (x.to_numpy() for x in batch.column(4).flatten().flatten())
+            member = np.repeat(np.arange(len(n)), counts)
+            own = np.full(len(n), np.iinfo(np.int64).max)
+            same = (head == node[member]) & (place >= leaders.start)  # those before are not leaders now
+            own[member[same]] = place[same]
+            small, large = np.minimum(size, n[member]), np.maximum(size, n[member])
+            near = (percent * large <= 100 * small) & (group != root[member]) & (place >= leaders.start)
+            near &= own[member] > place  # with earlier leaders it has met
+            member, head, size = member[near], head[near], size[near]
+            yield _met(np.minimum(head, node[member]), np.maximum(head, node[member]),
+                       _meetings(size, n[member], percent), times[member])[1]
+
+    members = _rooted(runs, roots, percent)
+    heads = counted(_heads(members, leaders))
+    return _often_met(members.join(lookup(*heads), "run").select("n", "node", "times", "root", "heads")
+                      .mapInArrow(run, _MET))
 
 
 class _Bitmaps:
@@ -428,40 +429,75 @@ class _Bitmaps:
 
 def _near_runs(members: DataFrame) -> DataFrame:
     """Gives runs that share members one ``lead``, so that most pairs lie in one tile only."""
-    least = counted(members.groupBy("node").agg(F.min("lead").alias("near")))
+    own = counted(members.groupBy("run").agg(F.min("node").alias("own")))
+    least = counted(members.join(lookup(*own), "run").groupBy("node").agg(F.min("own").alias("near")))
     runs = counted(members.select("run", "node").join(lookup(*least), "node").groupBy("run").agg(
         F.min("near").alias("lead")))
-    return members.drop("lead").join(lookup(*runs), "run")
+    return members.join(lookup(*runs), "run")
 
 
-def _pairs_of_tile(run, n, root, node, times, percent: int) -> tuple[np.ndarray, ...]:
-    """Pairs of near size in different groups of one run: places of both, and how often they met.
+def _dealt(members: DataFrame) -> DataFrame:
+    """Splits tiles of very many rows, and adds ``kind``: 0 for members of the largest group of their run,
+    1 for others, 2 for others that are here for the sake of those of kind 0 and 1.
 
-    ``run`` and ``n`` ascend; ``node`` numbers the classes from 0.
+    Members of a run's largest group need no pairs with each other, so each is in one part of its
+    tile; the others are in all parts, in one of them as themselves.
     """
+    parts = counted(members.groupBy("lead").agg(F.ceil(F.count("*") / _PART).alias("parts")))
+    main = counted(members.groupBy("run", "root").agg(F.count("*").alias("members")).groupBy("run").agg(
+        F.max_by("root", F.struct("members", "root")).alias("main")))
+    is_main, own = F.col("root") == F.col("main"), F.pmod(F.xxhash64("node"), F.col("parts"))
+    rows = members.join(lookup(*parts), "lead").join(lookup(*main), "run").select(
+        "*", own.alias("own"), F.explode(F.when(is_main, F.array(own)).otherwise(
+            F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("part"))
+    split = F.col("parts") > 1
+    return rows.select(
+        *[F.when(split, F.xxhash64(c, "part")).otherwise(F.col(c)).alias(c) for c in ("lead", "run")],
+        "n", "node", "times", "root",
+        F.when(is_main, 0).when(F.col("part") == F.col("own"), 1).otherwise(2).alias("kind"))
+
+
+def _bands(run, n, kind, percent: int) -> list[tuple[np.ndarray, ...]]:
+    """Pairs of near size of which one at least is not in its run's largest group: places of the one, and
+    for each a range (low, high) of the places of the others."""
     bounds = np.append(np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])), len(run))
-    reach = np.empty(len(run), np.int64)  # size band: up to where the others are not too large
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        reach[low:high] = low + np.searchsorted(n[low:high], 100 * n[low:high] // percent, "right")
-    others = reach - np.arange(len(run)) - 1
-    steps = np.concatenate([[0], np.cumsum(others)])
+    main, rest = np.flatnonzero(kind == 0), np.flatnonzero(kind != 0)
+    low, high, reach = (np.zeros(len(rest), np.int64) for _ in range(3))
+    in_main, in_rest = np.searchsorted(main, bounds), np.searchsorted(rest, bounds)
+    for k in np.flatnonzero(np.diff(in_rest)):
+        own = slice(in_rest[k], in_rest[k + 1])
+        sizes, others = n[rest[own]], n[main[in_main[k]:in_main[k + 1]]]
+        low[own] = in_main[k] + np.searchsorted(others, -(-percent * sizes // 100))
+        high[own] = in_main[k] + np.searchsorted(others, 100 * sizes // percent, "right")
+        reach[own] = in_rest[k] + np.searchsorted(sizes, 100 * sizes // percent, "right")
+    after = np.arange(len(rest)) + 1
+    return [(rest, main, low, high), (rest, rest, after, np.where(kind[rest] == 1, reach, after))]
+
+
+def _pairs_of_tile(run, n, root, node, times, kind, percent: int) -> tuple[np.ndarray, ...]:
+    """Pairs of near size in different groups of one run: places of both, and how often they met.
+
+    ``run`` and ``n`` ascend; ``node`` numbers the classes from 0; ``kind`` is that of ``_dealt``.
+    """
     size = int(node.max()) + 1
     found, met = [], np.zeros(size * size) if size * size <= 8 * _BLOCK else None
-    done = 0
-    while done < len(run):
-        till = max(int(np.searchsorted(steps, steps[done] + _BLOCK, "right")) - 1, done + 1)
-        counts = others[done:till]
-        left = np.repeat(np.arange(done, till), counts)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
-        apart = root[left] != root[right]
-        left, right = left[apart], right[apart]
-        x, y = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
-        if met is not None:
-            met += np.bincount(x * size + y, times[left], minlength=size * size)
-        else:
-            code, which = np.unique(x * size + y, return_inverse=True)
-            found.append((code, np.bincount(which, times[left])))
-        done = till
+    for one, other, low, high in _bands(run, n, kind, percent):
+        steps = np.concatenate([[0], np.cumsum(high - low)])
+        done = 0
+        while done < len(one):
+            till = max(int(np.searchsorted(steps, steps[done] + _BLOCK, "right")) - 1, done + 1)
+            counts = high[done:till] - low[done:till]
+            left = np.repeat(one[done:till], counts)
+            right = other[np.arange(len(left)) + np.repeat(low[done:till] - np.cumsum(counts) + counts, counts)]
+            apart = root[left] != root[right]
+            left, right = left[apart], right[apart]
+            x, y = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
+            if met is not None:
+                met += np.bincount(x * size + y, times[left], minlength=size * size)
+            else:
+                code, which = np.unique(x * size + y, return_inverse=True)
+                found.append((code, np.bincount(which, times[left])))
+            done = till
     if met is not None:
         code = np.flatnonzero(met)
         return code // size, code % size, met[code].astype(np.int64)
@@ -475,25 +511,26 @@ def _later_pairs(runs: DataFrame, roots: tuple[DataFrame, int], classes: DataFra
     """Members of one run and of near enough size that are in different groups and whose bitmaps
     allow enough overlap: ``a``, ``b``."""
     members, _ = counted(_near_runs(_rooted(runs, roots, percent)))
+    members, _ = counted(_dealt(members))
     # a bitmap comes once per tile and class, on a row without a run
     known, rows = counted(members.select("lead", "node").distinct())
     maps_ = classes.select("node", "n", "bits").join(lookup(known, rows), "node").select(
         "lead", F.lit(None).cast("bigint").alias("run"), "n", "node", F.lit(0).cast("bigint").alias("times"),
-        F.lit(0).cast("bigint").alias("root"), "bits")
-    members = maps_.union(members.select("lead", "run", "n", "node", "times", "root",
+        F.lit(0).cast("bigint").alias("root"), F.lit(0).alias("kind"), "bits")
+    members = maps_.union(members.select("lead", "run", "n", "node", "times", "root", "kind",
                                          F.lit(None).cast("binary").alias("bits")))
 
-    def tile(has_run, run_, n, node, times, root, bits) -> pa.RecordBatch:
+    def tile(has_run, run_, n, node, times, root, kind, bits) -> pa.RecordBatch:
         # the same class may have its bitmap in several of the leads in one tile
         _, at = np.unique(node[~has_run], return_index=True)
         maps = _Bitmaps(bits.filter(pa.array(~has_run)).take(pa.array(at)).to_pylist())
-        run_, n, node, times, root = (x[has_run] for x in (run_, n, node, times, root))
+        run_, n, node, times, root, kind = (x[has_run] for x in (run_, n, node, times, root, kind))
         distinct, at, which = np.unique(node, return_index=True, return_inverse=True)
-        x, y, met = _pairs_of_tile(run_, n, root, which, times, percent)
+        x, y, met = _pairs_of_tile(run_, n, root, which, times, kind, percent)
         sizes = n[at]
         near = maps.may_be_similar(x, y, sizes[x], sizes[y], percent)
         x, y, met = x[near], y[near], met[near]
-        a, b = _oriented(distinct, x, y)
+        a, b = np.minimum(distinct[x], distinct[y]), np.maximum(distinct[x], distinct[y])
         return pa.RecordBatch.from_arrays(
             [pa.array(a), pa.array(b), pa.array(_meetings(sizes[x], sizes[y], percent)), pa.array(met)],
             ["a", "b", "least", "times"])
@@ -576,7 +613,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     classes = cut(sets.where("n > 0").groupBy("node").agg(
         F.min(F.struct("id", "text_hash")).alias("pick"), F.first("n").alias("n"),
         F.first("bits").alias("bits")))
-    runs, _ = counted(_runs(_shared_keys(sets, percent)))
+    runs, _ = counted(_runs(*_shared_keys(sets, percent)))
     near, roots = None, None
     for step, count in enumerate(LEADERS):
         done = sum(LEADERS[:step])

@@ -2,11 +2,14 @@
 
 import random
 import re
+from collections import Counter
 import string
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from cohortlens.llm import decontamination, ngram_join, substring_dedup
 
 from . import tables
@@ -170,6 +173,48 @@ def test_ngram_join_matches_brute_force(spark, with_popular):
     assert got == sorted(grouped(pairs), key=str)
 
 
+def test_large_tiles_are_split_and_keep_their_pairs(spark, monkeypatch):
+    """Runs of a large group of near copies: each pair of groups once, none of the group with itself."""
+    monkeypatch.setattr(ngram_join, "_PART", 40)
+    rng = random.Random(3)
+    rows = [(run, rng.randrange(80, 120), node, 1 + run, 7 if node < 90 else node) for run in range(3)
+            for node in rng.sample(range(100), 80)]
+    members = spark.createDataFrame(rows, "run bigint, n bigint, node bigint, times bigint, root bigint").withColumn(
+        "lead", F.lit(1).cast("bigint"))
+    dealt = [r.asDict() for r in ngram_join._dealt(members).collect()]
+    met, walked = Counter(), 0
+    for lead in {r["lead"] for r in dealt}:
+        tile = sorted((r for r in dealt if r["lead"] == lead), key=lambda r: (r["run"], r["n"], r["node"]))
+        assert len(tile) < 100  # not the 240 rows of the whole
+        run, n, node, times, root, kind = (
+            np.array([r[c] for r in tile]) for c in ("run", "n", "node", "times", "root", "kind"))
+        walked += sum(int((high - low).sum()) for *_, low, high in ngram_join._bands(run, n, kind, 75))
+        for x, y, t in zip(*ngram_join._pairs_of_tile(run, n, root, node, times, kind, 75), strict=True):
+            met[int(x), int(y)] += int(t)
+    want = Counter()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[2] < b[2] and a[4] != b[4] and 75 * max(a[1], b[1]) <= 100 * min(a[1], b[1]):
+                want[a[2], b[2]] += a[3]
+    assert met == want and walked < 3 * 80 * 15
+
+
+def test_leaders_are_found_by_run_and_joined(spark):
+    """The first members of a run lie in no task with all its other members."""
+    rows = [(run, 100, node, 1, node) for run in range(4) for node in range(300)]
+    runs = spark.createDataFrame(rows, "run bigint, n bigint, node bigint, times bigint, root bigint").drop("root")
+    heads = ngram_join._heads(runs.withColumn("root", F.col("node")), range(1, 17)).collect()
+    assert sorted((h.run, sorted(x.place for x in h.heads)) for h in heads) == [(k, [*range(17)]) for k in range(4)]
+    pairs = ngram_join._leader_pairs(runs, None, 75, range(0, 1))
+    assert sorted((p.a, p.b) for p in pairs.collect()) == []  # met at 4 keys only, which is too few
+    often = runs.withColumn("times", F.lit(100).cast("bigint"))
+    pairs = ngram_join._leader_pairs(often, None, 75, range(0, 1))
+    assert sorted((p.a, p.b) for p in pairs.collect()) == [(0, k) for k in range(1, 300)]
+    pairs = ngram_join._leader_pairs(often, None, 75, range(1, 3))
+    assert sorted((p.a, p.b) for p in pairs.collect()) == sorted(
+        [(0, 1), (0, 2)] + [(a, k) for a in (1, 2) for k in range(a + 1, 300)])
+
+
 def test_ngram_join_keeps_one_of_each_group(spark):
     pairs = tables.odd_pairs()
     docs = tables.docs(spark, pairs)

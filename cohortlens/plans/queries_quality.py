@@ -12,12 +12,13 @@ from ..operators import ranking as R
 from ..operators import responses as RS
 from ..operators import rollup as U
 from ..operators import summaries as S
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from ..streaming import answers as SA
 from ..streaming import scores as SS
 from . import queries_loop as QL
+from . import queries_responses as QR
 from . import roles
 from . import roles_sql as Q
 from .registry import Registry
@@ -432,8 +433,9 @@ def batches_from_files(spark, sf_dir):
 @QUERIES.add("gated_run", "EVL-11 VAL-01", """
 SELECT 0::BIGINT AS errors, count(DISTINCT o_orderkey) AS checked FROM orders WHERE o_totalprice > 0""")
 def gated_run(spark, sf_dir):
-    """The gate over orders whose rule (a positive price) holds: it passes and tells how many."""
-    orders = roles.table(spark, sf_dir, "orders").where("o_totalprice > 0")
-    errors = orders.where("o_totalprice <= 0").select(
-        F.col("o_orderkey").cast("string").alias("patient_id"), F.lit("no price").alias("error"))
-    return A.gate(errors, orders.select("o_orderkey").distinct())
+    """The contract audit over predictions for all orders with a price, and the gate behind it: the job
+    fails if one breaks the contract, else it tells how many were checked."""
+    orders = roles.table(spark, sf_dir, "orders").where("o_totalprice > 0").select(
+        F.col("o_orderkey").alias("k")).distinct()
+    p = written(QR.predictions(spark, sf_dir, breaches=False, orders=orders), "gated")
+    return A.gate(A.contract_errors(p, p), p)

@@ -272,26 +272,37 @@ def embedded_objects(spark, sf_dir):
 
 # --- contracts ----------------------------------------------------------------------------------------
 
-def predictions(spark, sf_dir):
-    """Nested predictions per order, with breaches placed by line number."""
+def predictions(spark, sf_dir, breaches=True, orders=None):
+    """Nested predictions per order, with breaches placed by line number.
+
+    Without ``breaches`` all keep the contract.  ``orders`` (``k``, distinct) names the orders to have a
+    prediction, which has no candidates where an order has no lines.
+    """
     rows = lines(spark, sf_dir)
     n, q, t = F.col("n"), F.col("q"), F.col("trial_id")
+
+    def breach(cond):
+        return cond & F.lit(breaches)
     cand = _text('{"trial_id":"', t, '","trial_title":"T","criteria_to_assess":[{"criterion_id":"',
                  t, '-I-age","criterion_type":"inclusion"}]}')
-    label = F.when((n == 1) & (q % 3 == 0), "perhaps").when(q % 2 == 0, "eligible").otherwise(
+    label = F.when(breach((n == 1) & (q % 3 == 0)), "perhaps").when(q % 2 == 0, "eligible").otherwise(
         "ineligible")
-    crit = _text('{"criterion_id":"', t, F.when(n == 3, "-zzz").otherwise("-I-age"),
-                 '","status":"', F.when(n == 4, "fine").otherwise("satisfied"), '"',
-                 _when(n != 5, ',"reason":"r"'), "}")
+    crit = _text('{"criterion_id":"', t, F.when(breach(n == 3), "-zzz").otherwise("-I-age"),
+                 '","status":"', F.when(breach(n == 4), "fine").otherwise("satisfied"), '"',
+                 _when(~breach(n == 5), ',"reason":"r"'), "}")
     row = _text('{"trial_id":"', t, '","eligibility":"', label, '","explanation":"',
-                _when((n != 2) | (q % 2 == 0), "why"), '","criterion_results":[', crit, "]}")
+                _when(~breach((n == 2) & (q % 2 != 0)), "why"), '","criterion_results":[', crit, "]}")
     good = _text('{"trial_id":"', t, '","eligibility":"eligible","recommendation_reason":"x"}')
     bad = _text('{"trial_id":"', t, '","eligibility":"ineligible","exclusion_reason":"',
-                _when(n != 6, "x"), '"}')
+                _when(~breach(n == 6), "x"), '"}')
     per = rows.groupBy("k", "patient_id").agg(
-        joined(rows, cand).alias("cand"), joined(rows, row, n != 7).alias("final"),
+        joined(rows, cand).alias("cand"), joined(rows, row, ~breach(n == 7)).alias("final"),
         joined(rows, row).alias("initial"), joined(rows, good, q % 2 == 0).alias("good"),
         joined(rows, bad, q % 2 != 0).alias("bad"))
+    if orders is not None:
+        texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("cand", "final", "initial", "good", "bad")]
+        per = orders.join(per, "k", "left").select(
+            "k", F.concat(F.lit("O"), F.col("k")).alias("patient_id"), *texts)
     doc = _text(
         '{"patient_id":"', F.col("patient_id"), '","candidate_trials":[', F.col("cand"),
         '],"final_output":{"initial_assessment":{"evaluated_trials":[', F.col("initial"),
@@ -299,9 +310,9 @@ def predictions(spark, sf_dir):
         ']},"recommended_trials":[', F.col("good"),
         '],"uncertain_but_actionable_trials":[],"excluded_trials":[', F.col("bad"),
         '],"follow_up_questions":[{"question_id":"Q1"}],"simulated_patient_answers":[',
-        '{"question_id":"', F.when(F.col("k") % 6 == 0, "Q2").otherwise("Q1"),
+        '{"question_id":"', F.when(breach(F.col("k") % 6 == 0), "Q2").otherwise("Q1"),
         '","answer":"a"}],"patient_level_summary":"s"',
-        _when(F.col("k") % 5 != 0, ',"medical_disclaimer":"d"'), "}}")
+        _when(~breach(F.col("k") % 5 == 0), ',"medical_disclaimer":"d"'), "}}")
     return per.select(F.from_json(doc, S.PREDICTIONS).alias("r")).select("r.*")
 
 

@@ -105,6 +105,25 @@ def test_batches_follow_their_numbers(spark, tmp_path):
         f"p{n}-{k}" for n in (2, 9, 10) for k in range(4 * (11 - n))]
 
 
+def test_gated_run_fails_on_one_broken_prediction(spark, monkeypatch):
+    from cohortlens.plans import queries_quality, queries_responses
+
+    sf_dir, whole = "/root/testdata/sf0.001", queries_responses.predictions
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 0")
+    out = queries_quality.gated_run(spark, sf_dir).collect()
+    assert [(r.errors, r.checked) for r in out] == [(0, orders.select("o_orderkey").distinct().count())]
+
+    def broken(*args, **options):
+        p = whole(*args, **options)
+        return p.withColumn("final_output", F.when(
+            F.col("patient_id") == "O1", F.col("final_output").withField("medical_disclaimer", F.lit(" "))
+        ).otherwise(F.col("final_output")))
+
+    monkeypatch.setattr(queries_responses, "predictions", broken)
+    with pytest.raises(Exception, match="contract errors: 1"):
+        queries_quality.gated_run(spark, sf_dir).collect()
+
+
 def test_gate_stops_on_errors(spark):
     errors = spark.createDataFrame([("a", "bad")], "patient_id STRING, error STRING")
     assert audit.gate(errors.limit(0), errors).first().asDict() == {"errors": 0, "checked": 1}

@@ -5,9 +5,9 @@ threshold name the lines to drop, and each text is put together again from the p
 Only hashes and positions are shuffled for the counts.  A hash that very many documents share is
 counted before the shuffle, and the join that finds its lines is one that adaptive execution splits.
 
-Results for odd input: a null or empty text is one empty line.  A document is a row: repeated rows
-count as several documents and get equal results, and where several rows hold the largest id, all
-of them keep the line.  A null id ranks below all others.  Texts left without lines become empty,
+Results for odd input: a null or empty text is one empty line.  Rows of one id
+count as one document and get equal results if their texts are equal; where several rows hold the
+largest id, all of them keep the line.  A null id counts as no document and ranks below all others.  Texts left without lines become empty,
 their rows stay.  An empty table gives an empty table.  Only the id and text columns are read;
 ``drop_lines`` returns the input's own columns, whatever their names.
 """
@@ -44,8 +44,8 @@ def _dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     long_enough = F.length("key") >= min_chars
     keys = docs.select("id", F.explode(F.array_distinct(
         F.transform(_lines(F.col("text")), line_key))).alias("key")).where(long_enough)
-    frequent = (keys.select("id", *_hashes(F.col("key"))).groupBy("h1", "h2")
-                .agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
+    frequent = (keys.select("id", *_hashes(F.col("key"))).distinct()
+                .groupBy("h1", "h2").agg(F.count("id").alias("n"), F.max("id").alias("keeper"))
                 .where(F.col("n") >= min_docs).drop("n"))
     places = (docs.select("id", "text_hash", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
               .select("id", "text_hash", "pos", line_key(F.col("line")).alias("key"))

@@ -94,6 +94,16 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup(tables.docs(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    line = "a line that is long enough to be looked at"
+    few = [(1, line), (1, line + "\nx"), (1, line + "\ny"), (1, line + "\nz"), (2, line), (None, line), (None, line)]
+    docs = tables.docs(spark, few)
+    assert {r.n_dropped for r in line_dedup.dedup(docs).collect()} == {0}
+    many = tables.docs(spark, [*few, (3, line), (4, line), (5, line)])
+    got = [(r.row.doc_id, r.n_dropped) for r in line_dedup.dedup(many).collect()]
+    assert all(n == (i != 5) for i, n in got) and len(got) == 10
+
+
 RULES = (url_filters.Rule("block", "net"), url_filters.Rule("allow", "example.net", "/en/"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..plans.registry import Registry
-from . import conversation_trie
+from . import conversation_trie, secret_scan
 from .tables import table
 
 QUERIES = Registry()
@@ -52,3 +54,62 @@ def op11_conversation_trie(spark, sf_dir):
     convs = conversation_trie.conversation_keys(table(spark, sf_dir, "conversations"))
     keys = conversation_trie.distinct_keys(conversation_trie.with_shared_heads(convs))
     return conversation_trie.trie(keys)
+
+
+_LINK = r"""["\']?\x20*[:=]\x20*["\']?"""
+#: kind, pattern with the measured characters as group 1, least length, role, weak
+_PARTS = (
+    ("assign", rf"(?:(?i)password|passwd|secret|token|api_?key){_LINK}([A-Za-z0-9+/_.=-]+)", 6, "secret"),
+    ("access", "(AKIA[A-Z0-9]+)", 20, "id"),
+    ("hex", "([0-9a-f]+)", 24, "secret"),
+    ("user", rf"(?:(?i)username|user|login|account|client_?id|key_?id){_LINK}([A-Za-z0-9+/_.@=-]+)", 3, "id"),
+    ("pass", rf"(?:(?i)pass|pwd|passphrase|credential|private_?key|access_?key){_LINK}([A-Za-z0-9+/_.=-]+)", 6,
+     "secret"),
+    ("mixed", "([A-Za-z0-9+/_-]+)", 24, "secret"),
+    ("endpoint", r"""([A-Za-z][A-Za-z0-9+.-]{0,15}://[^\x00-\x20"'<>\x7F]+)""", 8, "endpoint"),
+)
+
+
+def _matches_sql(nth: int, kind: str, pattern: str, least: int, role: str) -> str:
+    """All matches of a kind: the text is cut at marks set around them (a mark is no ASCII byte)."""
+    pattern = pattern.replace("'", "''")
+    mixed = (" AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')"
+             if kind == "mixed" else "")
+    return f"""
+  SELECT doc_id, {nth} AS nth, '{kind}' AS kind, '{role}' AS role, pos AS a, pos + length(m) AS b FROM (
+    SELECT doc_id, parts[i] AS m, list_sum(list_transform(list_slice(parts, 1, i - 1), lambda x: length(x)))::BIGINT AS pos, i
+    FROM (SELECT doc_id, parts, unnest(range(2, len(parts) + 1, 2)) AS i FROM (
+      SELECT doc_id, string_split(regexp_replace(text, '({pattern})', chr(57344) || '\\1' || chr(57344), 'g'),
+                                  chr(57344)) AS parts FROM d)))
+  WHERE length(regexp_extract(m, '^{pattern}$', 1)) >= {least}{mixed}"""
+
+
+@QUERIES.add("op12_secret_scan", "LLM-12", rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(_matches_sql(n, *part) for n, part in enumerate(_PARTS))}),
+l AS (
+  SELECT doc_id, i, length(line) AS size, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d))),
+s AS (
+  SELECT doc_id, min(pos) AS low, max(pos + size) AS high
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS block FROM l WHERE filled)
+  GROUP BY doc_id, block),
+p AS (SELECT m.*, greatest(a - 300, low) AS low, least(b + 300, high) AS high
+      FROM m JOIN s ON m.doc_id = s.doc_id AND a >= s.low AND a < s.high),
+x AS (
+  SELECT * FROM p WHERE nth < 3 OR EXISTS (
+    SELECT 1 FROM m o WHERE o.doc_id = p.doc_id AND (o.role = 'secret') <> (p.role = 'secret') AND o.a < p.high AND o.b > p.low)),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, nth) FILTER (nth < 3) AS base,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, nth) AS spans
+  FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id""")
+def op12_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")

@@ -26,6 +26,7 @@ key is a key; an empty table gives an empty table.  Only the id and text columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -436,14 +437,10 @@ def _ids(path: _Paths, data: np.ndarray, bounds: np.ndarray, lattices: Lattices)
     return ids.astype(np.int32), np.concatenate([[0], np.cumsum(counts)])[path.bounds]
 
 
-_kept: dict[str, Lattices] = {}
-
-
-def lattices_of(path: str) -> Lattices:
-    """The lattices of a model file, kept per worker."""
-    if path not in _kept:
-        _kept[path] = Lattices(Vocabulary(path))
-    return _kept[path]
+@lru_cache(maxsize=1)
+def vocabulary_of(path: str) -> Vocabulary:
+    """The pieces of a model file, kept per worker; lattices last as long as a task."""
+    return Vocabulary(path)
 
 
 def encode(docs: DataFrame, samples: int = 2, model: str | None = None, id_col: str = "doc_id",
@@ -460,7 +457,7 @@ def encode(docs: DataFrame, samples: int = 2, model: str | None = None, id_col:
     names += ["decoded"] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = lattices_of(path)
+        lattices = Lattices(vocabulary_of(path))
         for batch in batches:
             keys = batch.column(1).to_numpy().view(np.uint64)
             for texts in T.slices(batch.column(2), SLICE_BYTES):
@@ -497,7 +494,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     place = names.index("pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = lattices_of(path).vocabulary
+        vocabulary = vocabulary_of(path)
         for batch in batches:
             texts = [decode_ids(np.frombuffer(p, np.int32), vocabulary).decode() if p is not None
                      else None for p in batch.column(place).to_pylist()]

@@ -57,7 +57,7 @@ def test_token_counts_and_answers(spark, library):
 
 
 def sampled(texts, keys, k):
-    lattices = sampling.lattices_of(sampling.default_model())
+    lattices = sampling.Lattices(sampling.vocabulary_of(sampling.default_model()))
     return [(t + part.first, *row) for part in T.slices(pa.array(texts, pa.string()))
             for t, *row in sampling.sample_slice(
                 part, np.array(keys[part.first:part.first + len(part)], np.uint64), lattices, k)]
@@ -71,7 +71,7 @@ def all_segmentations(data, ids):
 
 
 def test_samples_follow_the_distribution_without_replacement():
-    vocabulary = sampling.lattices_of(sampling.default_model()).vocabulary
+    vocabulary = sampling.vocabulary_of(sampling.default_model())
     ids = {vocabulary.bytes_of[i]: i for i in np.flatnonzero(np.isfinite(vocabulary.score))}
     ways = all_segmentations(b" ren on", ids)
     p = np.exp([sum(vocabulary.score[i] for i in way) for way in ways])
@@ -92,7 +92,7 @@ def test_samples_follow_the_distribution_without_replacement():
 
 
 def test_few_segmentations_are_all_found_once():
-    vocabulary = sampling.lattices_of(sampling.default_model()).vocabulary
+    vocabulary = sampling.vocabulary_of(sampling.default_model())
     ids = {vocabulary.bytes_of[i]: i for i in np.flatnonzero(np.isfinite(vocabulary.score))}
     ways = all_segmentations(b" the", ids)
     rows = sampled(["the"], [5], 50)
@@ -103,7 +103,7 @@ def test_few_segmentations_are_all_found_once():
 
 
 def test_pieces_cross_carriage_returns():
-    vocabulary = sampling.lattices_of(sampling.default_model()).vocabulary
+    vocabulary = sampling.vocabulary_of(sampling.default_model())
     ids = {vocabulary.bytes_of[i]: i for i in np.flatnonzero(np.isfinite(vocabulary.score))}
     text = "a);\r\nb {\r\n\tx"
     bare = {bytes([b]): vocabulary.byte_id[b] for b in text.encode() if bytes([b]) not in ids}
@@ -121,8 +121,8 @@ def test_pieces_cross_carriage_returns():
 
 def test_units_end_where_no_piece_goes_on():
     """Every place of a cut lies outside all pieces, and frequent units stay short."""
-    joined = sampling.lattices_of(sampling.default_model()).vocabulary.joined
-    pieces = sampling.lattices_of(sampling.default_model()).vocabulary.bytes_of
+    joined = sampling.vocabulary_of(sampling.default_model()).joined
+    pieces = sampling.vocabulary_of(sampling.default_model()).bytes_of
     inside = [p for p in pieces if any(p[k] == 0x0D for k in range(1, len(p)))]
     assert inside and all(joined[a, b] for p in inside for a, b in zip(p[:-1], p[1:], strict=True))
     assert not joined[ord("x"), ord(" ")] and not joined[ord("\r"), ord("\n")] and not joined[:, ord("\n")].any()

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 SLICE_BYTES = 1 << 20
 
@@ -30,20 +32,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _RATIO)
-_powers = np.ones(1, np.uint64)
-_inverse_powers = np.ones(1, np.uint64)
+#: longer spans are hashed by themselves: sums modulo 2 ** 64 have equal values for some unequal
+#: strings of about a thousand bytes, whatever the base and the values of the bytes
+LONG_SPAN = 96
+
+
+def _power_table(base: np.uint64, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
+
+
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _power_table(_RATIO, SLICE_BYTES + 1), _power_table(_INVERSE, SLICE_BYTES + 1)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the hash base and of its inverse, kept between calls."""
-    global _powers, _inverse_powers
-    if len(_powers) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("_powers", _RATIO), ("_inverse_powers", _INVERSE)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            globals()[name] = np.multiply.accumulate(factors)
-    return _powers[:n], _inverse_powers[:n]
+    """The first ``n`` powers of the hash base and of its inverse; those of a usual slice are kept."""
+    if n > SLICE_BYTES + 1:
+        return _power_table(_RATIO, n), _power_table(_INVERSE, n)
+    power, inverse = _usual_powers()
+    return power[:n], inverse[:n]
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -100,15 +110,24 @@ def slices(column: pa.Array, budget: int = SLICE_BYTES) -> Iterator[Texts]:
 
 
 class PrefixHash:
-    """64-bit hashes of any byte ranges of a text buffer, after one pass over it."""
+    """64-bit hashes of any byte ranges of a text buffer: short ones after one pass over it, those of
+    more than ``LONG_SPAN`` bytes each by itself."""
 
     def __init__(self, data: np.ndarray):
+        self.data = np.ascontiguousarray(data)
         self.power, self.inverse = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[data] * self.power[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        out = mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        long = np.flatnonzero(end - start > LONG_SPAN)
+        if len(long):
+            data = memoryview(self.data)
+            out[long] = np.fromiter(
+                (xxh3_64_intdigest(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)),
+                np.uint64, len(long))
+        return out
 
 
 def word_spans(texts: Texts, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

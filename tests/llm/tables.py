@@ -17,6 +17,12 @@ def words(rng, n, stem="w"):
     return [f"{stem}{rng.randrange(5000)}" for _ in range(n)]
 
 
+def complementary(length):
+    """Two unequal words whose sums modulo 2 ** 64 agree under any base: Thue-Morse and its inverse."""
+    bits = [bin(n).count("1") % 2 for n in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def odd_pairs():
     rng = random.Random(7)
     base = " ".join(words(rng, 120))
@@ -28,4 +34,6 @@ def odd_pairs():
         (7, "one two"), (8, "One  TWO"), (9, "a\n" * 30), (None, base + " tail"), (None, None),
         (10, " ".join(words(rng, 9)) + " " + passage), (11, passage + "\n" + " ".join(words(rng, 40))),
         (12, " ".join(words(rng, 30_000))), (13, "x" * 60_000), (14, "é日本🙂 " * 40), (15, "12 34 !!"),
+        *[(16 + n, word) for n, word in enumerate(complementary(1024) + complementary(4096))],
+        (20, "\n".join(complementary(8192))), (21, " ".join(complementary(2048) * 3)),
     ]

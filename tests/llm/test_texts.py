@@ -100,6 +100,16 @@ def test_substring_dedup_matches_brute_force(spark):
     assert substring_dedup.dedup(tables.docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_of_texts_with_nul(spark):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(60))
+    pairs = [(1, shared), (2, "xx\0" + shared + "\0"), (3, "\0" * 40 + shared), (4, "\0" * 45), (5, "\0" * 80),
+             (6, shared[:49] + "\0"), (7, "\0" + shared[:50] + "\0\0"), (8, "\1" + shared[5:])]
+    got = substring_dedup.dedup(tables.docs(spark, pairs)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(
+        without_repeats(pairs))
+
+
 def test_column_rounds_sort_and_measure_common_prefixes():
     rng = np.random.default_rng(1)
     symbols = rng.integers(0, 3, (12, 50)).astype(np.uint8)

@@ -49,19 +49,34 @@ def answer_rows(events):
         .alias("patient_id"), text.alias("answer"), F.struct("ts", "event_id").alias("ans_pos"))
 
 
-def pair_criteria(spark, sf_dir, *, compat=False):
-    """Criteria of every pair, prepared once per trial before they meet the pairs."""
-    crit = C.typed(C.derive_criteria(roles.trials(spark, sf_dir)))
-    prepared = NM.prepare_criteria(crit.drop("structured_json"), compat=compat)
-    return roles.pair_columns(spark, sf_dir).join(broadcast_if_small(prepared), "trial_id")
+def trial_criteria(spark, sf_dir, rules=("new",)):
+    """The criteria of every trial as one array, prepared once for each set of field rules."""
+    crit = C.typed(C.derive_criteria(roles.trials(spark, sf_dir))).drop("structured_json")
+    prepared = [NM.prepare_criteria(crit, compat=r == "old").withColumn("rules", F.lit(r))
+                for r in rules]
+    return NM.criteria_of_trials(reduce(lambda a, b: a.unionByName(b), prepared))
 
 
-def judgments(spark, sf_dir, *, compat=False, phases=("initial", "final")):
+def patient_phases(spark, sf_dir, phases=("initial", "final")):
+    """A patient's facts of every phase as one array."""
     f = facts(spark, sf_dir)
-    by_phase = {"initial": lambda: f, "final": lambda: Q.apply_answers(f, answers(spark, sf_dir))}
-    all_facts = reduce(lambda a, b: a.unionByName(b),
-                       [by_phase[p]().withColumn("phase", F.lit(p)) for p in phases])
-    return NM.judge_criteria(all_facts, pair_criteria(spark, sf_dir, compat=compat))
+    if "final" in phases:
+        f = Q.apply_answers(f.withColumn("before", F.struct(*NM.FACTS)), answers(spark, sf_dir))
+    at = {"initial": "before." if "final" in phases else "", "final": ""}
+    return f.select("patient_id", F.array(*[
+        F.struct(F.lit(p).alias("phase"), *NM.prepared_facts(at[p])) for p in phases])
+        .alias("phases"))
+
+
+def judgments(spark, sf_dir, *, rules=("new",), phases=("initial", "final"), by_pair=False):
+    """Verdicts over the ordered pairs: one scan of the pairs for all rules and phases.
+
+    ``by_pair``: what follows groups by pair, so the pairs are dealt by it while they are narrow.
+    """
+    pairs = roles.pair_columns(spark, sf_dir)
+    return NM.judge_trials(pairs.repartition(*PAIR) if by_pair else pairs,
+                           patient_phases(spark, sf_dir, phases),
+                           broadcast_if_small(trial_criteria(spark, sf_dir, rules)))
 
 
 def part():
@@ -155,10 +170,8 @@ def criteria_rows(spark, sf_dir):
 SELECT phase, rules, part, status, count(*) AS n, min(patient_id) AS first_patient,
   max(trial_id) AS last_trial FROM verdicts GROUP BY ALL""")
 def note_judgments(spark, sf_dir):
-    new = judgments(spark, sf_dir).withColumn("rules", F.lit("new"))
-    old = judgments(spark, sf_dir, compat=True).withColumn("rules", F.lit("old"))
     cols = ["phase", "rules", "part", "status"]
-    rows = new.unionByName(old).withColumn("part", part())
+    rows = judgments(spark, sf_dir, rules=("new", "old")).withColumn("part", part())
     return rows.groupBy(*cols).agg(
         F.count(F.lit(1)).alias("n"), F.min("patient_id").alias("first_patient"),
         F.max("trial_id").alias("last_trial"))
@@ -227,7 +240,8 @@ SELECT a.eligibility AS initial, b.eligibility AS final, count(*) AS pairs,
 WHERE a.rules = 'new' AND b.rules = 'new' AND a.phase = 'initial' AND b.phase = 'final'
 GROUP BY ALL""")
 def loop_transitions(spark, sf_dir):
-    rolled = U.roll_up(judgments(spark, sf_dir), keys=(*PAIR, "phase"), na_policy="accept")
+    rolled = U.roll_up(judgments(spark, sf_dir, by_pair=True), keys=(*PAIR, "phase"),
+                       na_policy="accept")
     both = rolled.groupBy(*PAIR).agg(*[
         F.max(F.when(F.col("phase") == p, F.col("eligibility"))).alias(p)
         for p in ("initial", "final")])
@@ -237,13 +251,13 @@ def loop_transitions(spark, sf_dir):
 
 # --- evaluation: the current rules as gold, the historic rules as prediction -----------------
 
-def _final(spark, sf_dir, compat):
-    return judgments(spark, sf_dir, compat=compat, phases=("final",))
-
-
-def _compared(spark, sf_dir):
-    return E.join_labels(_final(spark, sf_dir, False), _final(spark, sf_dir, True),
-                         [*PAIR, "criterion_id", "criterion_type"], "status")
+def _sides(spark, sf_dir, phases=("final",)):
+    """Statuses by the current and the historic rules, in every phase, side by side."""
+    rows = judgments(spark, sf_dir, rules=("new", "old"), phases=phases, by_pair=True)
+    is_ = lambda r, p: (F.col("rules") == r) & (F.col("phase") == p)
+    names = {"gold": "new", "pred": "old"}
+    return E.side_by_side(rows, [*PAIR, "criterion_id", "criterion_type"], "status", {
+        n if len(phases) == 1 else f"{n}_{p}": is_(r, p) for n, r in names.items() for p in phases})
 
 
 _COMPARED = S.with_roles(*S.LOOP, S.ROLLED) + """,
@@ -256,7 +270,7 @@ compared AS (SELECT part, ctype, max(status) FILTER (rules = 'new') AS gold,
 @QUERIES.add("criterion_confusion", "JON-05 EVL-02", _COMPARED + """
 SELECT gold, pred, count(*) AS n FROM compared GROUP BY ALL""")
 def criterion_confusion(spark, sf_dir):
-    return E.confusion(_compared(spark, sf_dir))
+    return E.confusion(_sides(spark, sf_dir))
 
 
 _R4 = S.round_exact
@@ -273,7 +287,7 @@ SELECT label, tp AS true_positive, support, predicted,
   CASE WHEN support + predicted = 0 THEN 0.0::DOUBLE
     ELSE {_R4('2 * tp / (support + predicted)', 4)} END AS f1 FROM c""")
 def label_prf(spark, sf_dir):
-    return E.label_scores(E.confusion(_compared(spark, sf_dir)), C.K.CRITERION_STATUS)
+    return E.label_scores(E.confusion(_sides(spark, sf_dir)), C.K.CRITERION_STATUS)
 
 
 @QUERIES.add("accuracy_by_family", "EVL-04 CRT-05", _COMPARED + f""",
@@ -283,7 +297,7 @@ f AS (SELECT CASE WHEN ctype = 'exclusion' THEN 'exclusion_flag' WHEN part LIKE
     count(*) AS total FROM compared GROUP BY 1)
 SELECT family, correct, total, {_R4('correct / total', 4)} AS accuracy FROM f""")
 def accuracy_by_family(spark, sf_dir):
-    return E.family_accuracy(_compared(spark, sf_dir))
+    return E.family_accuracy(_sides(spark, sf_dir))
 
 
 @QUERIES.add("transition_accuracy", "JON-06 EVL-05", S.with_roles(*S.LOOP) + f""",
@@ -298,10 +312,7 @@ c AS (SELECT part, count(*) FILTER (gi = pi AND gf = pf) AS exact, count(*) AS t
 SELECT *, {_R4('exact / total', 4)} AS accuracy, CASE WHEN changed_total = 0 THEN 0.0::DOUBLE
     ELSE {_R4('changed_exact / changed_total', 4)} END AS changed_accuracy FROM c""")
 def transition_accuracy(spark, sf_dir):
-    new, old = judgments(spark, sf_dir), judgments(spark, sf_dir, compat=True)
-    side = lambda df, p: df.filter(F.col("phase") == p)
-    rows = E.transitions(side(new, "initial"), side(new, "final"), side(old, "initial"),
-                         side(old, "final"), [*PAIR, "criterion_id"])
+    rows = _sides(spark, sf_dir, ("initial", "final"))
     return E.transition_accuracy(rows.withColumn("part", part()), ["part"])
 
 
@@ -320,9 +331,9 @@ SELECT *, {_R4('exact_match / total', 4)} AS accuracy,
   CASE WHEN gold + pred = 0 THEN 0.0::DOUBLE ELSE {_R4('2 * hit / (gold + pred)', 4)} END AS f1
 FROM t""")
 def recommendation_sets(spark, sf_dir):
-    def chosen(compat):
-        rolled = U.roll_up(_final(spark, sf_dir, compat), na_policy="accept")
-        return rolled.filter("eligibility = 'eligible'")
-    everyone = roles.pair_columns(spark, sf_dir).select("patient_id")
-    return E.set_scores(E.set_overlap(chosen(False), chosen(True), ["patient_id"], ["trial_id"],
-                                      everyone))
+    rows = judgments(spark, sf_dir, rules=("new", "old"), phases=("final",), by_pair=True)
+    rolled = U.roll_up(rows, keys=(*PAIR, "rules"), na_policy="accept")
+    sides = E.side_by_side(rolled, PAIR, "eligibility", {
+        n: F.col("rules") == r for n, r in (("gold", "new"), ("pred", "old"))})
+    return E.set_scores(E.flag_overlap(sides, ["patient_id"], F.col("gold") == "eligible",
+                                       F.col("pred") == "eligible"))

@@ -118,7 +118,7 @@ SELECT CASE WHEN f.part IS NULL THEN 'initial' ELSE 'final' END AS source,
 FROM i FULL JOIN f USING (patient_id, trial_id, part) GROUP BY ALL""")
 def overlay_rows(spark, sf_dir):
     first = QL.judgments(spark, sf_dir, phases=("initial",))
-    final = QL.judgments(spark, sf_dir, compat=True, phases=("final",)).filter(
+    final = QL.judgments(spark, sf_dir, rules=("old",), phases=("final",)).filter(
         "criterion_type = 'inclusion'")
     return RS.overlay_criteria(first, final).groupBy("source", "status").agg(
         F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import exprs as X
 from ..functions import notes as N
 from ..operators import criteria as C
@@ -13,7 +14,7 @@ from ..operators import evaluation as E
 from ..operators import note_matching as NM
 from ..operators import questions as Q
 from ..operators import rollup as U
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, spread
 from . import roles
 from . import roles_sql as S
 from .registry import Registry
@@ -51,7 +52,7 @@ def answer_rows(events):
 
 def trial_criteria(spark, sf_dir, rules=("new",)):
     """The criteria of every trial as one array, prepared once for each set of field rules."""
-    crit = C.typed(C.derive_criteria(roles.trials(spark, sf_dir))).drop("structured_json")
+    crit = C.typed(C.derive_criteria(spread(roles.trials(spark, sf_dir)))).drop("structured_json")
     prepared = [NM.prepare_criteria(crit, compat=r == "old").withColumn("rules", F.lit(r))
                 for r in rules]
     return NM.criteria_of_trials(reduce(lambda a, b: a.unionByName(b), prepared))
@@ -172,9 +173,14 @@ SELECT phase, rules, part, status, count(*) AS n, min(patient_id) AS first_patie
 def note_judgments(spark, sf_dir):
     cols = ["phase", "rules", "part", "status"]
     rows = judgments(spark, sf_dir, rules=("new", "old")).withColumn("part", part())
-    return rows.groupBy(*cols).agg(
-        F.count(F.lit(1)).alias("n"), F.min("patient_id").alias("first_patient"),
-        F.max("trial_id").alias("last_trial"))
+    # ids are compared as the numbers they hold: texts would be sorted before they are aggregated
+    number = lambda c: F.substr(F.col(c), F.lit(2)).cast("bigint")
+    text = lambda kind, n: F.concat(F.lit(kind), X.padded(F.col(n), 12))
+    out = rows.groupBy(*cols).agg(
+        F.count(F.lit(1)).alias("n"), F.min(number("patient_id")).alias("first"),
+        F.max(number("trial_id")).alias("last"))
+    return out.select(*cols, "n", text("P", "first").alias("first_patient"),
+                      text("T", "last").alias("last_trial"))
 
 
 @QUERIES.add("answered_facts", "QST-06 STR-02", S.with_roles(*S.LOOP) + """
@@ -256,7 +262,7 @@ def _sides(spark, sf_dir, phases=("final",)):
     rows = judgments(spark, sf_dir, rules=("new", "old"), phases=phases, by_pair=True)
     is_ = lambda r, p: (F.col("rules") == r) & (F.col("phase") == p)
     names = {"gold": "new", "pred": "old"}
-    return E.side_by_side(rows, [*PAIR, "criterion_id", "criterion_type"], "status", {
+    return E.side_by_side(rows, [*PAIR, "criterion_id", "criterion_type"], "status", K.CRITERION_STATUS, {
         n if len(phases) == 1 else f"{n}_{p}": is_(r, p) for n, r in names.items() for p in phases})
 
 
@@ -333,7 +339,7 @@ FROM t""")
 def recommendation_sets(spark, sf_dir):
     rows = judgments(spark, sf_dir, rules=("new", "old"), phases=("final",), by_pair=True)
     rolled = U.roll_up(rows, keys=(*PAIR, "rules"), na_policy="accept")
-    sides = E.side_by_side(rolled, PAIR, "eligibility", {
+    sides = E.side_by_side(rolled, PAIR, "eligibility", K.ELIGIBILITY, {
         n: F.col("rules") == r for n, r in (("gold", "new"), ("pred", "old"))})
     return E.set_scores(E.flag_overlap(sides, ["patient_id"], F.col("gold") == "eligible",
                                        F.col("pred") == "eligible"))

@@ -172,6 +172,6 @@ def pair_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A templated note per patient."""
-    p = patients(spark, sf_dir)
+    """A templated note per patient, shared out for the work on texts that follows."""
+    p = spread(patients(spark, sf_dir))
     return p.withColumn("note", N.render_note("patient_pos"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import exprs as X
+from ..session import written
 
 BLOCK = 1 << 20
 
@@ -34,30 +36,35 @@ def keep_last(df: DataFrame, keys: Sequence[str], pos: Column | str) -> DataFram
 
 
 def full_rank(df: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, bool]], pos: str,
-              rank: str = "rank", block: int = BLOCK) -> DataFrame:
+              rank: str = "rank", ranges: int | None = None) -> DataFrame:
     """Rank *all* rows of each key by ``levels`` (name, ascending) and then ``pos``.
 
-    No key is sorted in one task.  Rows are counted per (key, level values, block of
-    ``pos``); a window over those counts gives each block its offset; inside a block, which
-    holds at most ``block`` distinct positions, a row number finishes the rank.
+    Rows are dealt by sampled ranges of their whole order, (key, levels, pos), so a hot key fills as
+    many tasks as its rows need, whether its scores are few or all distinct.  Each range is sorted
+    by itself and its rows numbered; counts per (key, range), summed over the ranges before,
+    say how many rows of the key lie ahead.  The only window runs over those counts, of which a
+    key has one per range.
+
+    The input is written once, for the sample and the ranges must see the same rows, and the
+    numbered rows once, for counts and rows must see the same ranges.  Select the columns that
+    are needed before.  Rows equal in key, levels and ``pos`` get different ranks in any order.
     """
-    names = [n for n, _ in levels]
-    cell = [*keys, *names, "_blk"]
-    cells = df.withColumn("_blk", F.floor(F.col(pos) / F.lit(block)))
-    order = [F.col(n).asc() if asc else F.col(n).desc() for n, asc in levels]
-    before = W.partitionBy(*keys).orderBy(*order, F.col("_blk")).rowsBetween(
-        W.unboundedPreceding, -1)
-    offsets = (cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-               .drop("_n"))
-    inner = cells.withColumn(
-        "_rn", F.row_number().over(W.partitionBy(*cell).orderBy(F.col(pos))))
-    same = None
-    for c in cell:
-        eq = inner[c].eqNullSafe(offsets[c])
-        same = eq if same is None else same & eq
-    return inner.join(offsets, same).select(
-        *[inner[c] for c in df.columns], (F.col("_off") + F.col("_rn")).alias(rank))
+    order = [*[F.col(k).asc() for k in keys],
+             *[F.col(n).asc() if asc else F.col(n).desc() for n, asc in levels], F.col(pos).asc()]
+    rows = written(df, "ranked")
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), *order)
+    placed = written(dealt.sortWithinPartitions(*order).withColumn(
+        "_at", F.monotonically_increasing_id()), "places")
+    cells = placed.withColumn("_range", F.shiftright("_at", 33))  # the partition's number
+    cell = [*keys, "_range"]
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ahead = (cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+             .withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    ahead = ahead.select("_ahead", "_first", *[F.col(c).alias(f"_k{n}") for n, c in enumerate(cell)])
+    same = reduce(lambda a, b: a & b, [
+        F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(cell)])
+    return cells.join(ahead, same).select(
+        *df.columns, (F.col("_ahead") + F.col("_at") - F.col("_first") + 1).alias(rank))
 
 
 def carry_forward(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str,
@@ -100,24 +107,24 @@ def recommend_top(decided: DataFrame, n: int = 3) -> DataFrame:
     ], n)
 
 
-def rank_report(recs: DataFrame, block: int = BLOCK) -> DataFrame:
+def rank_report(recs: DataFrame, ranges: int | None = None) -> DataFrame:
     """All pairs of a patient ranked by label weight, report score and retrieval score."""
     weighted = recs.withColumn(
         "_w", X.mapped("eligibility", K.ELIGIBILITY_WEIGHT, 0))
     return full_rank(
         weighted, ["patient_id"],
         [("_w", False), ("recommendation_score", False), ("retrieval_score", False)],
-        "retrieval_pos", block=block).drop("_w")
+        "retrieval_pos", ranges=ranges).drop("_w")
 
 
 def bucket_ranks(assessed: DataFrame, *, descending: bool = True,
-                 pos: str = "trial_pos", block: int = BLOCK) -> DataFrame:
+                 pos: str = "trial_pos", ranges: int | None = None) -> DataFrame:
     """Rank inside each eligibility bucket by satisfied count, then trial.
 
     ``descending=False`` ranks the trial with the fewest satisfied criteria first.
     """
     return full_rank(assessed, ["patient_id", "eligibility"], [("satisfied", not descending)],
-                     pos, rank="bucket_rank", block=block)
+                     pos, rank="bucket_rank", ranges=ranges)
 
 
 def numeric_suffix_key(question_id: Column | str, patient_id: Column | str) -> Column:
@@ -127,12 +134,12 @@ def numeric_suffix_key(question_id: Column | str, patient_id: Column | str) -> C
     return F.coalesce(F.when(F.startswith(q, X.col(patient_id)), n), F.lit((1 << 63) - 1))
 
 
-def batches(df: DataFrame, pos: str, size: int, block: int = BLOCK) -> DataFrame:
+def batches(df: DataFrame, pos: str, size: int, ranges: int | None = None) -> DataFrame:
     """Number rows by ``pos`` and cut them into batches of ``size`` (from 1).
 
     The numbering is the blocked rank, so no task sees the whole table.
     """
-    numbered = full_rank(df.withColumn("_all", F.lit(1)), ["_all"], [], pos, "row_no", block)
+    numbered = full_rank(df.withColumn("_all", F.lit(1)), ["_all"], [], pos, "row_no", ranges)
     return numbered.drop("_all").withColumn(
         "batch", (F.floor((F.col("row_no") - 1) / F.lit(max(1, size))) + 1).cast("int"))
 

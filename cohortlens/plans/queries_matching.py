@@ -113,8 +113,10 @@ SELECT patient_id, trial_id, eligibility, recommendation_score, retrieval_score,
     WHEN 'uncertain' THEN 2 ELSE 1 END DESC, recommendation_score DESC, retrieval_score DESC,
     retrieval_pos) AS rank FROM report""")
 def report_ranking(spark, sf_dir):
-    return R.rank_report(report_rows(spark, sf_dir)).select(
-        "patient_id", "trial_id", "eligibility", "recommendation_score", "retrieval_score",
+    cols = ["patient_id", "trial_id", "eligibility", "recommendation_score", "retrieval_score"]
+    rows = report_rows(spark, sf_dir).select(*cols, "retrieval_pos")
+    return R.rank_report(rows).select(
+        *cols,
         F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -125,7 +127,9 @@ buckets AS (SELECT *, row_number() OVER (PARTITION BY patient_id, eligibility
 
 
 def buckets(spark, sf_dir):
-    return R.bucket_ranks(report_rows(spark, sf_dir), pos="retrieval_pos")
+    rows = report_rows(spark, sf_dir).select(
+        "patient_id", "trial_id", "eligibility", "satisfied", "retrieval_pos")
+    return R.bucket_ranks(rows, pos="retrieval_pos")
 
 
 @QUERIES.add("bucket_partition", "RNK-03 RNK-04", _BUCKETS + """

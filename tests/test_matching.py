@@ -94,7 +94,7 @@ def test_three_roll_up_policies(spark):
 def test_report_rows(spark):
     decided = _decided(spark).withColumn("retrieval_score", F.lit(1.0)).withColumn(
         "retrieval_pos", F.col("trial_pos"))
-    rows = R.rank_report(U.report_recommendations(decided, X.trials(spark)), block=2)
+    rows = R.rank_report(U.report_recommendations(decided, X.trials(spark)), ranges=2)
     one = rows.filter("patient_id = 'SYN-001'").orderBy("rank").collect()
     assert [r["rank"] for r in one] == [1, 2, 3, 4, 5]
     best = one[0]
@@ -109,7 +109,7 @@ def test_report_rows(spark):
 def test_full_rank_survives_blocks_and_ties(spark):
     rows = [(k, i % 3, i) for k in ("a", "b") for i in range(50)]
     df = spark.createDataFrame(rows, "k STRING, lv INT, pos INT")
-    got = R.full_rank(df, ["k"], [("lv", False)], "pos", block=7).collect()
+    got = R.full_rank(df, ["k"], [("lv", False)], "pos", ranges=7).collect()
     for k in ("a", "b"):
         mine = sorted((r for r in got if r.k == k), key=lambda r: r["rank"])
         assert [r["rank"] for r in mine] == list(range(1, 51))
@@ -117,6 +117,23 @@ def test_full_rank_survives_blocks_and_ties(spark):
             ((lv, p) for kk, lv, p in rows if kk == k), key=lambda x: (-x[0], x[1]))
 
 
+def test_full_rank_of_a_hot_key_with_distinct_scores(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 50 == 0, F.lit(None).cast("string")).otherwise("hot").alias("k"),
+        ((F.col("id") * 7919) % n).alias("score"), F.col("id").alias("pos"))
+    ranked = R.full_rank(rows, ["k"], [("score", False)], "pos", ranges=16)
+    hot = ranked.filter("k = 'hot'")
+    # ranks are 1 to the number of rows, and fall with the score
+    assert hot.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank"), F.count("*")).first() == (
+        1, n * 49 // 50, n * 49 // 50, n * 49 // 50)
+    assert hot.filter("rank <= 3").orderBy("rank").select("score").collect() == [
+        (s,) for s in sorted((i * 7919 % n for i in range(n) if i % 50), reverse=True)[:3]]
+    assert hot.agg(F.corr("rank", "score")).first()[0] < -0.999
+    assert ranked.filter("k IS NULL").agg(F.max("rank"), F.count("*")).first() == (n // 50, n // 50)
+    assert R.full_rank(rows.limit(0), ["k"], [("score", False)], "pos").count() == 0
+
+
 def test_carry_forward_in_blocks(spark):
     values = [None, "a", None, None, "b", None, None, None, None, "c", None]
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)],
@@ -140,7 +157,7 @@ def test_lower_percentile_is_the_lower_index(spark):
 
 def test_batches_number_rows_in_order(spark):
     df = spark.range(0, 23).select((F.col("id") * 3).alias("pos"))
-    rows = R.batches(df, "pos", 5, block=10).orderBy("pos").collect()
+    rows = R.batches(df, "pos", 5, ranges=3).orderBy("pos").collect()
     assert [r.row_no for r in rows] == list(range(1, 24))
     assert [r.batch for r in rows] == [(i // 5) + 1 for i in range(23)]
 

@@ -12,7 +12,7 @@ from .. import constants as K
 from ..functions import exprs as X
 from ..functions import protocol as P
 from ..session import written
-from .ranking import keep_first
+from .ranking import keep_first, top_n
 
 
 def normalize_studies(studies: DataFrame, *, merge_biomarkers: bool = False,
@@ -83,34 +83,38 @@ def select_studies(pages: DataFrame, conditions: Sequence[str], limit: int,
                    statuses: Sequence[str] = K.RECRUITING) -> DataFrame:
     """Studies accepted from landed pages, by quota per condition and an overall limit.
 
-    ``pages``: condition, page_no, studies.  A condition accepts, in page order, studies not
-    accepted before, up to ``ceil(limit / conditions)``.  The fold over the (short) condition
-    list is inherent: a study one condition has no room for may be taken by a later one.
+    ``pages``: condition, page_no, studies; ``conditions`` are distinct.  A condition accepts, in page order, studies that no condition
+    before it has accepted, up to ``ceil(limit / conditions)``.
+
+    All conditions choose at once, in rounds: each asks for the first of its studies, as many as its quota;
+    a study goes to the first condition that asks, and is struck from the lists of all later ones.
+    What a study has been asked by can only get better, so a round settles at least one more
+    condition, and the last round, in which nothing is struck, gives what one after the
+    other would give.  Only ids and places go round; the studies are fetched at the end.
     """
-    rows = pages.select("condition", "page_no", F.posexplode("studies").alias("pos", "study"))
+    number = F.nullif(F.array_position(X.words(conditions), F.col("condition")), F.lit(0)) - 1
+    rows = pages.select(number.cast("int").alias("condition_no"), "page_no", F.posexplode("studies").alias("pos", "study"))
     ident = "study.protocolSection."
     rows = rows.withColumn("trial_id", F.nullif(
         F.col(ident + "identificationModule.nctId"), F.lit(""))).withColumn(
         "_status", F.nullif(F.col(ident + "statusModule.overallStatus"), F.lit("")))
-    usable = rows.filter(F.col("trial_id").isNotNull() & (
+    usable = rows.filter(F.col("condition_no").isNotNull() & F.col("trial_id").isNotNull() & (
         F.col("_status").isNull() | F.upper("_status").isin(list(statuses))))
-    order = F.struct("page_no", "pos")
-    usable = written(keep_first(usable, ["condition", "trial_id"], order).drop("_status"),
-                     "usable-studies")
+    usable = written(keep_first(usable, ["condition_no", "trial_id"], F.struct("page_no", "pos"))
+                     .drop("_status"), "usable-studies")
+    lists = usable.select("condition_no", "trial_id", "page_no", "pos")
     quota = max(1, math.ceil(limit / max(1, len(conditions))))
-    taken, room = None, limit
-    for i, name in enumerate(conditions):
-        if room <= 0:
+    place = [F.col("page_no"), F.col("pos")]
+    while True:
+        asked = top_n(lists, ["condition_no"], place, quota, "_asked")
+        first = asked.groupBy("trial_id").agg(F.min("condition_no").alias("_first"))
+        judged = written(lists.join(first, "trial_id", "left").withColumn(
+            "_struck", F.coalesce(F.col("condition_no") > F.col("_first"), F.lit(False))), "asked-studies")
+        lists = judged.filter(~F.col("_struck")).drop("_first", "_struck")
+        if judged.filter("_struck").isEmpty():
             break
-        mine = usable.filter(F.col("condition") == name)
-        if taken is not None:
-            mine = mine.join(taken.select("trial_id"), "trial_id", "left_anti")
-        mine = mine.orderBy("page_no", "pos").limit(min(quota, room)).select(
-            "trial_id", F.lit(i).alias("condition_no"), "page_no", "pos", "study")
-        mine = written(mine, "taken-studies")
-        room -= mine.count()
-        taken = mine if taken is None else taken.unionByName(mine)
-    if taken is None:
-        return usable.limit(0).select("trial_id", F.lit(0).alias("condition_no"), "page_no",
-                                      "pos", "study")
-    return taken
+    taken = top_n(lists, ["condition_no"], place, quota, "_asked").drop("_asked")
+    # at most a quota a condition is left, so the overall limit orders a bounded table
+    taken = taken.orderBy("condition_no", *place).limit(max(limit, 0))
+    return taken.join(usable, ["condition_no", "trial_id", "page_no", "pos"]).select(
+        "trial_id", "condition_no", "page_no", "pos", "study")

@@ -20,6 +20,8 @@ SCALE = 10 ** 9
 CHAMPIONS = 64
 # pruning pays once the plain join would emit this many times the index itself
 PLAIN_FACTOR = 8
+# and never below this many rows, which take less time than finding out what to prune
+PLAIN_ROWS = 1 << 26
 
 
 def tokenize(c: Column | str, stop_words=K.STOP_WORDS) -> Column:
@@ -150,8 +152,8 @@ def retrieve(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int,
     """Exact top ``k`` trials per query; ties by input order.
 
     The plain way joins every posting of every query token and adds up.  What it emits is
-    known beforehand from the token counts; while that stays within a few times the index it
-    is the cheaper way.  With many queries a token found in a third of the trials would be
+    known beforehand from the token counts; while that is some tens of millions of rows, or within
+    a few times the index, it is the cheaper way.  With many queries a token found in a third of the trials would be
     emitted for each of them, and only strong postings are joined instead:
 
     1. each token's ``champions`` highest counts, added up per query and trial, give partial
@@ -166,7 +168,7 @@ def retrieve(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int,
     terms = written(query_terms(queries, stats), "query-terms")
     if prune is None:
         emitted = terms.agg(F.sum("n_trials")).first()[0] or 0
-        prune = emitted > PLAIN_FACTOR * postings.count()
+        prune = emitted > max(PLAIN_ROWS, PLAIN_FACTOR * postings.count())
     if not prune:
         return _best(_score(broadcast_if_small(terms).join(postings, "token")), k)
     strongest = top_n(postings, ["token"], [F.col("tf").desc(), F.col("trial_pos")], champions,

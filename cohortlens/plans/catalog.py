@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import queries_loop, queries_matching, queries_quality, queries_responses, queries_text
+from . import (
+    queries_loop,
+    queries_matching,
+    queries_path,
+    queries_quality,
+    queries_responses,
+    queries_text,
+)
 
 QUERIES = {}
 for module in (queries_matching, queries_loop, queries_text, queries_responses,
-               queries_quality):
+               queries_quality, queries_path):
     QUERIES.update(module.QUERIES)

@@ -205,9 +205,10 @@ _FIELD = """CASE WHEN ctype = 'exclusion' THEN replace(substr(part, 3), '-', '_'
 _ASKED = S.with_roles(*S.LOOP) + f""",
 unknowns AS (SELECT patient_id, trial_id, part, {_FIELD} AS field FROM verdicts
   WHERE phase = 'initial' AND rules = 'new' AND status = 'unknown'),
-asked AS (SELECT patient_id, field, patient_id || '-Q' || lpad(row_number() OVER (
-    PARTITION BY patient_id ORDER BY field)::VARCHAR, 2, '0') AS question_id
-  FROM (SELECT DISTINCT patient_id, field FROM unknowns))
+asked AS (SELECT patient_id, field, patient_id || '-Q' || lpad(no, greatest(2, length(no))::INT, '0')
+    AS question_id
+  FROM (SELECT patient_id, field, (row_number() OVER (PARTITION BY patient_id ORDER BY field))::VARCHAR
+    AS no FROM (SELECT DISTINCT patient_id, field FROM unknowns)))
 """
 
 

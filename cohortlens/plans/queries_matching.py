@@ -201,7 +201,7 @@ found AS (SELECT * FROM (SELECT patient_id, trial_id, row_number() OVER (PARTITI
 """
 
 
-@QUERIES.add("recall_at_k", "EVL-08 RET-08", _JUDGED + _FOUND + f""",
+@QUERIES.add("recall_at_k", "EVL-08", _JUDGED + _FOUND + f""",
 targets AS (SELECT patient_id, min(trial_id) AS trial_id FROM pairs GROUP BY patient_id),
 expected AS (SELECT patient_id, trial_id, 'recommend' AS kind FROM judged
     WHERE decision = 'recommend'

@@ -420,22 +420,52 @@ def answers_from_files(spark, sf_dir):
         "patient_id", F.col("question_id").cast("bigint").alias("question_id"), "answer")
 
 
-@QUERIES.add("batches_from_files", "SRC-06 SNK-04 RNK-07", """
-SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 50 + 1)::INT AS batch, lang FROM documents""")
+@QUERIES.add("batches_from_files", "SRC-06 SNK-04 RNK-07 RNK-09", """
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 10 ELSE (doc_id % 8 + 2)::INT END AS batch_no,
+  CASE WHEN doc_id % 5 = 0 THEN 'corrected' ELSE lang END AS lang,
+  ((row_number() OVER (ORDER BY doc_id) - 1) // 50 + 1)::INT AS batch FROM documents""")
 def batches_from_files(spark, sf_dir):
-    """Documents written in numbered batches of 50 and read back."""
+    """Numbered batches, written in a folder each and read by number; a corrected row of the last one
+    replaces the row of an earlier one.  What is kept is cut into batches of 50, written and read."""
+    docs = roles.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    first = docs.withColumn("batch", F.col("doc_id") % 8 + 2)
+    again = docs.where("doc_id % 5 = 0").select(
+        "doc_id", F.lit("corrected").alias("lang"), F.lit(10).cast("bigint").alias("batch"))
+    folder = scratch_path(spark, "numbered")
+    first.unionByName(again).write.partitionBy("batch").json(folder)
+    numbered = RD.read_batches(spark, f"{folder}/batch=*", "doc_id BIGINT, lang STRING")
+    last = R.keep_last(numbered, ["doc_id"], F.struct("batch_no", "line_pos"))
     path = scratch_path(spark, "batches")
-    SK.write_batches(roles.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50, path)
-    return spark.read.schema("batch INT, doc_id BIGINT, lang STRING").json(path).select(
-        "doc_id", "batch", "lang")
+    SK.write_batches(last.select("doc_id", "batch_no", "lang"), "doc_id", 50, path)
+    return spark.read.schema("batch INT, batch_no INT, doc_id BIGINT, lang STRING").json(path)
 
 
-@QUERIES.add("gated_run", "EVL-11 VAL-01", """
-SELECT 0::BIGINT AS errors, count(DISTINCT o_orderkey) AS checked FROM orders WHERE o_totalprice > 0""")
+def expected_candidates(spark, sf_dir):
+    """What every order's prediction must cover: its lines, each with the criterion to be assessed.
+
+    An order has few lines, so its candidates fit in its row.
+    """
+    own = QR.lines(spark, sf_dir).groupBy("k").agg(F.collect_set("trial_id").alias("trials"))
+    orders = roles.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).distinct()
+    return orders.join(own, "k", "left").select(
+        F.concat(F.lit("O"), F.col("k")).alias("patient_id"),
+        F.transform(F.coalesce("trials", X.no_strings()), lambda t: F.struct(
+            t.alias("trial_id"), F.array(F.struct(F.concat(t, F.lit("-I-age")).alias("criterion_id")))
+            .alias("criteria_to_assess"))).alias("candidate_trials"))
+
+
+@QUERIES.add("gated_run", "EVL-11 VAL-01 EVL-07", """
+SELECT 0::BIGINT AS errors, count(DISTINCT o_orderkey) AS checked FROM orders""")
 def gated_run(spark, sf_dir):
-    """The contract audit over predictions for all orders with a price, and the gate behind it: the job
-    fails if one breaks the contract, else it tells how many were checked."""
-    orders = roles.table(spark, sf_dir, "orders").where("o_totalprice > 0").select(
-        F.col("o_orderkey").alias("k")).distinct()
+    """The contract audit over the predictions of all orders, and the gate behind it.
+
+    What is expected comes from orders and their lines, not from the predictions: a missing or surplus
+    order, line or criterion is an error like any other breach.  The job fails if there is one,
+    else it tells how many predictions were checked.
+    """
+    orders = roles.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).distinct()
     p = written(QR.predictions(spark, sf_dir, breaches=False, orders=orders), "gated")
-    return A.gate(A.contract_errors(p, p), p)
+    gold = expected_candidates(spark, sf_dir)
+    absent = E.missing_and_extra(gold, p, ["patient_id"]).select(
+        "patient_id", F.concat("patient_id", F.lit(": prediction is "), "side").alias("error"))
+    return A.gate(A.contract_errors(p, gold).unionByName(absent), p)

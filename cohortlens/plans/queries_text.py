@@ -191,26 +191,8 @@ def protocol_etl(spark, sf_dir):
         (status.isNull() | F.upper(status).isin(G.K.RECRUITING)).alias("recruiting"))
 
 
-@QUERIES.add("trial_sections", "RET-01", Q.with_roles() + """
-SELECT trial_id, 'inclusion' AS section, md5('Age: minimum ' || coalesce(min_age::VARCHAR, 'none')
-  || ', maximum ' || coalesce(max_age::VARCHAR, 'none') || '. Sex: ' || sex
-  || '. Allowed stages: ' || CASE WHEN len(allowed_stages) > 0
-    THEN array_to_string(allowed_stages, ', ') ELSE 'not stage-restricted' END
-  || '. Maximum ECOG: ' || coalesce(max_ecog::VARCHAR, 'not specified')
-  || '. Required prior treatments: ' || CASE WHEN len(priors) > 0
-    THEN array_to_string(priors, ', ') ELSE 'none' END || '.') AS text_md5 FROM trials
-UNION ALL SELECT trial_id, 'biomarkers', md5(CASE WHEN len(markers) > 0 THEN
-  'Required biomarkers: ' || array_to_string(list_transform(markers, lambda m: m[1] || ' must be '
-    || m[2]), '; ') || '.' ELSE 'No required biomarker is specified.' END) FROM trials
-UNION ALL SELECT trial_id, 'exclusions', md5(CASE WHEN len(excluded_flags) > 0 THEN
-  'Exclude patients with ' || replace(array_to_string(excluded_flags, '; '), '_', ' ') || '.'
-  ELSE 'No explicit exclusion flags are listed.' END) FROM trials
-UNION ALL SELECT trial_id, 'overview', md5(trial_id || ': ' || title || '. Phase: PHASE'
-  || (trial_pos % 3 + 1) || '. Status: ' || status || '. Conditions: '
-  || array_to_string(conditions, ', ') || '. Interventions: ' || p_brand || '. A study of '
-  || p_name) FROM trials JOIN part ON p_partkey = trial_pos
-UNION ALL SELECT trial_id, 'raw_criteria', md5('Inclusion criteria:  Exclusion criteria:  '
-  || 'Raw eligibility criteria:') FROM trials""")
+@QUERIES.add("trial_sections", "RET-01", Q.with_roles(Q.SECTIONS) + """
+SELECT trial_id, section, md5(text) AS text_md5 FROM sections""")
 def trial_sections(spark, sf_dir):
     s = T.trial_sections(roles.trials(spark, sf_dir))
     return s.select("trial_id", "section", F.md5("text").alias("text_md5"))
@@ -230,22 +212,15 @@ def benchmark_queries(spark, sf_dir):
         F.col("item_id").alias("query_id"), "text")
 
 
-def _tokens(c: str) -> str:
-    words = ", ".join(f"'{w}'" for w in T.K.STOP_WORDS)
-    return (f"list_filter(string_split_regex(replace(replace(replace(lower({c}), 'non-small', "
-            "'nonsmall'), 'pd-l1', 'pdl1'), 'msi-h', 'msih'), '[^a-z0-9]+'), "
-            f"lambda w: length(w) > 1 AND NOT list_contains([{words}], w))")
-
-
 _RETRIEVED = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_pos FROM documents),
-terms AS (SELECT doc_id, chunk_pos, unnest({_tokens('line')}) AS token FROM lines),
+terms AS (SELECT doc_id, chunk_pos, unnest({Q.tokens('line')}) AS token FROM lines),
 tf AS (SELECT doc_id, chunk_pos, token, count(*) AS tf FROM terms GROUP BY ALL),
 idf AS (SELECT token, round(ln(1 + ((SELECT count(*) FROM lines) + 1) / (count(*) + 1)) * 1e9)
     ::BIGINT AS idf FROM tf GROUP BY token),
 q AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id,
-    unnest({_tokens('text')}) AS token FROM benchmark) GROUP BY ALL),
+    unnest({Q.tokens('text')}) AS token FROM benchmark) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, chunk_pos, sum(qtf * idf * tf)::BIGINT AS s
   FROM q JOIN idf USING (token) JOIN tf USING (token) GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rk FROM (

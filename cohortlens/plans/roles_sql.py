@@ -1,5 +1,7 @@
 """The roles of :mod:`.roles` as SQL text, for checking results against another engine."""
 
+from ..constants import STOP_WORDS
+
 PATIENTS = """patients AS (
   SELECT c_custkey AS patient_pos, 'P' || lpad(c_custkey::VARCHAR, greatest(12, length(c_custkey::VARCHAR))::INT, '0') AS patient_id,
     CASE WHEN c_custkey % 17 <> 0 THEN (c_custkey % 95)::INT END AS age,
@@ -427,3 +429,52 @@ ROLLED = """rolled AS (
     CASE WHEN bool_or(status = 'violated') THEN 'ineligible'
       WHEN bool_or(status = 'unknown') THEN 'uncertain' ELSE 'eligible' END AS eligibility
   FROM verdicts GROUP BY ALL)"""
+
+# --- the sections of a trial, and the trials that a note finds ------------------------------------
+
+SECTIONS = """sections AS (
+  SELECT trial_id, trial_pos, title, 0 AS chunk_pos, 'overview' AS section, trial_id || ': ' || title
+    || '. Phase: PHASE' || (trial_pos % 3 + 1) || '. Status: ' || status || '. Conditions: '
+    || array_to_string(conditions, ', ') || '. Interventions: ' || p_brand || '. A study of '
+    || p_name AS text FROM trials JOIN part ON p_partkey = trial_pos
+  UNION ALL SELECT trial_id, trial_pos, title, 1, 'inclusion', 'Age: minimum '
+    || coalesce(min_age::VARCHAR, 'none') || ', maximum ' || coalesce(max_age::VARCHAR, 'none')
+    || '. Sex: ' || sex || '. Allowed stages: ' || CASE WHEN len(allowed_stages) > 0
+      THEN array_to_string(allowed_stages, ', ') ELSE 'not stage-restricted' END
+    || '. Maximum ECOG: ' || coalesce(max_ecog::VARCHAR, 'not specified')
+    || '. Required prior treatments: ' || CASE WHEN len(priors) > 0
+      THEN array_to_string(priors, ', ') ELSE 'none' END || '.' FROM trials
+  UNION ALL SELECT trial_id, trial_pos, title, 2, 'biomarkers', CASE WHEN len(markers) > 0 THEN
+    'Required biomarkers: ' || array_to_string(list_transform(markers, lambda m: m[1] || ' must be '
+      || m[2]), '; ') || '.' ELSE 'No required biomarker is specified.' END FROM trials
+  UNION ALL SELECT trial_id, trial_pos, title, 3, 'exclusions', CASE WHEN len(excluded_flags) > 0
+    THEN 'Exclude patients with ' || replace(array_to_string(excluded_flags, '; '), '_', ' ') || '.'
+    ELSE 'No explicit exclusion flags are listed.' END FROM trials
+  UNION ALL SELECT trial_id, trial_pos, title, 4, 'raw_criteria', 'Inclusion criteria:  Exclusion '
+    || 'criteria:  Raw eligibility criteria:' FROM trials)"""
+
+
+def tokens(c: str) -> str:
+    words = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return (f"list_filter(string_split_regex(replace(replace(replace(lower({c}), 'non-small', "
+            "'nonsmall'), 'pd-l1', 'pdl1'), 'msi-h', 'msih'), '[^a-z0-9]+'), "
+            f"lambda w: length(w) > 1 AND NOT list_contains([{words}], w))")
+
+
+def found(k: int, open_only: bool) -> str:
+    """The ``k`` best trials of every note: ``query_id, trial_id, trial_pos, rk, score``."""
+    kept = " WHERE status = 'RECRUITING'" if open_only else ""
+    return f"""searched AS (SELECT s.* FROM sections s JOIN trials USING (trial_id){kept}),
+terms AS (SELECT trial_id, trial_pos, chunk_pos, unnest({tokens("concat_ws(' ', title, section, text)")})
+    AS token FROM searched),
+tf AS (SELECT trial_id, trial_pos, chunk_pos, token, count(*) AS tf FROM terms GROUP BY ALL),
+idf AS (SELECT token, round(ln(1 + ((SELECT count(*) FROM searched) + 1) / (count(*) + 1)) * 1e9)
+    ::BIGINT AS idf FROM tf GROUP BY token),
+q AS (SELECT patient_id AS query_id, token, count(*) AS qtf FROM (SELECT patient_id,
+    unnest({tokens('note')}) AS token FROM notes) GROUP BY ALL),
+whole AS (SELECT trial_id, trial_pos, token, sum(tf)::BIGINT AS tf FROM tf GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, trial_pos) AS rk FROM (
+    SELECT query_id, trial_id, trial_pos, sum(qtf * idf * tf)::BIGINT AS s
+    FROM q JOIN idf USING (token) JOIN whole USING (token) GROUP BY ALL)),
+found AS (SELECT query_id, trial_id, trial_pos, rk, {round_exact('s / 1e9::DOUBLE', 3)} AS score
+  FROM top WHERE rk <= {k})"""

@@ -116,9 +116,12 @@ def read_study_pages(spark: SparkSession, path: str, conditions: list[str], limi
 
 
 def read_batches(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Numbered batch files (``…_batch_<n>.jsonl``) with their number and line order."""
+    """Numbered batch files (``…_batch_<n>.jsonl``) or folders (``batch=<n>``) with their number and
+    line order."""
     df = spark.read.schema(schema).json(pattern)
-    n = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.jsonl?$", 1).cast("int")
+    name = lambda i: F.nullif(F.regexp_extract(
+        F.col("_metadata.file_path"), r"(?:batch=(\d+)/[^/]+|(\d+)\.jsonl?)$", i), F.lit(""))
+    n = F.coalesce(name(1), name(2)).cast("int")
     return with_file_order(df.withColumn("batch_no", n), "line_pos", "batch_no")
 
 

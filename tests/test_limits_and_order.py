@@ -109,7 +109,7 @@ def test_gated_run_fails_on_one_broken_prediction(spark, monkeypatch):
     from cohortlens.plans import queries_quality, queries_responses
 
     sf_dir, whole = "/root/testdata/sf0.001", queries_responses.predictions
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 0")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     out = queries_quality.gated_run(spark, sf_dir).collect()
     assert [(r.errors, r.checked) for r in out] == [(0, orders.select("o_orderkey").distinct().count())]
 
@@ -124,6 +124,19 @@ def test_gated_run_fails_on_one_broken_prediction(spark, monkeypatch):
         queries_quality.gated_run(spark, sf_dir).collect()
 
 
+@pytest.mark.parametrize("damage, errors", [
+    (lambda p: p.where("patient_id <> 'O1'"), 1),  # a prediction is missing
+    (lambda p: p.union(p.where("patient_id = 'O1'").withColumn("patient_id", F.lit("O-5"))), 1),
+])
+def test_gate_knows_which_orders_are_expected(spark, monkeypatch, damage, errors):
+    from cohortlens.plans import queries_quality, queries_responses
+
+    whole = queries_responses.predictions
+    monkeypatch.setattr(queries_responses, "predictions", lambda *a, **k: damage(whole(*a, **k)))
+    with pytest.raises(Exception, match=f"contract errors: {errors}"):
+        queries_quality.gated_run(spark, "/root/testdata/sf0.001").collect()
+
+
 def test_gate_stops_on_errors(spark):
     errors = spark.createDataFrame([("a", "bad")], "patient_id STRING, error STRING")
     assert audit.gate(errors.limit(0), errors).first().asDict() == {"errors": 0, "checked": 1}

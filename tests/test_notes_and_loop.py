@@ -1,7 +1,9 @@
 """Notes, protocol text and the two-phase loop."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlens import schemas as S
@@ -101,6 +103,27 @@ def test_quota_selection(spark):
     assert got == [(0, "N1"), (0, "N3"), (0, "N4"), (1, "N5"), (1, "N6")]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_conditions_choose_in_rounds_as_one_after_the_other(spark, seed):
+    rnd = random.Random(seed)
+    names = ["a", "b", "c", "d"]
+    lists = {c: [f"N{rnd.randrange(18)}" for _ in range(rnd.randrange(20))] for c in names}
+    pages = X.rows_json(spark, [
+        {"condition": c, "page_no": i // 6, "studies": [{"protocolSection": {
+            "identificationModule": {"nctId": n}}} for n in lists[c][i:i + 6]]}
+        for c in names for i in range(0, len(lists[c]), 6)] + [
+            {"condition": "other", "page_no": 0, "studies": []}],
+        f"condition STRING, page_no INT, studies ARRAY<{S.STUDY}>")
+    limit = (7, 14, 40)[seed]
+    want, taken = [], set()
+    for no, c in enumerate(names):
+        mine = [n for n in dict.fromkeys(lists[c]) if n not in taken][:min(-(-limit // 4), limit - len(want))]
+        taken.update(mine)
+        want += [(no, n) for n in mine]
+    got = G.select_studies(pages, names, limit).orderBy("condition_no", "page_no", "pos")
+    assert [(r.condition_no, r.trial_id) for r in got.collect()] == want
+
+
 def test_scalar_rules(spark):
     ages = ["6 Months", "18 Months", "3 Weeks", "N/A", "18 Years", "", "30 Days"]
     df = spark.createDataFrame([(a,) for a in ages], "a STRING")

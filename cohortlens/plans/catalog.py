@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    queries_evaluation,
     queries_loop,
     queries_matching,
     queries_path,
@@ -13,5 +14,5 @@ from . import (
 
 QUERIES = {}
 for module in (queries_matching, queries_loop, queries_text, queries_responses,
-               queries_quality, queries_path):
+               queries_quality, queries_path, queries_evaluation):
     QUERIES.update(module.QUERIES)

@@ -66,6 +66,8 @@ def _characters(texts: T.Texts, order: int) -> tuple[np.ndarray, np.ndarray, np.
     letters = T.sum_by_text(letter, bounds)
     kept = np.ones(len(folded), bool)
     kept[1:] = letter[1:] | letter[:-1]
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    kept[starts] = letter[starts]  # the spaces before a text stand for one at its start
     pad = order - 1
     lengths = T.sum_by_text(kept, bounds) + pad
     first = np.concatenate([[0], np.cumsum(lengths)])

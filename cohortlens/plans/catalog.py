@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    queries_batches,
     queries_evaluation,
     queries_loop,
     queries_matching,
@@ -14,5 +15,6 @@ from . import (
 
 QUERIES = {}
 for module in (queries_matching, queries_loop, queries_text, queries_responses,
-               queries_quality, queries_path, queries_evaluation):
+               queries_quality, queries_path, queries_evaluation,
+               queries_batches):
     QUERIES.update(module.QUERIES)

@@ -118,7 +118,15 @@ def read_study_pages(spark: SparkSession, path: str, conditions: list[str], limi
 def read_batches(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """Numbered batch files (``…_batch_<n>.jsonl``) or folders (``batch=<n>``) with their number and
     line order."""
-    df = spark.read.schema(schema).json(pattern)
+    return _numbered(spark.read.schema(schema).json(pattern))
+
+
+def read_batch_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """The lines of numbered batches as texts (``value``), blank ones left out."""
+    return _numbered(spark.read.text(pattern).where(X.strip("value") != ""))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
     name = lambda i: F.nullif(F.regexp_extract(
         F.col("_metadata.file_path"), r"(?:batch=(\d+)/[^/]+|(\d+)\.jsonl?)$", i), F.lit(""))
     n = F.coalesce(name(1), name(2)).cast("int")

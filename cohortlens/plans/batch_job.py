@@ -72,18 +72,20 @@ def combine(spark: SparkSession, folder: str, expected: DataFrame) -> tuple[Data
     is no group that a task must hold.
     """
     rows = committed(spark, folder)
-    first = rows.where("reason IS NULL").groupBy("patient_id").agg(
+    read = rows.where("reason IS NULL")
+    first = read.groupBy("patient_id").agg(
         F.min(F.struct(*PLACE)).alias("first"))
     known = expected.select("patient_id").distinct().join(first, "patient_id", "left")
     wanted = known.select(F.col("patient_id").alias("known"), "first")
-    met = rows.join(wanted, rows["patient_id"] == wanted["known"], "left")
-    judged = met.withColumn("reason", F.coalesce(
-        "reason", F.when(F.col("known").isNull(), "unknown patient"),
-        F.when(F.struct(*PLACE) != F.col("first"), "repeated patient")))
+    met = read.join(wanted, read["patient_id"] == wanted["known"], "left")
+    judged = met.withColumn("reason", F.when(F.col("known").isNull(), "unknown patient").when(
+        F.struct(*PLACE) != F.col("first"), "repeated patient"))
     kept = judged.where("reason IS NULL").select("patient_id", *PLACE, "record")
     records = known.select("patient_id").join(kept, "patient_id", "left").withColumn(
         "status", F.when(F.col("record").isNull(), "missing").otherwise("labelled"))
-    return records, judged.where("reason IS NOT NULL").select(*PLACE, "patient_id", "reason", "record")
+    # unreadable lines, which have no patient, meet nobody's place
+    refused = rows.where("reason IS NOT NULL").unionByName(judged.drop("known", "first").where("reason IS NOT NULL"))
+    return records, refused.select(*PLACE, "patient_id", "reason", "record")
 
 
 def finalize(spark: SparkSession, folder: str, expected: DataFrame, out: str,

@@ -51,7 +51,7 @@ def _finished(spark, sf_dir):
     return B.finalize(spark, folder, expected, out, fatal=()), out
 
 
-@QUERIES.add("batch_records", "LBL-12 SRC-06 RNK-07 SET-03", _SQL + """
+@QUERIES.add("batch_records", "LBL-12 SRC-06", _SQL + """
 SELECT 'O' || k AS patient_id, coalesce(batch_no, 0)::INT AS batch_no, label, CASE WHEN label IS NULL THEN 'missing' ELSE 'labelled' END AS status
 FROM o LEFT JOIN kept ON kept.patient_id = 'O' || k""")
 def batch_records(spark, sf_dir):
@@ -61,7 +61,7 @@ def batch_records(spark, sf_dir):
         "patient_id", F.coalesce("batch_no", F.lit(0)).alias("batch_no"), F.get_json_object("record", "$.label").alias("label"), "status")
 
 
-@QUERIES.add("batch_summary", "LBL-12 LBL-09", _SQL + """,
+@QUERIES.add("batch_summary", "LBL-12", _SQL + """,
 outcomes AS (SELECT CASE WHEN label IS NULL THEN 'missing' ELSE 'labelled' END AS outcome
   FROM o LEFT JOIN kept ON kept.patient_id = 'O' || k
   UNION ALL SELECT coalesce(reason, CASE WHEN f.patient_id LIKE 'Z%' THEN 'unknown patient'

@@ -183,7 +183,7 @@ def note_judgments(spark, sf_dir):
                       text("T", "last").alias("last_trial"))
 
 
-@QUERIES.add("answered_facts", "QST-06 STR-02", S.with_roles(*S.LOOP) + """
+@QUERIES.add("answered_facts", "QST-06", S.with_roles(*S.LOOP) + """
 SELECT patient_id, stage, ecog, coalesce(platinum::VARCHAR, '?') AS platinum,
   coalesce(f_organ_transplant::VARCHAR, '?') AS transplant,
   coalesce(f_active_autoimmune_disease::VARCHAR, '?') AS autoimmune

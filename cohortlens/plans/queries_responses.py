@@ -257,7 +257,7 @@ def unified_labels(spark, sf_dir):
                       F.array_join(crit, "|").alias("criteria"), "explanation")
 
 
-@QUERIES.add("embedded_objects", "LBL-04 LBL-12", """
+@QUERIES.add("embedded_objects", "LBL-04", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS objects,
   'O' || o_orderkey AS first_id FROM orders""")
 def embedded_objects(spark, sf_dir):

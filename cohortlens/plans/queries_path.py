@@ -12,7 +12,7 @@ from ..operators import matching as M
 from ..operators import ranking as R
 from ..operators import registry as G
 from ..operators import retrieval as T
-from ..session import scratch_path
+from ..session import scratch_path, shuffled
 from ..sources import sinks as SK
 from . import queries_matching as QM
 from . import recommend as RC
@@ -77,7 +77,7 @@ def _targeted(spark, sf_dir):
     targets = roles.pair_columns(spark, sf_dir).groupBy("patient_id").agg(
         F.min("trial_id").alias("target_trial_id"))
     patients = roles.patients(spark, sf_dir).drop("target_trial_id").join(
-        targets, "patient_id", "left")
+        shuffled(targets), "patient_id", "left")
     return RC.candidate_job(patients, roles.trials(spark, sf_dir), QM.decided_pairs(spark, sf_dir))
 
 

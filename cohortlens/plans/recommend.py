@@ -14,6 +14,7 @@ from ..operators import rollup as U
 from ..operators.evaluation import expected_pairs, recall_at_k
 from ..operators.normalize import sparse_profile
 from ..operators.questions import report_questions, with_questions
+from ..session import shuffled
 
 
 def with_notes(patients: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def candidate_job(patients: DataFrame, trials: DataFrame, judged_pairs: DataFram
     ``judged_pairs`` are the decided pairs the expectation is taken from.
     """
     found = T.candidates(with_notes(patients), trials, k)
-    labels = found.join(judged_pairs.select("patient_id", "trial_id", "decision", "score"),
+    labels = found.join(shuffled(judged_pairs.select("patient_id", "trial_id", "decision", "score")),
                         ["patient_id", "trial_id"], "left").withColumn(
         "eligibility", U.eligibility_of_decision("decision"))
     targets = patients.filter(F.col("target_trial_id").isNotNull()).select(

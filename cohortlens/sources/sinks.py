@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import batches
 from ..operators.rollup import eligibility_of_decision
+from ..session import shuffled
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -23,7 +24,7 @@ def write_report(header: DataFrame, body: DataFrame, path: str) -> None:
 def candidate_label_rows(candidates: DataFrame, decided: DataFrame) -> DataFrame:
     """Retrieved pairs with their baseline label, as the label file's columns."""
     base = decided.select("patient_id", "trial_id", "decision", "score")
-    rows = candidates.join(base, ["patient_id", "trial_id"], "left")
+    rows = candidates.join(shuffled(base), ["patient_id", "trial_id"], "left")
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return rows.select(
         F.col("patient_id").alias("PATIENT_ID"), F.col("trial_id").alias("TRIAL_ID"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +21,18 @@ def html_unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+_CLOSED = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)")
+
+
+@F.pandas_udf(StringType())
+def html_unescape_closed(texts: pd.Series) -> pd.Series:
+    """As :func:`html_unescape`, but only references closed by ``;``: in pages with texts that were cut off,
+    the rest of one (``&amp``) is text."""
+    def one(m):
+        return html.unescape(m[0]) if m[1].startswith("#") or m[1] in html5 else m[0]
+    return texts.map(lambda t: _CLOSED.sub(one, t), na_action="ignore")
+
+
 def ascii_text(c: Column | str) -> Column:
     """Comparison signs and dashes to ASCII, other non-ASCII dropped, blanks squeezed."""
     t = X.text_or_empty(c)
@@ -28,9 +42,10 @@ def ascii_text(c: Column | str) -> Column:
     return X.strip(F.regexp_replace(t, r"[ \t]+", " "))
 
 
-def clean_text(c: Column | str) -> Column:
-    """:func:`ascii_text` after unescaping."""
-    return ascii_text(html_unescape(X.text_or_empty(c)))
+def clean_text(c: Column | str, *, closed: bool = False) -> Column:
+    """:func:`ascii_text` after unescaping; ``closed`` leaves references without ``;`` alone."""
+    unescape = html_unescape_closed if closed else html_unescape
+    return ascii_text(unescape(X.text_or_empty(c)))
 
 
 def age_years(c: Column | str) -> Column:

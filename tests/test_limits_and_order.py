@@ -175,3 +175,10 @@ def test_no_machine_local_folder_on_a_cluster(spark):
 
 def test_schemas_name_answers():
     assert "simulated_patient_answers" in S.ANSWERS
+
+
+def test_references_cut_off_stay_text(spark):
+    t = spark.createDataFrame([("a&amp;&amp;&amp</h1> &quot b&am &amp;quot; &#65; &#x42; &nope; &quot;c&copy;",)], "t STRING")
+    closed, lenient = t.select(P.clean_text("t", closed=True), P.clean_text("t")).first()
+    assert closed == 'a&&&amp</h1> &quot b&am &quot; A B &nope; "c'
+    assert lenient == 'a&&&</h1> " b&am &quot; A B &nope; "c'

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import exprs as X
-from ..session import broadcast_if_small, written
+from ..session import broadcast_if_small, shuffled, written
 from .ranking import keep_first, top_n
+from .score_tiles import WIDTH, best_pairs
 
 SCALE = 10 ** 9
 CHAMPIONS = 64
@@ -22,6 +23,8 @@ CHAMPIONS = 64
 PLAIN_FACTOR = 8
 # and never below this many rows, which take less time than finding out what to prune
 PLAIN_ROWS = 1 << 26
+# tiles cost a few short jobs, whatever the plain join would emit
+TILE_ROWS = 1 << 22
 
 
 def tokenize(c: Column | str, stop_words=K.STOP_WORDS) -> Column:
@@ -147,14 +150,25 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
         "retrieval_score", X.round_exact("_s", 3)).drop("_s")
 
 
+def _shared_tokens(terms: DataFrame) -> list[str] | None:
+    """The tokens of all queries in the index; none if they are too many for tiles or scores too large for doubles."""
+    tokens = [r.token for r in terms.select("token").distinct().limit(WIDTH + 1).collect()]
+    if len(tokens) > WIDTH:
+        return None
+    total = terms.groupBy("query_id").agg(F.sum(F.col("bound").cast("decimal(38,0)")).alias("b")).agg(
+        F.max("b")).first()[0] or 0
+    return tokens if total < 2 ** 53 else None
+
+
 def retrieve(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int, *,
-             prune: bool | None = None, champions: int = CHAMPIONS) -> DataFrame:
-    """Exact top ``k`` trials per query; ties by input order.
+             prune: bool | None = None, champions: int = CHAMPIONS, tiles: bool | None = None) -> DataFrame:
+    """Exact top ``k`` trials per query; ties by input order.  The rows found are stored.
 
     The plain way joins every posting of every query token and adds up.  What it emits is
-    known beforehand from the token counts; while that is some tens of millions of rows, or within
-    a few times the index, it is the cheaper way.  With many queries a token found in a third of the trials would be
-    emitted for each of them, and only strong postings are joined instead:
+    known beforehand from the token counts.  Beyond a few million rows, and if queries and index share few tokens,
+    classes of equal queries are scored against classes of equal trials in tiles (:mod:`.score_tiles`).  With more tokens the plain
+    way is the cheaper one while it emits some tens of millions of rows, or a few times the index.  With many queries
+    a token found in a third of the trials would be emitted for each of them, and only strong postings are joined:
 
     1. each token's ``champions`` highest counts, added up per query and trial, give partial
        scores; the k-th best of them is a floor for the query's k-th best score;
@@ -162,15 +176,20 @@ def retrieve(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int,
        cannot reach the floor, so a pair is kept only if one posting reaches that share;
     3. the kept pairs get their full scores by an equi-join on (token, trial).
 
-    Both give the same rows.  A query with fewer than k seeds has floor 0 and keeps every
-    posting.  ``prune`` decides for the caller when given.
+    All give the same rows.  A query with fewer than k seeds has floor 0 and keeps every
+    posting.  ``prune`` and ``tiles`` decide for the caller when given.
     """
     terms = written(query_terms(queries, stats), "query-terms")
+    emitted = terms.agg(F.sum("n_trials")).first()[0] or 0 if prune is None else 0
+    if tiles is None:
+        tiles = prune is None and emitted > TILE_ROWS
+    tokens = _shared_tokens(terms) if tiles else None
+    if tokens is not None:
+        return _best(best_pairs(terms, postings, tokens, k), k)
     if prune is None:
-        emitted = terms.agg(F.sum("n_trials")).first()[0] or 0
         prune = emitted > max(PLAIN_ROWS, PLAIN_FACTOR * postings.count())
     if not prune:
-        return _best(_score(broadcast_if_small(terms).join(postings, "token")), k)
+        return written(_best(_score(broadcast_if_small(terms).join(postings, "token")), k), "found")
     strongest = top_n(postings, ["token"], [F.col("tf").desc(), F.col("trial_pos")], champions,
                       "_c").drop("_c")
     seeds = _score(terms.join(strongest, "token"))
@@ -188,24 +207,33 @@ def retrieve(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int,
     strong = broadcast_if_small(probes).join(
         postings.select("token", "trial_id", "tf"), "token").filter("tf >= least")
     cands = strong.select("query_id", "trial_id").distinct()
-    return _best(_complete(cands, terms, postings), k)
+    return written(_best(_complete(cands, terms, postings), k), "found")
 
 
 def top_chunks(retrieved: DataFrame, queries: DataFrame, chunks: DataFrame, stats: DataFrame,
                n: int = 3) -> DataFrame:
     """The ``n`` best chunks of each retrieved pair, as an ordered list."""
-    terms = query_terms(queries, stats).select("query_id", "token", "weight")
-    wanted = retrieved.select("query_id", "trial_id")
+    terms = written(query_terms(queries, stats).select("query_id", "token", "weight"), "chunk-terms")
+    # queries of equal terms are scored once per trial
+    vec = F.array_sort(F.collect_list(F.struct("token", "weight")))
+    classed = written(terms.groupBy("query_id").agg(vec.alias("vec")).select(
+        "query_id", F.sha2(F.col("vec").cast("string"), 256).alias("_q"), "vec"), "chunk-queries")
+    wanted = written(retrieved.select("query_id", "trial_id").join(
+        shuffled(classed.select("query_id", "_q")), "query_id"), "wanted-chunks")
+    pairs = wanted.select("_q", "trial_id").distinct()
+    words = classed.groupBy("_q").agg(F.first("vec").alias("vec"))
+    asked = pairs.join(words, "_q").select("_q", "trial_id", F.explode("vec").alias("t")).select(
+        "_q", "trial_id", "t.token", "t.weight")
     parts = (chunks.join(broadcast_if_small(wanted.select("trial_id").distinct()), "trial_id",
                          "left_semi")
              .select("trial_id", "chunk_pos", "section", F.explode("tokens").alias("token"))
              .groupBy("trial_id", "chunk_pos", "section", "token")
              .agg(F.count(F.lit(1)).alias("tf")))
-    scored = (wanted.join(terms, "query_id").join(parts, ["trial_id", "token"])
-              .groupBy("query_id", "trial_id", "chunk_pos", "section")
+    scored = (asked.join(parts, ["trial_id", "token"])
+              .groupBy("_q", "trial_id", "chunk_pos", "section")
               .agg(F.sum(F.col("weight") * F.col("tf")).alias("fixed")))
-    best = top_n(scored, ["query_id", "trial_id"], [F.col("fixed").desc(), F.col("chunk_pos")],
-                 n, "chunk_rank")
+    best = wanted.join(top_n(scored, ["_q", "trial_id"], [F.col("fixed").desc(), F.col("chunk_pos")],
+                             n, "chunk_rank"), ["_q", "trial_id"])
     rows = best.withColumn("_s", F.col("fixed") / F.lit(float(SCALE))).withColumn(
         "chunk_score", X.round_exact("_s", 3))
     return rows.select("query_id", "trial_id", "chunk_rank", "chunk_pos", "section",

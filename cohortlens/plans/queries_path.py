@@ -12,7 +12,7 @@ from ..operators import matching as M
 from ..operators import ranking as R
 from ..operators import registry as G
 from ..operators import retrieval as T
-from ..session import scratch_path, shuffled
+from ..session import scratch_path, shuffled, spread
 from ..sources import sinks as SK
 from . import queries_matching as QM
 from . import recommend as RC
@@ -63,8 +63,8 @@ SELECT r.patient_id, r.trial_id, rank::INT AS rank, score, decision, matched, mi
 FROM ranked r LEFT JOIN listed USING (patient_id, trial_id) WHERE rank <= 3""")
 def recommend_from_notes(spark, sf_dir):
     """The three best open trials of every patient among the thirty that the note finds."""
-    best = RC.recommend(roles.patients(spark, sf_dir),
-                        M.recruiting_only(roles.trials(spark, sf_dir)))
+    best = RC.recommend(spread(roles.patients(spark, sf_dir)),
+                        M.recruiting_only(spread(roles.trials(spark, sf_dir))))
     return best.select("patient_id", "trial_id", "rank", "score", "decision", "matched", "missing",
                        "conflicts", F.array_join("questions", " ").alias("questions"), "rationale")
 
@@ -76,9 +76,9 @@ def _targeted(spark, sf_dir):
     """Patients whose known trial is the first of those ordered, and the pairs decided for them."""
     targets = roles.pair_columns(spark, sf_dir).groupBy("patient_id").agg(
         F.min("trial_id").alias("target_trial_id"))
-    patients = roles.patients(spark, sf_dir).drop("target_trial_id").join(
+    patients = spread(roles.patients(spark, sf_dir)).drop("target_trial_id").join(
         shuffled(targets), "patient_id", "left")
-    return RC.candidate_job(patients, roles.trials(spark, sf_dir), QM.decided_pairs(spark, sf_dir))
+    return RC.candidate_job(patients, spread(roles.trials(spark, sf_dir)), QM.decided_pairs(spark, sf_dir))
 
 
 @QUERIES.add("retrieval_recall", "RET-08 EVL-08", _TARGETED + f""",
@@ -122,7 +122,7 @@ SELECT query_id, trial_id, rk::INT AS retrieval_rank, md5('--- ' || trial_id ||
 FROM found JOIN names USING (query_id, trial_id) JOIN body USING (trial_id)""")
 def context_blocks(spark, sf_dir):
     """The text block of each trial that a note finds, with its best sections named."""
-    sections = T.trial_sections(roles.trials(spark, sf_dir))
+    sections = T.trial_sections(spread(roles.trials(spark, sf_dir)))
     chunks = T.index_tokens(sections)
     postings, stats = T.build_postings(chunks)
     queries = roles.notes(spark, sf_dir).select(

@@ -93,3 +93,11 @@ def test_chunks_are_scored_once_for_equal_queries(spark):
             for n, (s, pos) in enumerate(sorted(cs)[:3])}
     assert got.keys() == want.keys() and all(
         got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 0.002 for x in want)
+
+
+def test_found_rows_are_stored(spark):
+    chunks, queries = _tables(spark, 20, 5)
+    postings, stats = T.build_postings(chunks)
+    for prune in (False, True):
+        found = T.retrieve(queries, postings, stats, 3, prune=prune)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
